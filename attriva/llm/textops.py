@@ -134,7 +134,7 @@ class Words:
                 at = np.flatnonzero(d[: m - n + 1] == d[n - 1 :])
                 acc = np.zeros(len(at), dtype=U64)
                 for k in range(n):
-                    acc = mix(acc + h[at + k]) if k % 2 else (acc * U64(_MULT)) ^ h[at + k]
+                    acc = mix(acc * U64(_MULT) + h[at + k])
                 out.append((mix(acc ^ U64(n)), d[at], at))
             if whole_if_short:
                 counts = self.per_doc()
