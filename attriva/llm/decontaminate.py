@@ -17,11 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import texts, written
 from .textops import ALNUM_WORDS, id_column, int64s, words_of
 
 GAP = 1 << 12
-SEGMENT_BYTES = 3_000_000
+SEGMENT_BYTES = 1_000_000
 INDEX_SCHEMA = "segment long, doc_ids binary, n_words binary, terms binary, firsts binary, positions binary"
 
 
@@ -43,7 +43,7 @@ def build_index(docs: DataFrame, table: np.ndarray = ALNUM_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["segment", "doc_ids", "n_words", "terms", "firsts", "positions"])
                 k += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, INDEX_SCHEMA)
+    return texts(docs).mapInArrow(segments, INDEX_SCHEMA)
 
 
 class Segment:

@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, texts, written
 from .textops import SPACE_WORDS, U64, int64s, words_of
 
 PACKED = "piece long, frag int, ids binary, counts binary, grams binary"
 
 
-def _bits(docs: DataFrame, per_fragment: int = 12_000_000) -> int:
+def _bits(docs: DataFrame, per_fragment: int = 8_000_000) -> int:
     """log2 of the number of fragments: about ``per_fragment`` bytes of text to each."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return min(16, max(3, math.ceil(math.log2(max(1, int(total)) / per_fragment + 1))))
@@ -57,7 +57,7 @@ def packed_fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = int64s(batch.column(0))
-            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 4_000_000, 1 << doc_bits):
+            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 1_500_000, 1 << doc_bits):
                 s, d, _ = w.ngrams(n)
                 key = np.unique(((s >> U64(64 - bits)) << U64(64 - bits)) | (d.astype(U64) << U64(40)) | (s & U64((1 << 40) - 1)))
                 edges = np.searchsorted(key, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
@@ -74,7 +74,7 @@ def packed_fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 )
                 k += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(cut, PACKED)
 
 
 def shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, n: int, seg_bits: int) -> DataFrame:
     def exact(batches):
         for batch in batches:
             ids = int64s(batch.column(0))
-            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 2_000_000):
+            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 1_000_000):
                 s, d, _ = w.ngrams(n)
                 order = np.lexsort((s, d))
                 s, d = s[order], d[order]
@@ -216,7 +216,7 @@ def _pair(x: str, y: str):
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seg_bits: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each distinct doc_id; component_id: smallest doc_id reachable by links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = texts(docs).where("doc_id is not null")
     bits = _bits(docs)
     counts = written(shared_counts(docs, n, bits), "jaccard-counts")
     hopeful = counts.where((F.col("n_grams") > 0) & (F.lit(100) * F.col("n_shared") >= F.lit(percent) * F.col("n_grams"))).select("doc_id").distinct()

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import texts
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "iban", "url")
 #: Identifier cues.
@@ -157,7 +159,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             own = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return texts(docs).mapInArrow(search, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def span_digest(found: DataFrame) -> DataFrame:
@@ -166,7 +168,10 @@ def span_digest(found: DataFrame) -> DataFrame:
     def joined(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .shared import crc_mod
+from .shared import crc_mod, texts
 from .textops import SPACE_WORDS, Words, id_column, int64s, pieces, text_bytes
 
 _PRINT = list(range(0x21, 0x30)) + list(range(0x3A, 0x41)) + list(range(0x5B, 0x61)) + list(range(0x7B, 0x7F))
@@ -112,7 +112,7 @@ def _featured(frame: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for i, j in pieces(offsets, 2_000_000, 2000):
+            for i, j in pieces(offsets, 1_000_000, 1000):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(i, j - i)], names=["x", "y"])
 
@@ -136,9 +136,9 @@ def quality_scores(docs: DataFrame, model: dict, cut: float = 0.3) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = int64s(batch.column(0))
-            for i, j in pieces(offsets, 2_000_000, 2000):
+            for i, j in pieces(offsets, 1_000_000, 1000):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([id_column(ids[i:j]), pa.array(scores(model, x))], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = texts(docs).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

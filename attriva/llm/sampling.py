@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_mod
+from .shared import crc_mod, texts
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, held_out_of: int = 5) -> DataFrame:
@@ -23,7 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         part = ids.where(F.col("y") == y).orderBy(order, "_id").limit(max_rows)
         few = part if few is None else few.unionByName(part)
     few = few.select("_id", "y")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    out = texts(docs).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
     total = out.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if total > max_bytes:
         out = out.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_bytes / total))

@@ -21,11 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def texts(docs: DataFrame, rows: int = 2_000) -> DataFrame:
+    """(doc_id long, text string) of ``docs``; Arrow batches of this session are held to ``rows`` rows, so that a
+    Python worker never holds many texts at once."""
+    spark = docs.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.option("parquet.page.size.row.check.min", "4").option("parquet.block.size.row.check.min", "4").mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

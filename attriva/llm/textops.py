@@ -89,7 +89,7 @@ def pieces(offsets: np.ndarray, max_bytes: int, max_docs: int = 1 << 30):
 class Words:
     """The words of a run of documents: 64-bit hashes, document index, start and end byte."""
 
-    __slots__ = ("doc", "end", "hash", "n_docs", "start")
+    __slots__ = ("_inverse", "_sums", "doc", "end", "hash", "n_docs", "start")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         self.n_docs = len(offsets) - 1
@@ -113,7 +113,16 @@ class Words:
             sums = np.zeros(n + 1, dtype=U64)
             np.cumsum(_VALUES[low] * powers[:n], out=sums[1:])
             inverse = _power_table("down", _BASE_INV, n + 1)
-            self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U64) * U64(_MULT))
+        self._sums, self._inverse = sums, inverse
+        self.hash = self._spans(self.end)
+
+    def _spans(self, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self._sums[end] - self._sums[self.start]) * self._inverse[self.start] + (end - self.start).astype(U64) * U64(_MULT))
+
+    def prefix(self, k: int) -> np.ndarray:
+        """Hashes of the words' first ``k`` bytes (of the whole word, if shorter), unlike any word's own hash."""
+        return mix(self._spans(np.minimum(self.end, self.start + k)) ^ U64(0x5BD1E995 + k))
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -152,7 +161,7 @@ class Words:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def words_of(column, table: np.ndarray, max_bytes: int = 2_000_000, max_docs: int = 1 << 30):
+def words_of(column, table: np.ndarray, max_bytes: int = 1_000_000, max_docs: int = 1 << 30):
     """Yield (i, j, Words) for runs of documents of a batch."""
     data, offsets = text_bytes(column)
     for i, j in pieces(offsets, max_bytes, max_docs):
