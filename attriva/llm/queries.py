@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, toxicity
+from . import context_tree, pii, quality, toxicity
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 
@@ -30,6 +30,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree and unigram log probability of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return context_tree.score(docs, context_tree.train(docs))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against benchmark windows of 13 words."""
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

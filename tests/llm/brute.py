@@ -72,3 +72,20 @@ def contamination(rows, items, window=13, share=20):
                     found |= own
         out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and share * len(hit) >= len(w))
     return out
+
+
+def base_scores(rows):
+    import math
+    import zlib
+
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
+    count = Counter()
+    for d, t in rows:
+        if not held[d]:
+            count.update([*space_words(t), None])
+    total, distinct = sum(count.values()), len(count)
+    out = {}
+    for d, t in rows:
+        own = [*space_words(t), None]
+        out[d] = (held[d], len(own), sum(count[w] > 0 for w in own), total, sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
+    return out
