@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_tree, pii, quality, toxicity
+from . import byte_bpe, context_tree, kmeans_tree, pii, quality, toxicity
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 
@@ -44,6 +44,11 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(docs, context_tree.train(docs))
 
 
+def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    return kmeans_tree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)[0]
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against benchmark windows of 13 words."""
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
