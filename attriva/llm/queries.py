@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_tree, kmeans_tree, pii, quality, toxicity
+from . import byte_bpe, context_tree, kmeans_tree, pii, quality, suffix_dedup, toxicity
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 
@@ -55,6 +55,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 100-byte strings that also start earlier."""
+    return suffix_dedup.digests(suffix_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _table(spark, sf_dir, "documents")

@@ -89,3 +89,20 @@ def base_scores(rows):
         own = [*space_words(t), None]
         out[d] = (held[d], len(own), sum(count[w] > 0 for w in own), total, sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
     return out
+
+
+def repeated_bytes(rows, length=100):
+    seen, out = set(), {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for a in range(len(b) - length + 1):
+            w = b[a : a + length]
+            if w in seen:
+                gone[a : a + length] = b"\x01" * length
+            else:
+                seen.add(w)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out[d] = (len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+    return out
