@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_tree, kmeans_tree, pii, quality, suffix_dedup, toxicity
+from . import byte_bpe, compact_windows, context_tree, kmeans_tree, pii, quality, suffix_dedup, toxicity
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their near-duplicate passages of 50 words or more and the classes these make."""
+    return compact_windows.passage_classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and their decoding."""
     import public_tokenizers
