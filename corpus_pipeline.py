@@ -1,9 +1,65 @@
-"""Corpus pipeline."""
+"""Training-corpus pipeline over ``documents``: five stages, each of which calls one operator of ``attriva.llm``.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
+stage's ``docs``.  All but the last return the columns of ``documents``, extra columns included.
+
+Defined cases, for all stages: null and empty texts pass the filters and encode to no tokens; rows of null doc_id pass
+the filters, for nothing can name them; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attriva.llm import byte_bpe, decontaminate, jaccard_join, pii, toxicity
+from attriva.llm.shared import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the convolutional classifier rejects go; it is fitted on the stage's own input and ``labels``."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by n-gram Jaccard similarity the one with the smallest doc_id stays."""
+    return jaccard_join.keep_one_per_group(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): token ids as little-endian unsigned 32-bit integers."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("pii", redact_pii),
+    ("byte_bpe", encode),
+]
+
+#: Some stages cannot be expressed in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
