@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) that link: partial overlaps counted per fragment, summed per pair."""
     left = segments.select(F.col("rep").alias("a"), "frag", F.col("seg").alias("seg_a"))
     right = segments.select(F.col("rep").alias("b"), "frag", F.col("seg").alias("seg_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("common"))
+    partial = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("common"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return total.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common", "na", "nb")
 
@@ -218,22 +218,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seg_bits:
     """(doc_id, n_shingles, component_id) for each distinct doc_id; component_id: smallest doc_id reachable by links."""
     docs = texts(docs).where("doc_id is not null")
     bits = _bits(docs)
-    counts = written(shared_counts(docs, n, bits), "jaccard-counts")
+    counts = written(shared_counts(docs, n, bits), "jaccard-counts", gather=True)
     hopeful = counts.where((F.col("n_grams") > 0) & (F.lit(100) * F.col("n_shared") >= F.lit(percent) * F.col("n_grams"))).select("doc_id").distinct()
-    sets = written(_sets(docs.join(hopeful, "doc_id", "left_semi"), n, seg_bits).where("n_grams > 0"), "jaccard-sets")
+    sets = written(_sets(docs.join(hopeful.hint("merge"), "doc_id", "left_semi"), n, seg_bits).where("n_grams > 0"), "jaccard-sets")
     members = sets.select("doc_id", "sig", "n_grams").distinct()
     reps = members.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     # rows of a representative may repeat, and one doc_id may stand for several sets: a node of its own for each set
     nodes = written(reps.join(members.groupBy("sig").agg(F.max("n_grams").alias("n")), "sig"), "jaccard-nodes")
     heads = nodes.select(F.col("sig").alias("s2"), F.col("rep").alias("r2"))
     node_sets = written(sets.join(heads, (sets.sig == heads.s2) & (sets.doc_id == heads.r2)).select(F.xxhash64("sig").alias("rep"), "doc_id", "n_grams", "segs").dropDuplicates(["rep"]), "jaccard-reps")
-    prefix = written(_prefixes(node_sets.select("rep", "segs"), percent, max(3, bits - 2)), "jaccard-prefix")
+    prefix = written(_prefixes(node_sets.select("rep", "segs"), percent, max(3, bits - 2)), "jaccard-prefix", gather=True)
     segments = node_sets.select("rep", F.posexplode("segs").alias("frag", "seg")).where(F.size("seg") > 0)
 
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     hub = prefix.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), F.col("rep"), F.col("n"))).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", F.col("hub.rep").alias("rep"), F.col("hub.n").alias("n"))
     first = prefix.alias("x").join(hub.alias("y"), "token").where("x.rep <> y.rep").select(*_pair("x", "y")).where(near).distinct()
-    links = written(_verified(first, segments, percent), "jaccard-links")
+    links = written(_verified(first, segments, percent), "jaccard-links", gather=True)
     label = components(links)
 
     now = prefix.join(label.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -245,7 +245,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seg_bits:
         left.where("comp <> main").alias("x").join(now.alias("y"), "token").where("x.comp <> y.comp")
         .select(*_pair("x", "y"), room.alias("room")).where(near & (F.col("room") >= need)).drop("room").distinct()
     )
-    more = written(_verified(cross, segments, percent), "jaccard-cross")
+    more = written(_verified(cross, segments, percent), "jaccard-cross", gather=True)
     label = components(links.select("a", "b").unionByName(more.select("a", "b")))
 
     owner = node_sets.select("rep", F.col("doc_id").alias("own"))

@@ -31,9 +31,15 @@ def texts(docs: DataFrame, rows: int = 2_000) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and survives lost executors."""
+def written(df: DataFrame, what: str, gather: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and survives lost executors.
+
+    ``gather``: for results that are much smaller than what they were made from, one more exchange lets the engine write
+    files of its advisory size instead of one for each task.
+    """
     spark = df.sparkSession
+    if gather:
+        df = df.hint("rebalance")
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.option("parquet.page.size.row.check.min", "4").option("parquet.block.size.row.check.min", "4").mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
