@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts, written
+from .shared import lookup, texts, written
 from .textops import ALNUM_WORDS, id_column, int64s, words_of
 
 GAP = 1 << 12
@@ -177,4 +177,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = contamination(docs, items, window, share).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    return docs.join(lookup(written(bad, "contaminated", gather=True)), F.col("doc_id") == F.col("_bad_id"), "left_anti")

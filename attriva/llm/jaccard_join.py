@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, texts, written
+from .shared import components, lookup, texts, written
 from .textops import SPACE_WORDS, U64, int64s, words_of
 
 PACKED = "piece long, frag int, ids binary, counts binary, grams binary"
@@ -220,11 +220,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seg_bits:
     bits = _bits(docs)
     counts = written(shared_counts(docs, n, bits), "jaccard-counts", gather=True)
     hopeful = counts.where((F.col("n_grams") > 0) & (F.lit(100) * F.col("n_shared") >= F.lit(percent) * F.col("n_grams"))).select("doc_id").distinct()
-    sets = written(_sets(docs.join(hopeful.hint("merge"), "doc_id", "left_semi"), n, seg_bits).where("n_grams > 0"), "jaccard-sets")
+    sets = written(_sets(docs.join(lookup(hopeful), "doc_id", "left_semi"), n, seg_bits).where("n_grams > 0"), "jaccard-sets", gather=True)
     members = sets.select("doc_id", "sig", "n_grams").distinct()
     reps = members.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     # rows of a representative may repeat, and one doc_id may stand for several sets: a node of its own for each set
-    nodes = written(reps.join(members.groupBy("sig").agg(F.max("n_grams").alias("n")), "sig"), "jaccard-nodes")
+    nodes = reps
     heads = nodes.select(F.col("sig").alias("s2"), F.col("rep").alias("r2"))
     node_sets = written(sets.join(heads, (sets.sig == heads.s2) & (sets.doc_id == heads.r2)).select(F.xxhash64("sig").alias("rep"), "doc_id", "n_grams", "segs").dropDuplicates(["rep"]), "jaccard-reps")
     prefix = written(_prefixes(node_sets.select("rep", "segs"), percent, max(3, bits - 2)), "jaccard-prefix", gather=True)
@@ -246,7 +246,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seg_bits:
         .select(*_pair("x", "y"), room.alias("room")).where(near & (F.col("room") >= need)).drop("room").distinct()
     )
     more = written(_verified(cross, segments, percent), "jaccard-cross", gather=True)
-    label = components(links.select("a", "b").unionByName(more.select("a", "b")))
+    if not more.isEmpty():
+        label = components(more.select("a", "b"), start=label)
 
     owner = node_sets.select("rep", F.col("doc_id").alias("own"))
     smallest = label.join(owner, label.node == owner.rep).groupBy("comp").agg(F.min("own").alias("low"))
@@ -260,4 +261,4 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seg_bits:
 def keep_one_per_group(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; rows with null doc_id stay too."""
     gone = jaccard_components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    return docs.join(lookup(written(gone, "jaccard-gone", gather=True)), F.col("doc_id") == F.col("_gone_id"), "left_anti")
