@@ -7,7 +7,7 @@ takes constant time.  Only distinct words are folded: the corpus' frequent words
 the other words once per run of documents.  A word that is itself a token needs no fold.  Words of more than ``LONG``
 bytes would take quadratic time in the fold; for these the same merges are made with a heap.
 
-Documents never move: a run of about 1 MB of text becomes one row with its word numbers and its distinct rare words;
+Documents never move: a run of a few MB of text becomes one row with its word numbers and its distinct rare words;
 the fold turns these words into ids in the same row; then ids are laid out and decoded by concatenating the tokens'
 bytes.  Symbols are held as strings of the code points 0 to 255, one per byte.
 
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import texts, written
 from .textops import id_column, int64s, pieces, text_bytes
 
 LONG = 160
 SHARDS = 1 << 14
-HOT_WORDS = 1 << 17
+HOT_WORDS = 1 << 18
 _NONE = 2**31 - 1
 #: The code points of Unicode's White_Space.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -181,9 +181,15 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> lis
                         yield from flush()
         yield from flush()
 
-    counted = texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(limit).select("word").toArrow()
-    return sorted(top["word"].to_pylist())
+    counted = written(texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    # the smallest count that at most ``limit`` words reach
+    sizes = sorted(((r[0], r[1]) for r in counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().toLocalIterator()), reverse=True)
+    total, least = 0, 1 << 62
+    for n, words in sizes:
+        if total + words > limit:
+            break
+        total, least = total + words, n
+    return sorted(counted.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist())
 
 
 def _layout(lists: list) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +227,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
             ids, column = int64s(batch.column(0)), batch.column(1)
-            for i, j in pieces(offsets, 1_000_000):
+            for i, j in pieces(offsets, 4_000_000):
                 seq, sizes = [], []
                 for t in column.slice(i, j - i):
                     own = find(t.as_py() or "")

@@ -75,5 +75,50 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(pattern: str, text: str = "text") -> str:
+    return f"regexp_extract_all({_LOWER.format(text)}, '{pattern}')"
+
+
+_OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_words(_SPACE)}, []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 4 THEN ws ELSE list_slice(ws, i, i + 3) END, ' ') AS g FROM w, unnest(generate_series(1, greatest(1, len(ws) - 3))) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS comp FROM documents UNION SELECT f.b, r.comp FROM r JOIN both_ways f ON r.id = f.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.comp) AS component_id FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY ALL"""
+
+_OP8 = f"""WITH d AS (SELECT doc_id, coalesce({_words(_ALNUM)}, []) AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_words(_ALNUM)} AS ws FROM benchmark WHERE text IS NOT NULL),
+k AS (SELECT DISTINCT item_id, least(13, len(ws)) AS m, array_to_string(list_slice(ws, p, p + least(13, len(ws)) - 1), ' ') AS g FROM i, unnest(generate_series(1, greatest(1, len(ws) - 12))) AS t(p) WHERE len(ws) > 0),
+m AS (SELECT DISTINCT m FROM k),
+o AS (SELECT doc_id, p, m, array_to_string(list_slice(ws, p, p + m - 1), ' ') AS g FROM d, m, unnest(generate_series(1, len(ws) - m + 1)) AS t(p) WHERE len(ws) >= m),
+f AS (SELECT doc_id, p, m, item_id FROM o JOIN k USING (m, g)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + m - 1)) AS q FROM f) GROUP BY ALL),
+x AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids FROM f GROUP BY ALL)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id"""
+
+_OP9 = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2 * 299) AS part FROM b, unnest(generate_series(0, CAST(length(h) / 2 AS BIGINT) - 100, 200)) AS t(base) WHERE length(h) >= 200),
+w AS (SELECT doc_id, base + p AS p, md5(substr(part, 2 * p + 1, 200)) AS g FROM blocks, unnest(generate_series(0, least(199, CAST(length(part) / 2 AS BIGINT) - 100))) AS t(p)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1 AS again FROM w),
+c AS (SELECT doc_id, p AS q, 1 AS v FROM f WHERE again UNION ALL SELECT doc_id, p + 100, -1 FROM f WHERE again),
+s AS (SELECT doc_id, q, sum(sum(v)) OVER (PARTITION BY doc_id ORDER BY q) AS depth, lead(q) OVER (PARTITION BY doc_id ORDER BY q) AS nxt FROM c GROUP BY doc_id, q),
+g AS (SELECT doc_id, q, nxt, CASE WHEN q = lag(nxt) OVER (PARTITION BY doc_id ORDER BY q) THEN 0 ELSE 1 END AS opens FROM s WHERE depth > 0),
+z AS (SELECT doc_id, sum(opens) OVER (PARTITION BY doc_id ORDER BY q) AS k, q, nxt FROM g),
+spans AS (SELECT doc_id, k, min(q) AS lo, max(nxt) AS hi FROM z GROUP BY ALL),
+edges AS (SELECT doc_id, list(hi ORDER BY lo) AS his, list(lo ORDER BY lo) AS los, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY ALL)
+SELECT b.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(CASE WHEN his IS NULL THEN h ELSE array_to_string(list_transform(generate_series(0, len(his)), lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE his[i] END) + 1, 2 * ((CASE WHEN i = len(his) THEN CAST(length(h) / 2 AS BIGINT) ELSE los[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE his[i] END)))), '') END)) AS kept_sha256
+FROM b LEFT JOIN edges USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those queries that it can express: the others are tested against brute-force versions in tests/llm."""
+    return {"op5_jaccard_join": _OP5, "op8_decontaminate": _OP8, "op9_suffix_dedup": _OP9}

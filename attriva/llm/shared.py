@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def texts(docs: DataFrame, rows: int = 2_000) -> DataFrame:
+def texts(docs: DataFrame, rows: int = 500) -> DataFrame:
     """(doc_id long, text string) of ``docs``; Arrow batches of this session are held to ``rows`` rows, so that a
     Python worker never holds many texts at once."""
     spark = docs.sparkSession
@@ -50,30 +50,31 @@ def crc_mod(column: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
-def components(nodes_edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges: (node, component), component being the smallest node.
+def lookup(ids: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A table of ids for a semi or anti join: broadcast if it has at most ``rows`` rows, else joined by a sort merge."""
+    return F.broadcast(ids) if ids.count() <= rows else ids.hint("merge")
 
-    Large-star / small-star rounds, each cut by a written table; every step is a keyed aggregate or join with
-    map-side combining, so a hub node never meets in one task.  Ends at a fixed point.
+
+def components(pairs: DataFrame, a: str = "a", b: str = "b", start: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+    """Connected components of undirected edges: (node, comp), comp being the smallest node.
+
+    Each round hooks every component onto its smallest neighbour and shortens the chains of hooks by two steps, so chains
+    shrink geometrically; every step is a keyed aggregate or join with map-side combining, so a hub node never meets in
+    one task, and every round is cut by a written table.  ``start``: components of a part of the edges, to go on from.
     """
-    edges = nodes_edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
-    label = written(edges.select(F.col("v").alias("node"), F.col("u").alias("to")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("to"))).groupBy("node").agg(F.min("to").alias("comp")), "cc")
-    edges = written(edges, "cc-edges")
+    edges = pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
+    edges = written(edges, "cc-edges", gather=True)
+    ends = edges.select(F.col("v").alias("node"), F.col("u").alias("to")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("to")))
+    if start is not None:
+        ends = ends.select("node", F.col("node").alias("to")).unionByName(start.select("node", F.col("comp").alias("to")))
+    label = written(ends.groupBy("node").agg(F.min("to").alias("comp")), "cc", gather=True)
     for _ in range(max_rounds):
-        ends = edges.join(label.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u").join(label.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v")
-        left = ends.where("cu <> cv")
-        # hook the larger root onto the smaller one, then shortcut every label through its root
-        hook = left.select(F.greatest("cu", "cv").alias("root"), F.least("cu", "cv").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
-        hook = written(hook, "cc-hook")
+        mixed = edges.join(label.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u").join(label.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v").where("cu <> cv")
+        hook = mixed.select(F.greatest("cu", "cv").alias("root"), F.least("cu", "cv").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
+        hook = written(hook, "cc-hook", gather=True)
         if hook.isEmpty():
             return label
-        # follow chains of hooks (root -> to -> ...), halving their length at each turn
-        while True:
-            nxt = hook.alias("x").join(hook.select(F.col("root").alias("r2"), F.col("to").alias("t2")), F.col("to") == F.col("r2"), "left").select("root", F.coalesce("t2", "to").alias("to"), F.col("t2").isNotNull().alias("moved"))
-            nxt = written(nxt, "cc-jump")
-            moved = not nxt.where("moved").isEmpty()
-            hook = nxt.select("root", "to")
-            if not moved:
-                break
-        label = written(label.join(hook, label.comp == hook.root, "left").select("node", F.coalesce("to", "comp").alias("comp")), "cc")
+        far = hook.select(F.col("root").alias("r2"), F.col("to").alias("t2"))
+        two = hook.join(far, F.col("to") == F.col("r2"), "left").select("root", F.coalesce("t2", "to").alias("to"))
+        label = written(label.join(two, F.col("comp") == F.col("root"), "left").select("node", F.coalesce("to", "comp").alias("comp")), "cc", gather=True)
     raise RuntimeError("components did not settle")

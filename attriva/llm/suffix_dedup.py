@@ -331,7 +331,7 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
         })
 
     packed = frame.mapInArrow(cut, "piece long, frag int, ids binary, uids binary, found binary, ranges binary")
-    step = written(packed.groupBy("frag").applyInArrow(classes, "piece long, uids binary, ranges binary, uid long, doc_id long, key long, at long, off long, run long"), "suffix-classes")
+    step = written(packed.groupBy("frag").applyInArrow(classes, "piece long, uids binary, ranges binary, uid long, doc_id long, key long, at long, off long, run long"), "suffix-classes", gather=True)
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -479,7 +479,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def digests(out: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")).hint("rebalance")
 
 
 def sha256_hex(data: bytes) -> str:
