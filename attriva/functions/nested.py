@@ -50,3 +50,14 @@ def first_present(*columns: Column) -> Column:
 def export_values(values: Column, ids: Column) -> Column:
     """Array of (dictionary_value_id, value), ids padded with nulls."""
     return F.transform(values, lambda v, i: F.struct(F.try_element_at(F.coalesce(ids, F.array().cast("array<bigint>")), (i + 1).cast("int")).alias("dictionary_value_id"), v.alias("value")))
+
+
+def option_map(options: Column, compositions: Column) -> Column:
+    """Map of name to value from array<struct<name,value>>, later names win, and the composition as one text."""
+    named = F.filter(options, lambda o: o["name"].isNotNull() & (F.trim(o["name"]) != "") & o["value"].isNotNull() & (F.trim(o["value"]) != ""))
+    pairs = F.transform(named, lambda o: F.struct(F.trim(o["name"]).alias("key"), F.trim(o["value"]).alias("value")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]))
+    made = F.map_from_entries(last)
+    parts = F.array_join(F.transform(compositions, lambda x: F.concat_ws(" ", x["name"], F.when(x["percent"].isNotNull(), F.concat(x["percent"].cast("string"), F.lit("%"))))), ", ")
+    has = (F.coalesce(F.size(compositions), F.lit(0)) > 0) & ~F.coalesce(F.map_contains_key(made, "Состав"), F.lit(False))
+    return F.when(has, F.map_concat(made, F.create_map(F.lit("Состав"), parts))).otherwise(made)

@@ -178,3 +178,59 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm)
+
+
+# Rounding digits and conversions of supplier specifications
+_SPEC_DIGITS = {"inch": 1, "kg": 3, "g": 1}
+_SPEC_FACTORS = {("cm", "inch"): 1 / 2.54, ("mm", "inch"): 1 / 25.4, ("g", "kg"): 1 / 1000, ("kg", "g"): 1000.0}
+# Unit words, in order of trial
+_SPEC_UNITS = (
+    ("inch", "дюйм|inch|диагональ"), ("hz", "гц|hz"), ("ms", "мс"), ("min", r"мин(?![\p{L}])"), ("kg", "кг|kg"), ("g", r"(?<![\p{L}])(?:г|g)(?![\p{L}])"),
+    ("mm", "мм|mm"), ("cm", "см|cm"), ("m", r"(?<![\p{L}])(?:м|m)(?![\p{L}])"), ("w", r"вт|(?<![\p{L}])w(?![\p{L}])"), ("v", r"(?<![\p{L}])(?:в|v)(?![\p{L}])"), ("mah", "мах|mah"),
+)
+
+
+def spec_unit(c: Column) -> Column:
+    """The first unit that a name or value holds; null: none."""
+    out = F.lit(None).cast("string")
+    for unit, pattern in reversed(_SPEC_UNITS):
+        out = F.when(F.lower(c).rlike(f"(?iu){pattern}"), unit).otherwise(out)
+    return out
+
+
+def spec_number(name: Column, value: Column) -> Column:
+    """A supplier's number in the unit that the attribute's name tells; ambiguous values stay as they are.
+
+    An inch number in parentheses wins for inch attributes; values of several numbers and unknown conversions stay.
+    """
+    raw = F.trim(value)
+    want, have = spec_unit(name), spec_unit(raw)
+    inch = F.replace(F.regexp_extract(raw, r"\(\s*(\d+(?:[.,]\d+)?)\s*(?:\"|''|″|inch|дюйм)", 1), F.lit(","), F.lit(".")).try_cast("double")
+    numbers = F.regexp_extract_all(raw, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))
+    number = F.replace(F.try_element_at(numbers, F.lit(1)), F.lit(","), F.lit("."))
+    factor = F.when(have == want, 1.0)
+    for (a, b), f in _SPEC_FACTORS.items():
+        factor = factor.when((have == a) & (want == b), f)
+    def shown(x):
+        digits = F.when(F.lit(False), x)
+        for unit, n in _SPEC_DIGITS.items():
+            digits = digits.when(want == unit, F.bround(x, n))
+        return formatted(digits.otherwise(F.bround(x, 2)))
+
+    several = raw.rlike(r"(?iu)\d\s*[xх×*]\s*\d")
+    return (
+        F.when(several | want.isNull(), raw).when((want == "inch") & inch.isNotNull(), shown(inch)).when(F.size(numbers) != 1, raw)
+        .when(have.isNull(), number).when(factor.isNotNull(), shown(number.cast("double") * factor)).otherwise(raw)
+    )
+
+
+def card_sizes(props: Column, rows: Column) -> Column:
+    """Distinct sizes of a card's table: the column headed RU, else the technical size; rows are structs of details, tech_size."""
+    place = F.array_position(F.transform(props, lambda p: F.upper(F.trim(p))), "RU").cast("int")
+    none = F.array().cast("array<string>")
+
+    def own(row):
+        named = sizes(F.when(place > 0, F.try_element_at(row["details"], F.greatest(place, F.lit(1)))))
+        return F.when(F.size(F.coalesce(named, none)) > 0, named).otherwise(F.coalesce(sizes(row["tech_size"]), none))
+
+    return F.array_distinct(F.flatten(F.transform(rows, own)))

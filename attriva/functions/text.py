@@ -272,3 +272,11 @@ def json_island(c: Column) -> Column:
     """The first JSON text in a page's ld+json script, data-state attribute or __NEXT_DATA__ script; null: none."""
     found = [F.regexp_extract(c, p, 1) for p in (r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', r"(?is)data-state='([^']*)'", r'(?is)<script[^>]*__NEXT_DATA__[^>]*>(.*?)</script>')]
     return F.coalesce(*[F.when(x != "", strip(x)) for x in found])
+
+
+def free_text_gate(c: Column, translations: dict[str, str] | None = None) -> Column:
+    """A neighbour's free text: codes joined by slashes or dashes go, foreign words are translated or go, measures stay."""
+    clean = collapse(c)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in (translations or {"": ""}).items() for x in kv]), F.lower(clean))
+    foreign = ~clean.rlike(r"[Ѐ-ӿ]") & ~clean.rlike(r"^\d[\d.,]*\s*[A-Za-z]{0,5}$")
+    return F.when((clean == "") | clean.rlike(r"^[A-Za-z0-9]+(?:[/\-][A-Za-z0-9]+)+$"), F.lit(None)).when(foreign, known).otherwise(clean)

@@ -87,13 +87,13 @@ def spec_from_title(rows: DataFrame) -> DataFrame:
 def number_from_text(rows: DataFrame) -> DataFrame:
     """The number before the target's unit within 40 characters after its keyword."""
     pattern = F.concat(F.lit("(?iu)"), F.col("keyword"), F.lit(r"[^0-9]{0,40}?([0-9]+(?:[.,][0-9]+)?)\s*"), F.col("unit"), F.lit("(?![а-яёa-z])"))
-    got = F.regexp_extract(F.col("text"), pattern, F.lit(1))
+    got = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1))
     return _filled(rows, F.when(got != "", F.replace(got, F.lit(","), F.lit("."))), 0.97, "numspec:")
 
 
 def stated_boolean(rows: DataFrame) -> DataFrame:
     """Yes where the text states the keyword unnegated; never no."""
-    said = F.col("text").rlike(F.concat(F.lit(r"(?iu)(?<!без )(?<!не )(?<!нет )(?<![\p{L}])"), F.col("keyword")))
+    said = F.regexp_like(F.col("text"), F.concat(F.lit(r"(?iu)(?<!без )(?<!не )(?<!нет )(?<![\p{L}])"), F.col("keyword")))
     return _filled(rows, F.when(said, "Да"), 0.97, "bool:stated:")
 
 

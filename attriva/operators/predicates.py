@@ -305,3 +305,33 @@ def model_conflict(a: Column, b: Column) -> Column:
     """Both texts have model tokens and share none."""
     x, y = t.model_tokens(a), t.model_tokens(b)
     return (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
+
+
+def unit_conflict(name: Column, value: Column) -> Column:
+    """F26-3: the value's unit is of another dimension than the field's."""
+    from ..functions.numeric import UNITS, field_unit, value_units
+
+    dims = F.create_map(*[F.lit(x) for u in UNITS for x in (u[0], u[1])])
+    units, want = value_units(value), field_unit(name)
+    return F.coalesce((F.size(units) == 1) & want.isNotNull() & (F.try_element_at(dims, F.try_element_at(units, F.lit(1))) != F.try_element_at(dims, want)), F.lit(False))
+
+
+def strategy_targets(targets: DataFrame, skipped_types: tuple[str, ...], dictionary: DataFrame | None = None) -> DataFrame:
+    """targets of supported types; where a category has a dictionary, only those in it (category_id, attribute_id)."""
+    kept = targets.where(~F.coalesce(F.col("semantic_type").isin(*skipped_types), F.lit(False)) if skipped_types else F.lit(True))
+    if dictionary is None:
+        return kept
+    known = dictionary.select("category_id").distinct().withColumn("_has", F.lit(True))
+    listed = dictionary.select("category_id", "attribute_id").distinct().withColumn("_in", F.lit(True))
+    joined = kept.join(known, "category_id", "left").join(listed, ["category_id", "attribute_id"], "left")
+    return joined.where(F.col("_has").isNull() | F.col("_in")).drop("_has", "_in")
+
+
+def applicable(products: DataFrame, source: str) -> DataFrame:
+    """products for which a source has something to go by."""
+    present = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    tests = {
+        "description": present("description"), "llm_knowledge": present("name"), "vision": F.coalesce(F.size("image_urls"), F.lit(0)) > 0, "web_search": present("name"),
+        "barcode": present("ean") | present("description"), "icecat": present("ean") | present("brand"), "competitor_rag": present("name"),
+    }
+    return products.where(tests[source])
