@@ -7,7 +7,7 @@ takes constant time.  Only distinct words are folded: the corpus' frequent words
 the other words once per run of documents.  A word that is itself a token needs no fold.  Words of more than ``LONG``
 bytes would take quadratic time in the fold; for these the same merges are made with a heap.
 
-Documents never move: a run of about 1.5 MB of text becomes one row with its word numbers and its distinct rare words;
+Documents never move: a run of about 1 MB of text becomes one row with its word numbers and its distinct rare words;
 the fold turns these words into ids in the same row; then ids are laid out and decoded by concatenating the tokens'
 bytes.  Symbols are held as strings of the code points 0 to 255, one per byte.
 
@@ -34,7 +34,7 @@ from .textops import id_column, int64s, pieces, text_bytes
 
 LONG = 160
 SHARDS = 1 << 14
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 17
 _NONE = 2**31 - 1
 #: The code points of Unicode's White_Space.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
             ids, column = int64s(batch.column(0)), batch.column(1)
-            for i, j in pieces(offsets, 1_500_000):
+            for i, j in pieces(offsets, 1_000_000):
                 seq, sizes = [], []
                 for t in column.slice(i, j - i):
                     own = find(t.as_py() or "")

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 The global order of n-gram hashes is cut into fragments.  (1) In each fragment the n-grams that several documents
-hold are found and counted per document; summed over fragments they bound every possible overlap, so documents
+hold are found and counted per document (those that a run of documents shares are counted before they are sent); summed over fragments they bound every possible overlap, so documents
 of which too few n-grams are shared have no partner and leave.  (2) The rest, one per distinct set, get prefixes
 in ascending document frequency (again per fragment); documents that share a prefix n-gram are candidates.
 (3) For candidate pairs the partial overlaps are counted per fragment and summed per pair: exact.
@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, lookup, texts, written
-from .textops import SPACE_WORDS, U64, int64s, words_of
+from .textops import SPACE_WORDS, U64, int64s, text_bytes, words_of
 
 PACKED = "piece long, frag int, ids binary, counts binary, grams binary"
+COUNTED = PACKED + ", twice binary, known binary"
 
 
 def _bits(docs: DataFrame, per_fragment: int = 8_000_000) -> int:
@@ -38,8 +39,8 @@ def _bits(docs: DataFrame, per_fragment: int = 8_000_000) -> int:
     return min(16, max(3, math.ceil(math.log2(max(1, int(total)) / per_fragment + 1))))
 
 
-def _low40(rows: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 5)
+def _low40(column) -> np.ndarray:
+    raw = text_bytes(column)[0].reshape(-1, 5)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :5] = raw
     return out.view(U64).ravel()
@@ -50,62 +51,82 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def packed_fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """Per run of documents and fragment one row: distinct n-grams of each document as 40 low hash bits."""
+    """Per run of documents and fragment one row of 40 low hash bits of n-grams, distinct by document.
+
+    N-grams that several documents of the run hold are known to be shared: they are counted here, in ``known``, and sent
+    once, in ``twice``.  So an n-gram that very many documents hold costs one entry per run, not one per document.
+    """
     doc_bits = 24 - bits
+    gram_bits = U64(40)
 
     def cut(batches):
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = int64s(batch.column(0))
-            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 1_500_000, 1 << doc_bits):
+            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 800_000, 1 << doc_bits):
+                m = j - i
                 s, d, _ = w.ngrams(n)
-                key = np.unique(((s >> U64(64 - bits)) << U64(64 - bits)) | (d.astype(U64) << U64(40)) | (s & U64((1 << 40) - 1)))
-                edges = np.searchsorted(key, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
-                edges = np.append(edges, len(key))
-                grams = key.view(np.uint8).reshape(-1, 8)[:, :5]
-                doc = ((key >> U64(40)) & U64((1 << doc_bits) - 1)).astype(np.int64)
-                rows = [(f, a, b) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if f == 0 or b > a]
+                # fragment, hash and document in one number, sorted: equal n-grams stand together
+                key = np.unique(((s >> U64(64 - bits)) << U64(64 - bits)) | ((s & U64((1 << 40) - 1)) << U64(doc_bits)) | d.astype(U64))
+                gram = key >> U64(doc_bits)
+                doc = (key & U64((1 << doc_bits) - 1)).astype(np.int64)
+                same = np.zeros(len(key) + 1, bool)
+                same[1:-1] = gram[1:] == gram[:-1]
+                several = same[1:] | same[:-1]
+                lead = several & ~same[:-1]
+                known = np.bincount(doc[several], minlength=m).astype(np.uint32)
+                frag = (gram >> gram_bits).astype(np.int64)
+                low = np.ascontiguousarray(gram).view(np.uint8).reshape(-1, 8)[:, :5]
+                alone = np.flatnonzero(~several)
+                alone = alone[np.argsort(frag[alone] * m + doc[alone], kind="stable")]
+                marks = np.arange((1 << bits) + 1)
+                one, two = np.searchsorted(frag[alone], marks), np.searchsorted(frag[lead], marks)
+                grams, again = low[alone], low[lead]
+                doc = doc[alone]
+                rows = [f for f in range(1 << bits) if f == 0 or one[f + 1] > one[f] or two[f + 1] > two[f]]
                 yield _batch(
                     piece=pa.array([(part << 32) | k] * len(rows), pa.int64()),
-                    frag=pa.array([f for f, _, _ in rows], pa.int32()),
-                    ids=pa.array([ids[i:j].tobytes() if f == 0 else None for f, _, _ in rows], pa.binary()),
-                    counts=pa.array([np.bincount(doc[a:b], minlength=j - i).astype(np.uint32).tobytes() for _, a, b in rows], pa.binary()),
-                    grams=pa.array([grams[a:b].tobytes() for _, a, b in rows], pa.binary()),
+                    frag=pa.array(rows, pa.int32()),
+                    ids=pa.array([ids[i:j].tobytes() if f == 0 else None for f in rows], pa.binary()),
+                    counts=pa.array([np.bincount(doc[one[f] : one[f + 1]], minlength=m).astype(np.uint32).tobytes() for f in rows], pa.binary()),
+                    grams=pa.array([grams[one[f] : one[f + 1]].tobytes() for f in rows], pa.binary()),
+                    twice=pa.array([again[two[f] : two[f + 1]].tobytes() for f in rows], pa.binary()),
+                    known=pa.array([known.tobytes() if f == 0 else None for f in rows], pa.binary()),
                 )
                 k += 1
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(cut, COUNTED)
 
 
 def shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """(doc_id, n_grams, n_shared): distinct n-grams of a document, and how many of them another document holds."""
 
     def fragment(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        grams = _low40([r["grams"] or b"" for r in rows])
+        grams, known = _low40(table["grams"]), _low40(table["twice"])
         ordered = np.sort(grams)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        at = np.minimum(np.searchsorted(twice, grams), max(0, len(twice) - 1))
-        flag = (twice[at] == grams) if len(twice) else np.zeros(len(grams), bool)
+        shared = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], known]))
+        at = np.minimum(np.searchsorted(shared, grams), max(0, len(shared) - 1))
+        flag = (shared[at] == grams) if len(shared) else np.zeros(len(grams), bool)
         total = np.concatenate([[0], np.cumsum(flag)])
         out, pos = [], 0
-        for r in rows:
-            ends = pos + np.cumsum(np.frombuffer(r["counts"], np.uint32).astype(np.int64))
+        for counts in table["counts"]:
+            ends = pos + np.cumsum(np.frombuffer(counts.as_py(), np.uint32).astype(np.int64))
             starts = np.concatenate([[pos], ends[:-1]])
             out.append((total[ends] - total[starts]).astype(np.uint32).tobytes())
             pos = int(ends[-1]) if len(ends) else pos
-        return pa.table({"piece": table["piece"], "ids": table["ids"], "counts": table["counts"], "shared": pa.array(out, pa.binary())})
+        return pa.table({"piece": table["piece"], "ids": table["ids"], "counts": table["counts"], "shared": pa.array(out, pa.binary()), "known": table["known"]})
 
     def collect(table: pa.Table) -> pa.Table:
         ids, counts, shared = None, 0, 0
         for r in table.to_pylist():
-            ids = np.frombuffer(r["ids"], np.int64) if r["ids"] is not None else ids
             counts = counts + np.frombuffer(r["counts"], np.uint32).astype(np.int64)
             shared = shared + np.frombuffer(r["shared"], np.uint32).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids), "n_grams": pa.array(counts), "n_shared": pa.array(shared)})
+            if r["ids"] is not None:
+                ids, own = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], np.uint32).astype(np.int64)
+        return pa.table({"doc_id": pa.array(ids), "n_grams": pa.array(counts + own), "n_shared": pa.array(shared + own)})
 
     cut = packed_fragments(docs, n, bits)
-    partial = cut.groupBy("frag").applyInArrow(fragment, "piece long, ids binary, counts binary, shared binary")
+    partial = cut.groupBy("frag").applyInArrow(fragment, "piece long, ids binary, counts binary, shared binary, known binary")
     return partial.groupBy("piece").applyInArrow(collect, "doc_id long, n_grams long, n_shared long")
 
 
@@ -167,11 +188,10 @@ def _prefixes(sets: DataFrame, percent: int, bits: int) -> DataFrame:
                 k += 1
 
     def frequency(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        grams = _low40([r["grams"] or b"" for r in rows])
+        grams = _low40(table["grams"])
         values, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
         df = np.minimum(counts[inverse], 2**31 - 1).astype(np.uint32) if len(grams) else np.zeros(0, np.uint32)
-        cuts = np.cumsum([len(r["grams"] or b"") // 5 for r in rows])[:-1]
+        cuts = (text_bytes(table["grams"])[1] // 5)[1:-1]
         return table.append_column("df", pa.array([x.tobytes() for x in np.split(df, cuts)], pa.binary()))
 
     def choose(table: pa.Table) -> pa.Table:
@@ -180,7 +200,7 @@ def _prefixes(sets: DataFrame, percent: int, bits: int) -> DataFrame:
             ids = np.frombuffer(r["ids"], np.int64) if r["ids"] is not None else ids
             counts = np.frombuffer(r["counts"], np.uint32)
             doc.append(np.repeat(np.arange(len(counts)), counts))
-            token.append(_low40([r["grams"] or b""]) | (U64(r["frag"]) << U64(40)))
+            token.append(_low40(pa.array([r["grams"]], pa.binary())) | (U64(r["frag"]) << U64(40)))
             df.append(np.frombuffer(r["df"], np.uint32))
         doc, token, df = np.concatenate(doc), np.concatenate(token), np.concatenate(df)
         order = np.lexsort((token, df, doc))

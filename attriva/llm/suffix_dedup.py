@@ -283,13 +283,15 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
                 k += 1
 
     def classes(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        found = [np.frombuffer(r["found"], OCCURRENCE) for r in rows]
-        sizes = [len(x) for x in found]
-        rec = np.concatenate(found)
-        own = np.repeat(np.arange(len(rows)), sizes)
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[x["doc"]] for r, x in zip(rows, found, strict=True)])
-        uids = np.concatenate([np.frombuffer(r["uids"], np.int64)[x["doc"]] for r, x in zip(rows, found, strict=True)])
+        raw, at = text_bytes(table["found"])
+        rec = raw.view(OCCURRENCE)
+        own = np.repeat(np.arange(table.num_rows), np.diff(at) // OCCURRENCE.itemsize)
+        documents, first = {}, {}
+        for name in ("ids", "uids"):
+            raw, at = text_bytes(table[name])
+            documents[name], first[name] = raw.view(np.int64), at[:-1] // 8
+        ids = documents["ids"][first["ids"][own] + rec["doc"]]
+        uids = documents["uids"][first["uids"][own] + rec["doc"]]
         order = np.argsort(rec["key"], kind="stable")
         key = rec["key"][order]
         twin = np.zeros(len(key), bool)
@@ -310,17 +312,17 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
         ask = new & several
         where = np.flatnonzero(gone)
         where = where[np.argsort(own[where], kind="stable")]
-        edges = np.searchsorted(own[where], np.arange(len(rows) + 1))
-        out = [(k, rec[where[edges[k] : edges[k + 1]]]) for k in range(len(rows))]
+        edges = np.searchsorted(own[where], np.arange(table.num_rows + 1))
         pieces_, ranges, known = [], [], []
-        for k, x in out:
+        for k in range(table.num_rows):
+            x = rec[where[edges[k] : edges[k + 1]]]
             r = np.zeros(len(x), RANGE)
             r["doc"], r["a"], r["b"] = x["doc"], x["at"] - x["off"], x["at"] - x["off"].astype(np.int64) + x["run"] + length
-            blob = r.tobytes() + (rows[k]["ranges"] or b"")
+            blob = r.tobytes() + (table["ranges"][k].as_py() or b"")
             if blob:
-                pieces_.append(rows[k]["piece"])
+                pieces_.append(table["piece"][k].as_py())
                 ranges.append(blob)
-                known.append(rows[k]["uids"])
+                known.append(table["uids"][k].as_py())
         p, q = len(pieces_), int(ask.sum())
         x = rec[ask]
         gap = lambda size: pa.nulls(size, pa.int64())

@@ -6,10 +6,24 @@ n-gram hashes come from whole-array numpy operations, so no Python object is mad
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+def _return_memory_when_freed() -> None:
+    """Let the allocator map arrays of 1 MB or more on their own, so that a worker gives them back when they are freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed from now on
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_return_memory_when_freed()
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
