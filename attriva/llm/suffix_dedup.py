@@ -239,8 +239,12 @@ def _merge(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[i, 0], top[np.append(i[1:], len(ranges)) - 1]], 1)
 
 
-def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_000_000) -> tuple[DataFrame, DataFrame]:
-    """(documents with packed bytes, (uid, ranges)): the byte ranges that go, merged, of every document that has any."""
+def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_000_000, most_classes: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(documents with packed bytes, (uid, ranges)): the byte ranges that go, merged, of every document that has any.
+
+    Keys of more than ``most_classes`` classes never meet in one group: their windows are compared by a 128-bit hash, in
+    keyed aggregates that combine before the exchange.
+    """
     frame = texts(docs)
     total = frame.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(12, max(3, math.ceil(math.log2(int(total) / per_fragment + 1))))
@@ -308,8 +312,8 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
         lead = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.zeros(0, np.int64)
         gone = ~new & ~((ids == ids[lead]) & (rec["at"] == rec["at"][lead]))
         of_key = np.cumsum(new_key) - 1
-        several = np.bincount(of_key[new], minlength=int(of_key[-1]) + 1 if n else 0)[of_key] > 1
-        ask = new & several
+        n_classes = np.bincount(of_key[new], minlength=int(of_key[-1]) + 1 if n else 0)[of_key]
+        ask = new & (n_classes > 1)
         where = np.flatnonzero(gone)
         where = where[np.argsort(own[where], kind="stable")]
         edges = np.searchsorted(own[where], np.arange(table.num_rows + 1))
@@ -329,11 +333,11 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
         return pa.table({
             "piece": pa.chunked_array([pa.array(pieces_, pa.int64()), gap(q)]), "uids": pa.chunked_array([pa.array(known, pa.binary()), pa.nulls(q, pa.binary())]), "ranges": pa.chunked_array([pa.array(ranges, pa.binary()), pa.nulls(q, pa.binary())]),
             "uid": pa.chunked_array([gap(p), pa.array(uids[ask])]), "doc_id": pa.chunked_array([gap(p), pa.array(ids[ask])]), "key": pa.chunked_array([gap(p), pa.array(x["key"].view(np.int64) if q else np.zeros(0, np.int64))]),
-            "at": pa.chunked_array([gap(p), pa.array(x["at"].astype(np.int64))]), "off": pa.chunked_array([gap(p), pa.array(x["off"].astype(np.int64))]), "run": pa.chunked_array([gap(p), pa.array(x["run"].astype(np.int64))]),
+            "at": pa.chunked_array([gap(p), pa.array(x["at"].astype(np.int64))]), "off": pa.chunked_array([gap(p), pa.array(x["off"].astype(np.int64))]), "run": pa.chunked_array([gap(p), pa.array(x["run"].astype(np.int64))]), "n_classes": pa.chunked_array([gap(p), pa.array(n_classes[ask].astype(np.int64))]),
         })
 
     packed = frame.mapInArrow(cut, "piece long, frag int, ids binary, uids binary, found binary, ranges binary")
-    step = written(packed.groupBy("frag").applyInArrow(classes, "piece long, uids binary, ranges binary, uid long, doc_id long, key long, at long, off long, run long"), "suffix-classes", gather=True)
+    step = written(packed.groupBy("frag").applyInArrow(classes, "piece long, uids binary, ranges binary, uid long, doc_id long, key long, at long, off long, run long, n_classes long"), "suffix-classes", gather=True)
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -344,7 +348,7 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
     press = frame.mapInArrow(pack, "doc_id long, uid long, z binary")
 
     # the bytes of each class's first occurrence
-    asked = step.where("piece is null").groupBy("uid").agg(F.collect_list(F.struct("doc_id", "key", "at", "off", "run")).alias("asked"))
+    asked = step.where(f"piece is null and n_classes <= {most_classes}").groupBy("uid").agg(F.collect_list(F.struct("doc_id", "key", "at", "off", "run")).alias("asked"))
 
     def fetch(batches):
         open_ = zstandard.ZstdDecompressor()
@@ -399,6 +403,27 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
     buckets = 1 << bits + 2
     pairs = strings.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(compare, "uid long, a long, b long")
 
+    def windows(batches):
+        open_ = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = open_.decompress(batch.column(1)[row].as_py())
+                a = batch.column(2)[row].values
+                doc, begin, run = (a.field(x).to_pylist() for x in ("doc_id", "begin", "run"))
+                own = [(i, p) for i, b, r in zip(doc, begin, run, strict=True) for p in range(b, b + r + 1)]
+                for k in range(0, len(own), 4096):
+                    part = own[k : k + 4096]
+                    h = pa.array([hashlib.blake2b(text[p : p + length], digest_size=16).digest() for _, p in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([h, pa.repeat(batch.column(0)[row], len(part)), pa.array([i for i, _ in part], pa.int64()), pa.array([p for _, p in part], pa.int64())], names=["h", "uid", "doc_id", "a"])
+
+    crowded = step.where(f"piece is null and n_classes > {most_classes}")
+    if not crowded.isEmpty():
+        wanted = crowded.groupBy("uid").agg(F.collect_list(F.struct("doc_id", (F.col("at") - F.col("off")).alias("begin"), "run")).alias("asked"))
+        each = written(press.select("uid", "z").join(wanted, "uid").mapInArrow(windows, "h binary, uid long, doc_id long, a long"), "suffix-windows", gather=True)
+        first = each.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
+        later = each.join(first, "h").where(F.struct("doc_id", "a") > F.col("first"))
+        pairs = pairs.unionByName(later.select("uid", "a", (F.col("a") + length).alias("b")))
+
     def spread(batches):
         for batch in batches:
             for row in range(batch.num_rows):
@@ -452,9 +477,9 @@ def _cut_down(strings: list[bytes], off: list[int], length: int) -> list[tuple[i
     return [(k, (off[k] - reach[0][k], off[k] + reach[1][k])) for k in range(n) if reach[0][k] + reach[1][k] >= length]
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, most_classes: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, kept, spans array<struct<start,end>>) of every row; kept: the remaining bytes."""
-    press, ranges = removed_ranges(docs, length)
+    press, ranges = removed_ranges(docs, length, most_classes=most_classes)
 
     def finish(batches):
         open_ = zstandard.ZstdDecompressor()
