@@ -208,7 +208,7 @@ def occurrences(data: np.ndarray, offsets: np.ndarray, length: int, gram: int =
         a, b, c = p[i], p[j], at[i]
         sums, _ = _sums(data, 1)
         string = mix((sums[b + length] - sums[a]) * inverse[a] + (b - a).astype(U64) * U64(0x9E3779B97F4A7C15) + (c - a).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    return h[c], string, doc[i], c, a, b
+    return mix(h[c]), string, doc[i], c, a, b  # minima are small: spread them over the fragments
 
 
 def _run_occurrences(data, offsets, length):
