@@ -136,6 +136,19 @@ def pick_donor(pairs: DataFrame, key: str, card: str, exact: float = 78.0, line:
     return best.withColumn("grade", F.when(F.col("score") >= exact, "exact").otherwise("brand_line"))
 
 
+def _joined(batches, rows: int):
+    """Batches of at least ``rows`` rows, the last one perhaps fewer; a task's results are cut per batch."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
     """The k most similar rows of each query by cosine, exact; (query_id, id, similarity, rank).
 
@@ -160,9 +173,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 512)
         def run(batches, shared=shared):
             ids, q = shared.value
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _joined(batches, 4096):
                 own_ids = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own_ids), -1)
                 sim = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
