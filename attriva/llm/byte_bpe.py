@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts, written
-from .textops import id_column, int64s, pieces, text_bytes
+from .textops import gathered, id_column, int64s, pieces, text_bytes
 
 LONG = 160
 SHARDS = 1 << 14
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         if "numbers" not in cache:
             cache["numbers"] = _Numbers(shared.value[0])
         find, numbers = split_pattern(pattern).findall, cache["numbers"]
-        for batch in batches:
+        for batch in gathered(batches, 800_000):
             _, offsets = text_bytes(batch.column(1))
             ids, column = int64s(batch.column(0)), batch.column(1)
             for i, j in pieces(offsets, 1_000_000):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import lookup, texts, written
-from .textops import ALNUM_WORDS, id_column, int64s, words_of
+from .textops import ALNUM_WORDS, gathered, id_column, int64s, words_of
 
 GAP = 1 << 12
 SEGMENT_BYTES = 1_000_000
@@ -30,7 +30,7 @@ def build_index(docs: DataFrame, table: np.ndarray = ALNUM_WORDS) -> DataFrame:
 
     def segments(batches):
         part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, SEGMENT_BYTES * 4 // 5):
             ids = int64s(batch.column(0))
             for i, j, w in words_of(batch.column(1), table, SEGMENT_BYTES, 4096):
                 order = np.argsort(w.hash, kind="stable")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, lookup, texts, written
-from .textops import SPACE_WORDS, U64, int64s, text_bytes, words_of
+from .textops import SPACE_WORDS, U64, gathered, int64s, text_bytes, words_of
 
 PACKED = "piece long, frag int, ids binary, counts binary, grams binary"
 COUNTED = PACKED + ", twice binary, known binary"
@@ -61,7 +61,7 @@ def packed_fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
     def cut(batches):
         part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, 640_000):
             ids = int64s(batch.column(0))
             for i, j, w in words_of(batch.column(1), SPACE_WORDS, 800_000, 1 << doc_bits):
                 m = j - i
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, n: int, seg_bits: int) -> DataFrame:
     """(doc_id, n_grams, sig, segs): exact 64-bit sets cut into 2**seg_bits fragments."""
 
     def exact(batches):
-        for batch in batches:
+        for batch in gathered(batches, 800_000):
             ids = int64s(batch.column(0))
             for i, j, w in words_of(batch.column(1), SPACE_WORDS, 1_000_000):
                 s, d, _ = w.ngrams(n)
@@ -162,7 +162,7 @@ def _prefixes(sets: DataFrame, percent: int, bits: int) -> DataFrame:
 
     def cut(batches):
         part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, 2_000_000):
             ids = int64s(batch.column(0))
             lists = batch.column(1)
             for i in range(0, len(ids), min(1 << doc_bits, 512)):

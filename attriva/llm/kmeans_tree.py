@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import written
+from .textops import gathered
 
 
 class KMeansTree:
@@ -151,7 +152,7 @@ def brute_force(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> Da
 
     def run(batches):
         q_ids, q = shared.value
-        for batch in batches:
+        for batch in gathered(batches, 2_000_000):
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
             leaf = batch.column(2).to_numpy()
             of, near, d = nearest(q_ids, q, ids, x, k)
@@ -181,7 +182,7 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.96, sampl
     shared = spark.sparkContext.broadcast(tree)
 
     def assign(batches):
-        for batch in batches:
+        for batch in gathered(batches, 2_000_000):
             leaf = shared.value.assign(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf.astype(np.int32))], names=["vec_id", "v", "leaf"])
 
@@ -207,7 +208,7 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.96, sampl
     got = float((need < visits).mean()) if len(need) else 1.0
 
     def visit(batches):
-        for batch in batches:
+        for batch in gathered(batches, 2_000_000):
             ids, leaves = [], []
             for n, own in enumerate(_matrix(batch.column(1)) if batch.num_rows else []):
                 seen = held = 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
 from .shared import crc_mod, texts
-from .textops import SPACE_WORDS, Words, id_column, int64s, pieces, text_bytes
+from .textops import SPACE_WORDS, Words, gathered, id_column, int64s, pieces, text_bytes
 
 _PRINT = list(range(0x21, 0x30)) + list(range(0x3A, 0x41)) + list(range(0x5B, 0x61)) + list(range(0x7B, 0x7F))
 N_FEATURES = 0  # set below
@@ -110,7 +110,7 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
 
 def _featured(frame: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches, 800_000):
             data, offsets = text_bytes(batch.column(0))
             for i, j in pieces(offsets, 1_000_000, 1000):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -133,7 +133,7 @@ def quality_scores(docs: DataFrame, model: dict, cut: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; the score sees nothing but the text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches, 800_000):
             data, offsets = text_bytes(batch.column(1))
             ids = int64s(batch.column(0))
             for i, j in pieces(offsets, 1_000_000, 1000):

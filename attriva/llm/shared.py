@@ -21,9 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def texts(docs: DataFrame, rows: int = 500) -> DataFrame:
-    """(doc_id long, text string) of ``docs``; Arrow batches of this session are held to ``rows`` rows, so that a
-    Python worker never holds many texts at once."""
+def texts(docs: DataFrame, rows: int = 16) -> DataFrame:
+    """(doc_id long, text string) of ``docs``; Arrow batches of this session are held to ``rows`` rows, so that
+    neither side ever buffers many long texts, or many packed runs of documents, at once."""
     spark = docs.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts, written
-from .textops import _BASE, _BASE_INV, U64, _power_table, id_column, int64s, mix, pieces, text_bytes
+from .textops import U64, _BASE, _BASE_INV, _power_table, gathered, id_column, int64s, mix, pieces, text_bytes
 
 GRAM = 48
 POSITION_BITS = 24
@@ -252,7 +252,7 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
 
     def cut(batches):
         part, k = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, 1_200_000):
             data, offsets = text_bytes(batch.column(1))
             ids, uids = int64s(batch.column(0)), int64s(batch.column(2))
             for i, j in pieces(offsets, 1_500_000, 60_000):

@@ -100,6 +100,20 @@ def pieces(offsets: np.ndarray, max_bytes: int, max_docs: int = 1 << 30):
         i = j
 
 
+def gathered(batches, size: int):
+    """Join the small batches that arrive into ones of about ``size`` bytes, so that runs of documents do not depend on how
+    many rows a batch brings."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Words:
     """The words of a run of documents: 64-bit hashes, document index, start and end byte."""
 
