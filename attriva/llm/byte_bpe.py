@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts, written
-from .textops import gathered, id_column, int64s, pieces, text_bytes
+from .textops import gathered, give_back, id_column, int64s, pieces, text_bytes
 
 LONG = 160
 SHARDS = 1 << 14
@@ -286,6 +286,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                     ],
                     names=["doc_id", "ids", "n_tokens", "decoded"],
                 )
+        cache.clear()
+        give_back()
 
     numbered = texts(docs).mapInArrow(number, "doc_ids binary, sizes binary, seq binary, rare array<string>, long array<binary>")
     # an empty string stands for a long word and keeps its place

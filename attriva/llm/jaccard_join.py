@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, lookup, texts, written
-from .textops import SPACE_WORDS, U64, gathered, int64s, text_bytes, words_of
+from .textops import SPACE_WORDS, U64, gathered, give_back, int64s, text_bytes, words_of
 
 PACKED = "piece long, frag int, ids binary, counts binary, grams binary"
 COUNTED = PACKED + ", twice binary, known binary"
@@ -114,6 +114,7 @@ def shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
             starts = np.concatenate([[pos], ends[:-1]])
             out.append((total[ends] - total[starts]).astype(np.uint32).tobytes())
             pos = int(ends[-1]) if len(ends) else pos
+        give_back()
         return pa.table({"piece": table["piece"], "ids": table["ids"], "counts": table["counts"], "shared": pa.array(out, pa.binary()), "known": table["known"]})
 
     def collect(table: pa.Table) -> pa.Table:

@@ -247,7 +247,7 @@ def removed_ranges(docs: DataFrame, length: int = 100, per_fragment: int = 24_00
     """
     frame = texts(docs)
     total = frame.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(12, max(3, math.ceil(math.log2(int(total) / per_fragment + 1))))
+    bits = min(12, max(6, math.ceil(math.log2(int(total) / per_fragment + 1))))
     frame = frame.withColumn("uid", F.xxhash64("doc_id", "text"))
 
     def cut(batches):

@@ -13,17 +13,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def _return_memory_when_freed() -> None:
-    """Let the allocator map arrays of 1 MB or more on their own, so that a worker gives them back when they are freed."""
+def _c_library():
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed from now on
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed from now on: arrays of 1 MB or more are mapped on their own
         libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        return libc
     except (OSError, AttributeError):  # another C library
-        pass
+        return None
+
+
+_libc = _c_library()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits idle for its next task, beside others that need the memory."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
-_return_memory_when_freed()
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
@@ -112,6 +121,8 @@ def gathered(batches, size: int):
             held, total = [], 0
     if held:
         yield pa.concat_batches(held)
+    del held
+    give_back()
 
 
 class Words:
