@@ -121,26 +121,33 @@ def _matrix(column) -> np.ndarray:
 
 
 def nearest(q_ids, q, ids, x, k: int, block: int = 256):
-    """(query index, id, distance) of the k nearest rows of each query, ties to the smaller id, never its own id."""
+    """(query index, row of the id, distance) of the k nearest ids of each query, ties to the smaller id, never its own id."""
     out = []
     norms = (x * x).sum(1)
+    most = int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 0
     for a in range(0, len(q), block):
         part = q[a : a + block]
         rough = norms - 2 * part @ x.T + (part * part).sum(1)[:, None]
         for r in range(len(part)):
             row = rough[r]
-            if len(x) > k + 1:
-                near = np.partition(row, k)[k]  # one more than k, for the query itself
-                keep = np.flatnonzero(row <= near + 1e-9 * (1 + abs(near) + norms.max()))
-            else:
-                keep = np.arange(len(x))
-            keep = keep[ids[keep] != q_ids[a + r]]
+            cut = k + 1  # one more than k, for the query itself
+            while True:
+                if len(x) > cut:
+                    near = np.partition(row, cut - 1)[cut - 1]
+                    keep = np.flatnonzero(row <= near + 1e-9 * (1 + abs(near) + norms.max()))
+                else:
+                    keep = np.arange(len(x))
+                keep = keep[ids[keep] != q_ids[a + r]]
+                # rows that repeat an id are one: widen until the cut holds k ids
+                if len(x) <= cut or most == 1 or len(np.unique(ids[keep])) >= k:
+                    break
+                cut *= 2
             d = np.sqrt(((x[keep] - part[r]) ** 2).sum(1))
             first = np.lexsort((ids[keep], d))
             keep, d = keep[first], d[first]
             _, unique = np.unique(ids[keep], return_index=True)
             unique = np.sort(unique)[:k]
-            out.append((np.full(len(unique), a + r), ids[keep[unique]], d[unique]))
+            out.append((np.full(len(unique), a + r), keep[unique], d[unique]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
@@ -156,8 +163,7 @@ def brute_force(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> Da
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
             leaf = batch.column(2).to_numpy()
             of, near, d = nearest(q_ids, q, ids, x, k)
-            where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[of]), pa.array(near), pa.array(d), pa.array([where[i] for i in near.tolist()], pa.int32())], names=["query_id", "vec_id", "score", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[of]), pa.array(ids[near]), pa.array(d), pa.array(leaf[near], pa.int32())], names=["query_id", "vec_id", "score", "leaf"])
 
     found = rows.select("vec_id", "v", "leaf").mapInArrow(run, "query_id long, vec_id long, score double, leaf int")
     return _ranked(found.groupBy("query_id", "vec_id").agg(F.min(F.struct("score", "leaf")).alias("m")).select("query_id", "vec_id", "m.*"), k)
@@ -190,6 +196,10 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.96, sampl
     sizes = np.zeros(tree.n_leaves, np.int64)
     for leaf, n in index.groupBy("leaf").count().toLocalIterator():
         sizes[leaf] = n
+    # ids count in one leaf each, so that those of several leaves are never fewer than their sum
+    n_ids = np.zeros(tree.n_leaves, np.int64)
+    for leaf, n in index.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().toLocalIterator():
+        n_ids[leaf] = n
 
     asked = index.where(queries)
     some = asked.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(calibration).toArrow()
@@ -200,7 +210,7 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.96, sampl
     place = {}
     for i, own in zip(q_ids.tolist(), q, strict=True):
         for n, leaf in enumerate(tree.walk(own)):
-            place[i, leaf] = n
+            place[i, leaf] = min(n, place.get((i, leaf), n))
     need = np.array([place[a, b] for a, b in zip(truth["query_id"].to_pylist(), truth["leaf"].to_pylist(), strict=True)])
     visits = 1
     while visits < tree.n_leaves and (need < visits).mean() < recall:  # widen
@@ -215,7 +225,7 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.96, sampl
                 for leaf in shared.value.walk(own):
                     ids.append(n)
                     leaves.append(leaf)
-                    seen, held = seen + 1, held + sizes[leaf]
+                    seen, held = seen + 1, held + n_ids[leaf]
                     if seen >= visits and held > k:
                         break
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), batch.column(1).take(pa.array(ids, pa.int64())), pa.array(leaves, pa.int32())], names=["query_id", "q", "leaf"])
@@ -230,8 +240,9 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.96, sampl
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if rows.num_rows and asked.num_rows:
             q_ids = asked["query_id"].to_numpy()
-            of, ids, d = nearest(q_ids, _matrix(asked["q"]), rows["vec_id"].to_numpy(), _matrix(rows["v"]), k)
-            return pa.table({"query_id": pa.array(q_ids[of]), "vec_id": pa.array(ids), "score": pa.array(d)})
+            ids = rows["vec_id"].to_numpy()
+            of, near, d = nearest(q_ids, _matrix(asked["q"]), ids, _matrix(rows["v"]), k)
+            return pa.table({"query_id": pa.array(q_ids[of]), "vec_id": pa.array(ids[near]), "score": pa.array(d)})
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     found = left.groupBy("leaf", "r", "s").cogroup(right.groupBy("leaf", "r", "s")).applyInArrow(meet, "query_id long, vec_id long, score double")

@@ -49,3 +49,18 @@ def test_one_hot_leaf(spark):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     for q in range(0, 900, 100):
         assert [round(s, 9) for _, s in got[q]] == [round(s, 9) for _, s in exact(ids, x, q, 5)]
+
+
+def test_repeated_rows_hide_no_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(500, 6)), np.arange(500)
+    twice, near = np.concatenate([x, x]), np.concatenate([ids, ids])
+    of, at, d = kt.nearest(ids[:20], x[:20], near, twice, 10)
+    for q in range(20):
+        assert list(zip(near[at[of == q]].tolist(), d[of == q], strict=True)) == exact(ids, x, q)
+    # an id that stands 40 times beside each query, and leaves that hold no other id
+    crowd = [(7, (x[q] + 0.001).tolist(), 0, "") for q in range(0, 500, 100) for _ in range(40)]
+    got, _ = found(spark, [(int(i), v.tolist(), 0, "") for i, v in zip(near, twice, strict=True)] + crowd, leaf_rows=40, recall=1.0)
+    for q in range(0, 500, 100):
+        want = [7, *(v for v, _ in exact(ids, x, q, 11) if v != 7)][:10]
+        assert len(got[q]) == 10 and got[q][0][0] == 7 and len(set(want) & {v for v, _ in got[q]}) >= 9
