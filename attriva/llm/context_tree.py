@@ -10,8 +10,8 @@ Beside it a word unigram score with add-0.5 smoothing: word counts are exact ove
 frequent words (each at least a ``HOT``-th of all tokens, so their number is bounded) are looked up in place; the
 other words meet in hash fragments and send back one partial sum per document.
 
-Only contexts of full depth whose count is among the ``max_contexts`` largest get rows of their own in the scoring
-table; the others are scored by their suffix, with the same counts.  This bounds what is broadcast.
+Counts of all contexts are kept.  The ``max_contexts`` most frequent full contexts have rows in a scoring table that is
+broadcast; bytes after another context meet its counts in fragments, as the other words do, with the same predictions.
 
 Defined cases: a null or empty text is the end token alone; every row gives a row, repeated or not; rows of null id
 count as id text '' in the split; without training rows all counts are 0 and the byte model is uniform; an empty
@@ -24,12 +24,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_mod, texts, written
-from .textops import LOWER, SPACE_WORDS, U64, Words, gathered, id_column, int64s, pieces, text_bytes
+from .textops import LOWER, SPACE_WORDS, U64, Words, gathered, id_column, int64s, mix, pieces, text_bytes
 
 DEPTH = 3
 END = 0xFF
@@ -156,35 +157,43 @@ def _byte_logs(p_one: np.ndarray) -> np.ndarray:
     return total
 
 
+def _pairs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts of depth 2, their byte counts, summed log weights of the contexts below each) from sorted grams."""
+    keys = keys.astype(np.uint32)
+    deep, row = np.unique(keys >> np.uint32(8), return_inverse=True)
+    two, of_two = np.unique(deep >> np.uint32(8), return_inverse=True)
+    below, c2 = np.zeros((len(two), 255)), np.zeros((len(two), 256))
+    first = np.searchsorted(row, np.arange(len(deep) + 1))
+    for a in range(0, len(deep), 4096):
+        b = min(len(deep), a + 4096)
+        c = Tree._dense(row, (keys & np.uint32(255)).astype(np.int64), counts, first, a, b)
+        zero, ones = _nodes(c)
+        np.add.at(below, of_two[a:b], _log_kt(zero, ones))
+        np.add.at(c2, of_two[a:b], c)
+    return two, c2, below
+
+
 class Tree:
     """Scoring table of the weighted tree: rows of log10 byte probabilities and the row of each context."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, max_contexts: int):
-        """keys: byte-gram codes, sorted; counts: of them."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, max_contexts: int, pairs=None):
+        """keys: byte-gram codes, sorted; counts: of them; pairs: what ``_pairs`` gives for all grams, if these are not all."""
         keys = keys.astype(np.uint32)
         ctx, byte = keys >> np.uint32(8), (keys & np.uint32(255)).astype(np.int64)
         # a context of depth d is the leading 8*d bits of the 24; all levels' statistics, deepest first
         deep, row = np.unique(ctx, return_inverse=True)
-        two, of_two = np.unique(deep >> np.uint32(8), return_inverse=True)
-        one, of_one = np.unique(two >> np.uint32(8), return_inverse=True)
-        below = np.zeros((len(two), 255))  # summed log weights of the contexts below each depth-2 context
-        c2 = np.zeros((len(two), 256))
         first = np.searchsorted(row, np.arange(len(deep) + 1))
-        for a in range(0, len(deep), 4096):
-            b = min(len(deep), a + 4096)
-            c = self._dense(row, byte, counts, first, a, b)
-            zero, ones = _nodes(c)
-            np.add.at(below, of_two[a:b], _log_kt(zero, ones))
-            np.add.at(c2, of_two[a:b], c)
+        two, c2, below = _pairs(keys, counts) if pairs is None else pairs
+        of_two = np.searchsorted(two, deep >> np.uint32(8))
+        one, of_one = np.unique(two >> np.uint32(8), return_inverse=True)
         kt2, beta2, w2 = self._level(c2, below)
         c1, s1 = np.zeros((len(one), 256)), np.zeros((len(one), 255))
         np.add.at(c1, of_one, c2)
         np.add.at(s1, of_one, w2)
         kt1, beta1, w1 = self._level(c1, s1)
         kt0, beta0, _ = self._level(c1.sum(0, keepdims=True), w1.sum(0, keepdims=True))
-
-        def top(p2, j):  # mix upwards from predictions at depth 2 of contexts below ``one[j]``
-            return beta0 * kt0 + (1 - beta0) * (beta1[j] * kt1[j] + (1 - beta1[j]) * p2)
+        self.upper = one, kt0, beta0, kt1, beta1
+        top = self._top
 
         size = np.bincount(row, counts, len(deep)) if len(deep) else np.zeros(0)
         keep = np.sort(np.argsort(-size, kind="stable")[:max_contexts])
@@ -203,6 +212,36 @@ class Tree:
         self.table = np.concatenate(table)
         self.one, self.two, self.deep = one, two, deep[keep]
 
+    def _top(self, p2: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Mix upwards from predictions at depth 2 of contexts below ``one[j]``."""
+        _, kt0, beta0, kt1, beta1 = self.upper
+        return beta0 * kt0 + (1 - beta0) * (beta1[j] * kt1[j] + (1 - beta1[j]) * p2)
+
+    def logs(self, code: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each code; keys, counts: all grams, sorted, of the codes' contexts of depth 2."""
+        asked, which = np.unique(code, return_inverse=True)
+        two, c2, below = _pairs(keys, counts)
+        kt2, beta2, _ = self._level(c2, below)
+        ctx, row = np.unique(asked >> np.uint32(8), return_inverse=True)
+        deep, of = np.unique(keys >> np.uint32(8), return_inverse=True)
+        first = np.searchsorted(of, np.arange(len(deep) + 1))
+        out = np.zeros(len(asked))
+        edges = np.searchsorted(row, np.arange(len(ctx) + 1))
+        for a in range(0, len(ctx), 1024):
+            own = ctx[a : a + 1024]
+            c = np.zeros((len(own), 256))
+            at = np.minimum(np.searchsorted(deep, own), len(deep) - 1)
+            for k in np.flatnonzero(deep[at] == own).tolist():
+                lo, hi = first[at[k]], first[at[k] + 1]
+                c[k, keys[lo:hi] & np.uint32(255)] = counts[lo:hi]
+            zero, ones = _nodes(c)
+            j = np.searchsorted(two, own >> np.uint32(8))
+            p2 = beta2[j] * kt2[j] + (1 - beta2[j]) * (ones + 0.5) / (zero + ones + 1)
+            table = _byte_logs(self._top(p2, np.searchsorted(self.one, own >> np.uint32(16))))
+            lo, hi = edges[a], edges[a + len(own)]
+            out[lo:hi] = table[row[lo:hi] - a, asked[lo:hi] & np.uint32(255)]
+        return out[which]
+
     @staticmethod
     def _dense(row, byte, counts, first, a, b):
         lo, hi = first[a], first[b]
@@ -236,32 +275,72 @@ def _scorer(shared):
     return _cache["model"], _cache["rows"]
 
 
+def _gram_fragment(code: np.ndarray, bits: int) -> np.ndarray:
+    """By the context of depth 2, so that all grams of one meet."""
+    return (mix(code >> np.uint32(16)) >> U64(64 - bits)).astype(np.int64)
+
+
+def _packed_grams(grams: DataFrame, bits: int) -> DataFrame:
+    """(gram_frag, keys, ns): grams with their counts, packed by fragment."""
+
+    def pack(batches):
+        for batch in gathered(batches, 8_000_000):
+            key, n = batch.column(0).to_numpy().astype(np.uint32), batch.column(1).to_numpy()
+            frag = _gram_fragment(key, bits)
+            order = np.argsort(frag, kind="stable")
+            key, n = key[order], n[order]
+            edges = np.append(np.searchsorted(frag[order], np.arange(1 << bits)), len(key))
+            use = [(f, a, b) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in use], pa.int32()), pa.array([key[a:b].tobytes() for _, a, b in use], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in use], pa.binary())], names=["gram_frag", "keys", "ns"])
+
+    return grams.select("key", "n").mapInArrow(pack, "gram_frag int, keys binary, ns binary")
+
+
+def _unpacked(keys, ns) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = text_bytes(keys)[0].view(np.uint32), text_bytes(ns)[0].view(np.int64).astype(np.float64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _levels(table: pa.Table) -> pa.Table:
+    two, c2, below = _pairs(*_unpacked(table["keys"], table["ns"]))
+    return pa.table({"two": pa.array(two.astype(np.int64)), "c2": pa.array([x.tobytes() for x in c2], pa.binary()), "below": pa.array([x.tobytes() for x in below], pa.binary())})
+
+
 def train(docs: DataFrame, max_contexts: int = 1 << 16, held_out_rest: int = 1) -> dict:
     """Counts over all training texts; tree table, frequent words, N and V for the driver, all of bounded size."""
     counted = written(count_training(docs, held_out_rest), "lm-counts")
     words, grams = counted.where("kind = 1"), counted.where("kind = 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     hot = words.where(F.col("n") * HOT >= int(total)).select("key", "n").toArrow()
-    # grams of rare full contexts are folded into a shared deepest byte, which bounds what the driver gets
     deep = grams.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("size"))
-    if deep.count() > 4 * max_contexts:
-        kept = deep.orderBy(F.desc("size"), "ctx").limit(4 * max_contexts).select("ctx")
-        grams = grams.join(F.broadcast(kept.withColumn("kept", F.lit(True))), F.shiftright("key", 8) == F.col("ctx"), "left")
-        grams = grams.select(F.when(F.col("kept"), F.col("key")).otherwise(F.col("key").bitwiseAND(F.lit(0xFFFF00FF)).bitwiseOR(F.lit(0xFE00))).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = packed = bits = None
+    if deep.count() > max_contexts:
+        # the driver gets the grams of the most frequent full contexts, and sums over all contexts at depth 2
+        bits = min(12, max(3, math.ceil(math.log2(grams.count() / 250_000 + 1))))
+        packed = written(_packed_grams(grams, bits), "lm-grams")
+        levels = packed.groupBy("gram_frag").applyInArrow(_levels, "two long, c2 binary, below binary").toArrow()
+        two = levels["two"].to_numpy()
+        order = np.argsort(two)
+        c2, below = (text_bytes(levels[k])[0].view(np.float64).reshape(len(two), -1)[order] for k in ("c2", "below"))
+        pairs = two[order].astype(np.uint32), c2, below
+        kept = deep.orderBy(F.desc("size"), "ctx").limit(max_contexts).select("ctx")
+        grams = grams.join(F.broadcast(kept), F.shiftright("key", 8) == F.col("ctx"), "left_semi")
     rows = grams.select("key", "n").toArrow()
     keys, counts = rows["key"].to_numpy(), rows["n"].to_numpy()
     order = np.argsort(keys)
-    tree = Tree(keys[order], counts[order].astype(np.float64), max_contexts)
+    tree = Tree(keys[order], counts[order].astype(np.float64), max_contexts, pairs)
     words_hot, counts_hot = hot["key"].to_numpy().view(U64), hot["n"].to_numpy()
     order = np.argsort(words_hot)
-    return {"tree": tree, "hot": words_hot[order], "hot_n": counts_hot[order].astype(np.float64), "N": int(total), "V": int(distinct)}
+    return {"tree": tree, "hot": words_hot[order], "hot_n": counts_hot[order].astype(np.float64), "N": int(total), "V": int(distinct), "grams": packed, "gram_bits": bits}
 
 
 def score(docs: DataFrame, model: dict, held_out_rest: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row."""
     frame = texts(docs)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    grams, gram_bits = model["grams"], model["gram_bits"]
+    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "grams"})
     total = frame.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(12, max(3, math.ceil(math.log2(int(total) / 16_000_000 + 1))))
     schema = "piece long, frag int, docs binary, counts binary, words binary"
@@ -277,8 +356,12 @@ def score(docs: DataFrame, model: dict, held_out_rest: int = 1) -> DataFrame:
                 part_data, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 n = j - i
                 code = codes(part_data, offs)
-                logs = table[rows[code >> np.uint32(8)].astype(np.int64) * 256 + (code & np.uint32(255))].astype(np.float64)
+                of = rows[code >> np.uint32(8)]
+                logs = table[of.astype(np.int64) * 256 + (code & np.uint32(255))].astype(np.float64)
                 ends = offs[1:] + np.arange(1, n + 1)
+                if gram_bits is not None:  # contexts without a row below those of depth 2 that have one
+                    rare = np.flatnonzero((of > len(model["tree"].one)) & (of <= len(model["tree"].one) + len(model["tree"].two)))
+                    logs[rare] = 0
                 byte_score = np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])) if n else np.zeros(0)
                 w = Words(part_data, offs, SPACE_WORDS)
                 h, d = np.append(w.hash, np.full(n, END_TOKEN)), np.append(w.doc, np.arange(n))
@@ -304,9 +387,44 @@ def score(docs: DataFrame, model: dict, held_out_rest: int = 1) -> DataFrame:
                     ],
                     names=["piece", "frag", "docs", "counts", "words"],
                 )
+                if gram_bits is not None and len(rare):
+                    d, code = np.searchsorted(ends, rare, side="right"), code[rare]
+                    frag = _gram_fragment(code, gram_bits)
+                    order = np.argsort(frag, kind="stable")  # documents stay in order
+                    d, code, frag = d[order], code[order], frag[order]
+                    edges = np.append(np.searchsorted(frag, np.arange(1 << gram_bits)), len(code))
+                    use = [(f, a, b) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([(part << 32) | k] * len(use), pa.int64()), pa.array([-1 - f for f, _, _ in use], pa.int32()), pa.array([None] * len(use), pa.binary()),
+                            pa.array([d[a:b].astype(np.uint32).tobytes() for _, a, b in use], pa.binary()), pa.array([code[a:b].tobytes() for _, a, b in use], pa.binary()),
+                        ],
+                        names=["piece", "frag", "docs", "counts", "words"],
+                    )
                 k += 1
 
+    def byte_fragment(table: pa.Table) -> pa.Table:
+        """Scores of bytes after contexts that have no row: (document, score) of each piece, packed; grams have no piece."""
+        is_gram = pc.is_null(table["piece"])
+        held, asked = table.filter(is_gram), table.filter(pc.invert(is_gram))
+        if not asked.num_rows:
+            return out_of([], [], [], [], [])
+        logs = shared.value["tree"].logs(text_bytes(asked["words"])[0].view(np.uint32), *_unpacked(held["words"], held["counts"]))
+        docs, scores = [], []
+        pos = 0
+        for raw in asked["counts"]:
+            d, inverse = np.unique(np.frombuffer(raw.as_py(), np.uint32), return_inverse=True)
+            docs.append(d.tobytes())
+            scores.append(np.bincount(inverse, logs[pos : pos + len(inverse)]).tobytes())
+            pos += len(inverse)
+        return out_of(asked["piece"], [None] * len(docs), scores, [None] * len(docs), docs)
+
+    def out_of(piece, docs, base, known, rare) -> pa.Table:
+        return pa.table({"piece": piece if isinstance(piece, pa.ChunkedArray) else pa.array(piece, pa.int64()), "docs": docs if isinstance(docs, pa.ChunkedArray) else pa.array(docs, pa.binary()), "base": pa.array(base, pa.binary()), "known": pa.array(known, pa.binary()), "rare": pa.array(rare, pa.binary())})
+
     def fragment(table: pa.Table) -> pa.Table:
+        if table["frag"][0].as_py() < 0:
+            return byte_fragment(table)
         rows = table.to_pylist()
         h = np.frombuffer(b"".join(r["words"] or b"" for r in rows), U64)
         raw = [np.frombuffer(r["counts"], np.uint32) for r in rows]
@@ -323,19 +441,25 @@ def score(docs: DataFrame, model: dict, held_out_rest: int = 1) -> DataFrame:
             out_log.append((logs[ends] - logs[starts]).tobytes())
             out_known.append((known[ends] - known[starts]).astype(np.int64).tobytes())
             pos = int(ends[-1]) if len(ends) else pos
-        return pa.table({"piece": table["piece"], "docs": table["docs"], "base": pa.array(out_log, pa.binary()), "known": pa.array(out_known, pa.binary())})
+        return out_of(table["piece"], table["docs"], out_log, out_known, [None] * len(rows))
 
     record = np.dtype([("id", np.int64), ("out", np.int8), ("n", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64), ("bytes", np.int64)])
     n_train, unit = model["N"], math.log10(model["N"] + 0.5 * (model["V"] + 1))
 
     def collect(table: pa.Table) -> pa.Table:
         head, base, known = None, 0, 0
-        for r in table.to_pylist():
+        rows = table.to_pylist()
+        for r in rows:
+            if r["rare"] is not None:
+                continue
             head = np.frombuffer(r["docs"], record) if r["docs"] is not None else head
             base = base + np.frombuffer(r["base"], np.float64)
             known = known + np.frombuffer(r["known"], np.int64)
         base = base + head["base"] - head["n"] * unit
-        score = head["score"]
+        score = head["score"].copy()
+        for r in rows:
+            if r["rare"] is not None:
+                score[np.frombuffer(r["rare"], np.uint32)] += np.frombuffer(r["base"], np.float64)
         return pa.table({
             "doc_id": id_column(head["id"]), "held_out": pa.array(head["out"].astype(bool)), "n_tokens": pa.array(head["n"]), "n_known": pa.array(known + head["known"]),
             "train_tokens": pa.array(np.full(len(head), n_train)), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(head["bytes"]),
@@ -343,5 +467,7 @@ def score(docs: DataFrame, model: dict, held_out_rest: int = 1) -> DataFrame:
         })
 
     packed = frame.withColumn("out", crc_mod("doc_id", 5) == held_out_rest).mapInArrow(cut, schema)
-    partial = packed.groupBy("frag").applyInArrow(fragment, "piece long, docs binary, base binary, known binary")
+    if grams is not None:
+        packed = packed.unionByName(grams.select(F.lit(None).cast("long").alias("piece"), (F.lit(-1) - F.col("gram_frag")).cast("int").alias("frag"), F.lit(None).cast("binary").alias("docs"), F.col("ns").alias("counts"), F.col("keys").alias("words")))
+    partial = packed.groupBy("frag").applyInArrow(fragment, "piece long, docs binary, base binary, known binary, rare binary")
     return partial.groupBy("piece").applyInArrow(collect, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double").hint("rebalance")

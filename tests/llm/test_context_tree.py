@@ -118,3 +118,13 @@ def test_likely_texts_score_better(spark):
     probe = spark.createDataFrame([(1, "alpha beta gamma"), (2, "zqxj kvwp fyhg")], "doc_id long, text string")
     got = {r.doc_id: r.bits_per_byte for r in ct.score(probe, model).collect()}
     assert got[1] < got[2] / 3
+
+
+def test_rare_contexts_keep_their_counts(spark):
+    rows = [(r[0], (r[1] or "")[:400], *r[2:]) for r in fixtures.rows()[:45]] + [(1000, "", "", "", 0, 0, "", "")]
+    df = fixtures.frame(spark, rows)
+    score = lambda most: sorted((r.doc_id, r.score, r.base_score) for r in ct.score(df, ct.train(df, max_contexts=most)).collect())
+    want = score(1 << 16)
+    for most in (1, 50):
+        for one, two in zip(score(most), want, strict=True):
+            assert one == pytest.approx(two, rel=1e-6, abs=1e-4)
