@@ -15,7 +15,10 @@ UNITS = (
     ("мл", "volume", 1.0), ("л", "volume", 1000.0), ("вт", "power", 1.0), ("квт", "power", 1000.0),
 )
 # Clothing sizes by letter
-LETTER_SIZES = {"XS": ("40", "42"), "S": ("42", "44"), "M": ("46", "48"), "L": ("48", "50"), "XL": ("50", "52"), "XXL": ("52", "54"), "XXXL": ("54", "56")}
+LETTER_SIZES = {
+    "XS": ("40", "42"), "S": ("42", "44"), "M": ("46", "48"), "L": ("48", "50"), "XL": ("50", "52"), "XXL": ("52", "54"), "XXXL": ("54", "56"),
+    "2XL": ("52", "54"), "3XL": ("54", "56"), "4XL": ("56", "58"), "5XL": ("58", "60"), "6XL": ("60", "62"),
+}
 
 
 def _units(place: int) -> Column:
@@ -111,16 +114,20 @@ def barcodes(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{8}|\d{12}|\d{13})(?!\d)"), F.lit(1)))
 
 
+# Words for one size for all
+ONE_SIZE = ("one size", "onesize", "os", "универсальный", "универс", "free size", "freesize", "no size")
+
+
 def sizes(value: Column) -> Column:
-    """The sizes a text names: a letter's pair, both ends of a range, a number as it is, or the one-size word."""
-    up = F.upper(F.trim(value))
+    """The sizes a word names: a letter's sizes, both ends of a range, a number as it is, or the one-size word."""
+    word = F.trim(value)
     table = F.create_map(*[y for k, v in LETTER_SIZES.items() for y in (F.lit(k), F.array(*[F.lit(x) for x in v]))])
+    letter = F.when(F.upper(word) == "XXS", "XS").otherwise(F.upper(word))
     return (
-        F.when(F.try_element_at(table, up).isNotNull(), F.try_element_at(table, up))
-        .when(up.rlike(r"^\d{2}\s*[-–/]\s*\d{2}$"), F.regexp_extract_all(up, F.lit(r"\d{2}"), F.lit(0)))
-        .when(up.rlike(r"^\d{1,3}(?:[.,]5)?$"), F.array(up))
-        .when(up.rlike("^(?:ONE[ -]?SIZE|УНИВЕРСАЛЬНЫЙ|БЕЗ РАЗМЕРА)$"), F.array(F.lit("универсальный")))
-        .otherwise(F.array().cast("array<string>"))
+        F.when(word.rlike(r"^\d+$"), F.array(word))
+        .when(word.rlike(r"^\d+[-–—]\d+$"), F.array_distinct(F.regexp_extract_all(word, F.lit(r"\d+"), F.lit(0))))
+        .when(F.lower(word).isin(*ONE_SIZE), F.array(F.lit("универсальный")))
+        .otherwise(F.coalesce(F.try_element_at(table, letter), F.array().cast("array<string>")))
     )
 
 
@@ -156,11 +163,24 @@ def majority_material(parts: Column) -> Column:
     return F.when((F.size(parts) > 0) & (total >= 20), best["material"])
 
 
+# The last volume of each shard, from shard 1 on
+SHARD_ENDS = (
+    143, 287, 431, 719, 1007, 1061, 1115, 1169, 1313, 1601, 1655, 1919, 2045, 2189, 2405, 2621, 2837, 3053, 3473, 3793, 4050, 4306, 4563, 4820, 5076, 5333, 5590, 5846, 6103,
+    6359, 6616, 6873, 7129, 7386, 7643, 7899, 8156,
+)
+
+
 def shard_volume(card_id: Column) -> tuple[Column, Column]:
     """(volume, part) of a card id."""
     return F.floor(card_id / 100000), F.floor(card_id / 1000)
 
 
+def shard(card_id: Column) -> Column:
+    """The two digits of the shard that holds a card; volumes behind the last one are in the last shard."""
+    before = F.size(F.filter(F.array(*[F.lit(x) for x in SHARD_ENDS[:-1]]), lambda end: end < shard_volume(card_id)[0]))
+    return F.when(card_id.isNotNull(), F.lpad((before + 1).cast("string"), 2, "0"))
+
+
 def word_confidence(word: Column) -> Column:
     """N18."""
     low = F.lower(F.trim(word))

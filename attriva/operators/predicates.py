@@ -192,20 +192,58 @@ def abstain_lone_guesses(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.withColumn("_n", n).where(~((F.col("source") == "llm_knowledge") & F.col("is_collection") & (F.col("_n") == 1))).drop("_n")
 
 
+# Names of hard facts, in order of trial, and sources that fetch what they report
+HARD_FACTS = (
+    ("COUNTRY", r"стран|изготовител|производител"),
+    ("PERIOD", r"срок\s+годност|срок\s+служб|гарант"),
+    ("COMPOSITION", r"состав|содержание|материал"),
+    ("SPEC", r"процессор|чипсет|видеопроцессор|ёмкост|мач|мощност|вт\b|\bIP\b|степень\s+защит|bluetooth|wi.?fi|wifi|оборот|всасыван|паскал|разрешение\s+камер|питани|напряжени|вилка|обод|покрышк|тип\s+пронаци"),
+)
+RETRIEVAL = ("web_search", "icecat", "pdf_datasheet", "ozon_card", "wb_card", "competitor_rag", "lamoda", "yandex_market", "web_marketplace", "ugc", "vision")
+CUSTOMS_ATTRIBUTE = 22232
+
+
 def hard_fact_class(name: Column) -> Column:
     """country, period, composition or spec; null: none of them."""
-    return (
-        F.when(_any(name, "страна|country"), "COUNTRY").when(_any(name, r"гаранти|срок\s+службы|warranty"), "PERIOD")
-        .when(_any(name, "состав|материал|composition|material"), "COMPOSITION").when(trailing_unit(name).isNotNull(), "SPEC")
-    )
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(HARD_FACTS):
+        out = F.when(_words(name, pattern), kind).otherwise(out)
+    return out
 
 
-def hard_fact_guard(joined: DataFrame, text: Column) -> DataFrame:
-    """inferred countries go; other inferred hard facts must stand in the compacted text."""
-    squeeze = lambda c: F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[^\p{L}\p{N}]", "")
-    fact, inferred = hard_fact_class(F.col("target_name")), F.col("source").isin("llm_knowledge", "web_search", "vision", "competitor_rag")
-    drop = fact.isNotNull() & inferred & ((fact == "COUNTRY") | ~F.contains(squeeze(text), squeeze(F.col("value_str"))))
-    return joined.where(~F.coalesce(drop, F.lit(False)))
+def salient(value: Column) -> Column:
+    """The part of a value that must be found: its first number with the word behind it, else the whole; lower case, without
+    blanks, dots and commas."""
+    number = F.regexp_extract(value, r"(?iu)\d[\d.,\s]*[а-яёa-z]+", 0)
+    return F.regexp_replace(F.lower(F.when(number != "", number).otherwise(value)), r"[\s,.]", "")
+
+
+def hard_fact_guard(joined: DataFrame, text: Column, model_text: Column | None = None, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
+    """drops hard facts that nothing supports; customs codes are exempt.
+
+    Sources that infer must find the salient part of a hard fact in ``text``; a country that they name always goes.  Of the
+    sources that fetch, only a web search's country is doubted: two hosts must name it (its evidence starts with the address
+    in brackets), or its evidence must hold a word of ``model_text``.
+    """
+    name, source = F.coalesce("target_name", "semantic_type", F.lit("")), F.col("source")
+    fact, token = hard_fact_class(name), salient(F.coalesce("value_str", F.lit("")))
+    long_enough = F.length(token) >= 2
+    found = long_enough & F.contains(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s,.]", ""), token)
+    searched = (fact == "COUNTRY") & (source == "web_search")
+    where = F.regexp_extract(F.coalesce("evidence", F.lit("")), r"^\[([^\]]+)\]", 1)
+    host = F.when(searched & (where != ""), F.coalesce(F.nullif(F.regexp_extract(where, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")), where))
+    same = Window.partitionBy(*keys, "attribute_id", "_token", "_searched")
+    plain = lambda c: F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
+    words = F.regexp_extract_all(plain(model_text if model_text is not None else F.lit("")), F.lit(r"[а-яa-z0-9]{3,}"), F.lit(0))
+    beside = F.exists(words, lambda w: F.contains(plain(F.col("evidence")), w))
+    marked = joined.withColumns({"_fact": fact, "_token": token, "_searched": F.coalesce(searched, F.lit(False)), "_host": host, "_found": found, "_beside": beside})
+    hosts = F.min("_host").over(same) < F.max("_host").over(same)
+    keep = (
+        F.when(F.col("attribute_id") == CUSTOMS_ATTRIBUTE, True)
+        .when(F.col("_searched"), (F.length("_token") >= 2) & (F.coalesce(F.col("_hosts"), F.lit(False)) | F.col("_beside")))
+        .when(F.col("_fact").isNull() | source.isin(*RETRIEVAL), True).when(F.col("_fact") == "COUNTRY", False).otherwise(F.col("_found"))
+    )
+    return marked.withColumn("_hosts", hosts).where(keep).drop("_fact", "_token", "_searched", "_host", "_hosts", "_found", "_beside")
 
 
 def country_hosts(found: DataFrame, keys: list[str], url: str, least: int = 2) -> DataFrame:
@@ -232,18 +270,70 @@ def reconcile_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("value_id", F.when(off, F.lit(None)).otherwise(F.col("value_id"))).withColumn("value_ids", F.when(off, F.lit(None)).otherwise(F.col("value_ids")))
 
 
+# Words by which evidence admits to know nothing, names of country, count and sub-name fields, groups of units
+_NO_INFORMATION = (
+    r"no information|not specified|not visible|cannot\s+(?:be\s+)?determin|uncertain|unknown|not mentioned|no\s+\S+\s+(?:information|data)|"
+    r"не указан|нет данных|не найдено|не\s+вид(?:но|ен)|невозможно\s+определить|information not found|"
+    r"skipping|skip\b|closest\s+in\s+(?:the\s+)?list|not\s+in\s+(?:the\s+)?list|no\s+\w+\s+match|not\s+confident|guess(?:ed|ing)?|inferred|"
+    r"не\s+уверен|ближайш|нет\s+в\s+списке|предположительно"
+)
+_COUNTRY_FIELD = r"страна|country|изготовител|производител|origin"
+_COUNT_FIELD = r"\b(?:число|количество|кол-во|кол\.?\s*во|count|number\s+of|qty)\b"
+_ECHO_FIELD = r"аннотаци|название\s+вкуса|название\s+цвета|название\s+аромат|название\s+запах|модель\s+тс\b"
+_YES_NO = ("да", "нет", "true", "false", "yes", "no")
+UNIT_GROUPS = (
+    ("г", "кг", "мг", "lb", "oz", "фунт"),
+    ("шт", "штук", "pcs", "piece"),
+    ("мл", "л", "ml", "l"),
+    ("см", "мм", "м", "km", "дюйм", "in", "ft", "mm", "cm"),
+)
+UNVERIFIED = ("vision", "llm_knowledge", "web_search", "competitor_rag", "safe_enum_fill")
+
+
 def self_admission(evidence: Column) -> Column:
-    """F26-1: evidence that admits to be a guess."""
-    return F.coalesce(evidence.rlike(r"(?iu)не\s+указан|предполож|вероятно|скорее всего|likely|assum|guess|not\s+(?:specified|mentioned)"), F.lit(False))
+    """F26-1: evidence that admits to know nothing or to guess."""
+    return F.coalesce(evidence.rlike(f"(?iuU)(?:{_NO_INFORMATION})"), F.lit(False))
+
+
+def foreign_unit(name: Column, value: Column) -> Column:
+    """F26-3: the value has, as a word, a unit of another group than the field's own."""
+    own, low = F.lower(trailing_unit(name)), F.lower(value)
+    out = F.lit(False)
+    for group in UNIT_GROUPS:
+        others = "|".join(u for g in UNIT_GROUPS if g is not group for u in g)
+        out = out | (own.isin(*group) & low.rlike(rf"(?iu)(?<![а-яёa-z])(?:{others})(?![а-яёa-z])"))
+    return F.coalesce(out, F.lit(False))
 
 
 def verification_gate(joined: DataFrame, text: Column) -> DataFrame:
-    """the deterministic steps of the last gate: admissions, yes/no in counts, title echoes, ungrounded numbers."""
-    value, name = F.col("value_str"), F.coalesce("target_name", F.lit(""))
-    yes_no = t.for_corroboration(value).isin("да", "нет") & ~F.col("value_str").isin("1", "0") & (trailing_unit(name).isNotNull() | _any(name, "количество|число"))
-    echo = t.title_echo(value) == t.title_echo(F.col("product_name"))
-    number = value.rlike(r"^\d+(?:[.,]\d+)?$") & ~F.contains(F.lower(F.coalesce(text, F.lit(""))), value) & ~F.col("source").isin(*model.CARD_SOURCES)
-    return joined.where(~F.coalesce(self_admission(F.col("evidence")) | yes_no | echo | number, F.lit(False)))
+    """the last gate.  Lists pass but for evidence that admits to know nothing and countries of competitors.
+
+    Scalars go for yes and no in a field of numbers, units or counts, for the whole title in a field of a part of the name,
+    for numbers of description and web search that stand neither in ``text`` nor in their evidence, and for foreign units.
+    A boolean column ``verdict``, if there is one, drops what it denies (false) of unverified sources, where the value does not
+    stand in the texts; customs codes are exempt from that.
+    """
+    from ..functions.numeric import equivalents
+
+    name, value, source = F.coalesce("target_name", F.lit("")), F.trim("value_str"), F.col("source")
+    scalar = ~F.coalesce(F.col("is_list"), F.lit(False)) if "is_list" in joined.columns else F.lit(True)
+    kind = target_kind(name, F.col("type"), F.coalesce(F.col("has_values"), F.lit(False)))
+    numeric = kind.isin("numeric", "dimensions")
+    country = _any(name, _COUNTRY_FIELD) & (source == "competitor_rag")
+    yes_no = F.lower(value).isin(*_YES_NO) & (numeric | trailing_unit(name).isNotNull() | F.coalesce(name.rlike(f"(?iuU)(?:{_COUNT_FIELD})"), F.lit(False)))
+    echo = F.coalesce(name.rlike(f"(?iuU)(?:{_ECHO_FIELD})"), F.lit(False)) & (t.title_echo(F.col("product_name")) != "") & (t.title_echo(value) == t.title_echo(F.col("product_name")))
+    grounds = F.lower(F.concat_ws(" ", "evidence", text))
+    doubted = numeric & source.isin("description", "web_search") & value.rlike(r"\d") & (grounds != "")
+    # only values in doubt reach the ways of writing a number, which Python makes
+    ways = equivalents(F.when(doubted, value))
+    number = doubted & ~F.exists(ways, lambda w: F.contains(grounds, w))
+    drop = self_admission(F.col("evidence")) | country | (scalar & (yes_no | echo | number | foreign_unit(name, value)))
+    if "verdict" in joined.columns:
+        customs = F.lit(False)
+        for part in CUSTOMS_NAMES:
+            customs = customs | F.contains(F.lower(name), F.lit(part))
+        drop = drop | (scalar & source.isin(*UNVERIFIED) & ~customs & ~F.contains(grounds, F.lower(value)) & (F.col("verdict") == F.lit(False)))
+    return joined.where(~F.coalesce(drop, F.lit(False)))
 
 
 def mud_gate(joined: DataFrame, text: Column) -> DataFrame:
@@ -258,9 +348,62 @@ def safe_enum(joined: DataFrame, text_tokens: Column, most_options: int = 35) ->
     return joined.where(fits & (t.phrase_in(t.brand_tokens(F.col("value_str")), text_tokens) | F.coalesce(F.col("confirmed"), F.lit(False))))
 
 
-def platform_field(name: Column) -> Column:
-    """fields of the platform, not of the product."""
-    return _any(name, r"rich-контент|название\s+группы|объединить\s+на\s+одной|код\s+продавца|озон\.видео|хештег|hashtag|штрихкод")
+# Descriptions and names of fields of the platform
+_PLATFORM_TEXT = r"https?://|\bmp4\b|\bmov\b|\bjson\b|sku через|seller-edu|соцсет|rich-контент|заводск\w*\s+упаковок"
+_PLATFORM_NAME = (
+    r"озон\.видео|объединить в похожие|\bуеи\b|нескольких упаковк|название файла|\bpdf\b|\bдокумент|код продавца|артикул продавца|рост модели|параметры модели|"
+    r"размер на модели|модел\w*\s+на фото|на фото\s+модел|18\+|признак\s+18|тип ростовки|ростовк|размер производителя|размер на бирке"
+)
+# Systems as fields name them, brands by the systems of their phones, names of devices
+SYSTEMS = (("ios", "ios"), ("macos", "macos"), ("mac os", "macos"), ("harmony os", "harmonyos"), ("harmonyos", "harmonyos"), ("windows", "windows"), ("android", "android"), ("ipados", "ipados"), ("watchos", "watchos"))
+ANDROID_BRANDS = ("samsung", "xiaomi", "redmi", "poco", "realme", "oppo", "vivo", "oneplus", "huawei", "honor", "infinix", "tecno", "itel", "meizu", "nokia", "motorola")
+TWO_SYSTEM_BRANDS = ("huawei", "honor")
+APPLE_DEVICES = (
+    ("watchos", r"\bapple\s+watch\b|\bwatch\s+series\b|\bwatch\s+ultra\b"), ("ipados", r"\bipad\b"), ("ios", r"\biphone\b|\bсмартфон apple\b"),
+    ("macos", r"\bmacbook\b|\bimac\b|\bmac\s+mini\b|\bmac\s+pro\b|\bmac\s+studio\b"),
+)
+
+
+def _words(text: Column, pattern: str) -> Column:
+    return F.coalesce(text.rlike(f"(?iuU)(?:{pattern})"), F.lit(False))
+
+
+def platform_field(name: Column, required: Column, kind: Column, n_values: Column, description: Column) -> Column:
+    """optional fields that the platform, not the product, fills: links, and fields without a dictionary whose name or
+    description says so."""
+    optional = ~F.coalesce(required, F.lit(False))
+    closed = F.coalesce(n_values, F.lit(0)) > 0
+    return optional & (F.coalesce(kind == "URL", F.lit(False)) | (~closed & (_words(name, _PLATFORM_NAME) | _words(description, _PLATFORM_TEXT))))
+
+
+def product_system(product_name: Column, leaf: Column, filled: Column) -> Column:
+    """The operating system that a product surely has; null: not known.  ``filled``: its own field's value, which decides
+    alone; else the device of its name and leaf category, a brand of phones, or a notebook."""
+    own, name, leaf = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (filled, product_name, leaf))
+    both = F.concat_ws(" ", name, leaf)
+    named, device = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for alias, system in reversed(SYSTEMS):
+        named = F.when(F.contains(own, F.lit(alias)), system).otherwise(named)
+    for system, pattern in reversed(APPLE_DEVICES):
+        device = F.when(_words(both, pattern), system).otherwise(device)
+    # the first brand of the list decides; one of two systems says nothing
+    brand = F.element_at(F.concat(F.filter(F.array(*map(F.lit, ANDROID_BRANDS)), lambda b: F.contains(name, b) | F.contains(leaf, b)), F.array(F.lit(""))), 1)
+    phone = _words(name, r"\bсмартфон\b") | _words(both, r"смартфон|android\s*телефон")
+    return (
+        F.when(own != "", named).when(F.contains(both, F.lit("apple")), device).when(brand.isin(*TWO_SYSTEM_BRANDS), F.lit(None))
+        .when((brand != "") & phone, "android").when(_words(both, "ноутбук|laptop"), "windows")
+    )
+
+
+def not_applicable(name: Column, required: Column, product_name: Column, category_path: Column, filled_system: Column) -> Column:
+    """optional fields that the product cannot have: versions of another system than its own, and drying on a washing
+    machine that does not dry."""
+    field = F.regexp_replace(F.regexp_extract(F.lower(F.trim(name)), r"(?u)^версия\s+(ios|macos|mac\s*os|harmonyos|harmony\s*os|windows|android|ipados|watchos)", 1), r"\s", "")
+    system = product_system(product_name, F.try_element_at(category_path, F.lit(-1)), filled_system)
+    words = F.concat_ws(" ", product_name, F.concat_ws(" ", category_path))
+    washer = _words(words, r"стиральная\s+машин") & ~_words(words, r"стиральная\s+машин\w*\s+с\s+сушкой|с\s+функцией\s+сушки")
+    out = ((field != "") & system.isNotNull() & (field != system)) | (_words(name, "сушк") & washer)
+    return ~F.coalesce(required, F.lit(False)) & F.coalesce(out, F.lit(False))
 
 
 def judged(candidates: DataFrame, verdict: Column) -> DataFrame:
@@ -271,19 +414,27 @@ def judged(candidates: DataFrame, verdict: Column) -> DataFrame:
     return candidates.withColumn("outcome", F.when(confident, "skipped").when(passes, "validated").otherwise("invalidated"))
 
 
+# Words of scripts and style sheets
+MARKUP_WORDS = ("function", "var ", "</", "px;", "rgba(", "@media", "script", "stylesheet")
+
+
 def looks_like_markup(text: Column) -> Column:
     """too much markup, or a long text with hardly any digits and colons."""
     low, n = F.lower(text), F.length(text)
     count = lambda s: (n - F.length(F.replace(low, F.lit(s), F.lit("")))) / len(s)
     marks = count("<") + count("{") + count("}")
-    for token in ("function", "var ", "</", "px;", "rgba(", "@media", "script", "stylesheet"):
+    for token in MARKUP_WORDS:
         marks = marks + 8 * count(token)
     digits, colons = F.length(F.regexp_replace(text, "[^0-9]", "")), count(":")
     poor = (n >= 400) & ((digits == 0) | (colons < 2) | ((digits / n < 0.004) & (colons < 4)))
     return (F.coalesce(n, F.lit(0)) == 0) | (marks / n > 0.06) | poor
 
 
-def looks_blocked(text: Column, markers: tuple[str, ...] = ("captcha", "datadome", "qrator", "access denied", "are you a robot", "cf-challenge")) -> Column:
+# Marks of pages that block robots
+BLOCK_MARKERS = ("captcha", "smartcaptcha", "datadome", "access denied", "just a moment", "cf-challenge", "cloudflare", "проверка", "подтвердите, что вы не робот", "are you a robot")
+
+
+def looks_blocked(text: Column, markers: tuple[str, ...] = BLOCK_MARKERS) -> Column:
     """pages of blockers; empty pages count."""
     out = F.coalesce(text, F.lit("")) == ""
     for m in markers:

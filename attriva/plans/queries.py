@@ -353,7 +353,7 @@ def q_boilerplate(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").where("html <> ''").select(F.col("page_id").cast("long").alias("page_id"), p.looks_like_markup(F.col("html")).alias("junk"))
 
 
-@query("""SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(coalesce(html, '') = '' OR regexp_matches(lower(html), 'captcha|datadome|qrator|access denied|are you a robot|cf-challenge'), true) AS blocked FROM pages""")
+@query("""SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(coalesce(html, '') = '' OR regexp_matches(lower(html), 'captcha|smartcaptcha|datadome|access denied|just a moment|cf-challenge|cloudflare|проверка|подтвердите, что вы не робот|are you a robot'), true) AS blocked FROM pages""")
 def q_block_pages(spark, sf_dir):
     """F34."""
     return d.table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), p.looks_blocked(F.col("html")).alias("blocked"))

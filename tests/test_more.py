@@ -45,12 +45,16 @@ def test_strategy_targets(spark):
 
 
 def test_gates(spark):
+    schema = "product_id long, attribute_id long, target_name string, type string, value_str string, source string, evidence string, product_name string, text string"
     rows = spark.createDataFrame(
-        [(1, 1, "Страна", "Китай", "llm_knowledge", "Дрель", "сделано"), (1, 2, "Вес, кг", "5", "web_search", "Дрель", "вес 5 кг"), (1, 3, "Вес, кг", "7", "web_search", "Дрель", "вес 5 кг"), (1, 4, "Цвет", "Дрель", "icecat", "Дрель", "x")],
-        "product_id long, attribute_id long, target_name string, value_str string, source string, product_name string, text string",
-    ).withColumn("evidence", F.lit(None).cast("string"))
-    assert {x.attribute_id for x in p.hard_fact_guard(rows, F.col("text")).collect()} == {2, 4}
-    assert {x.attribute_id for x in p.verification_gate(rows.where("attribute_id > 1"), F.col("text")).collect()} == {2}
+        [
+            (1, 1, "Страна", "text", "Китай", "llm_knowledge", None, "Дрель", "сделано"), (1, 2, "Мощность, Вт", "text", "750 Вт", "llm_knowledge", None, "Дрель", "мощность 750 Вт"),
+            (1, 3, "Мощность, Вт", "text", "900 Вт", "description", None, "Дрель", "мощность 750 Вт"), (1, 4, "Цвет", "text", "Дрель", "icecat", None, "Дрель", "x"), (1, 5, "Мощность, Вт", "text", "900 Вт", "web_search", None, "Дрель", "мощность 750 Вт"),
+        ],
+        schema,
+    ).withColumns({"semantic_type": F.lit(None).cast("string"), "has_values": F.lit(False)})
+    assert {x.attribute_id for x in p.hard_fact_guard(rows, F.col("text")).collect()} == {2, 4, 5}
+    assert {x.attribute_id for x in p.verification_gate(rows, F.col("text")).collect()} == {1, 2, 4}
 
 
 def test_more_fillers(spark):
