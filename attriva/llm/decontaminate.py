@@ -2,11 +2,14 @@
 
 ``build_index`` turns documents into index segments: per run of documents the sorted terms, their posting offsets
 and positions, as one row.  Positions of different documents lie ``GAP`` apart, so a phrase never crosses documents.
-``phrase_hits`` reads the segments once per block of test phrases; in a segment the postings of a phrase's rarest
-term are shifted by its offset and intersected with those of the next rarest, until none is left.
+``phrase_hits`` reads the segments once per block of test phrases.  Each phrase is filed under the test term that fewest
+phrases hold; a segment looks up these terms, and only phrases of those it has are tried: the postings of the phrase's
+rarest term in the segment are shifted by its offset and intersected with those of the next rarest, until none is left.
 
 Defined cases: null or wordless texts have no words and no hits; items without words are no phrases; repeated items
-count once; null item ids count as the empty id; repeated documents give a row each; an empty table gives no rows.
+count once; null item ids count as the empty id; rows that repeat a document, or have no doc_id, give a row each, however
+many blocks of items there are; texts of any length are searched whole; equal matches (ties) are all reported; extra
+columns of any name stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lookup, texts, written
+from .shared import texts, without, written
 from .textops import ALNUM_WORDS, gathered, id_column, int64s, words_of
 
 GAP = 1 << 12
@@ -86,7 +89,8 @@ class Segment:
 
 
 def _compile(items: list[tuple[str, str]], window: int, table: np.ndarray):
-    """(vocabulary, windows as rows of term indices padded with -1, owner lists, item ids) of a block of items."""
+    """A block of items: vocabulary, windows as rows of term indices padded with -1, owner lists, item ids, and the windows
+    filed by their anchor, the term that fewest windows hold: (first, window) like the columns of a sparse matrix."""
     terms: dict[int, int] = {}
     windows: dict[tuple[int, ...], set[int]] = {}
     ids = sorted({i for i, _ in items})
@@ -101,26 +105,35 @@ def _compile(items: list[tuple[str, str]], window: int, table: np.ndarray):
     grid = np.full((len(keys), window), -1, np.int64)
     for r, key in enumerate(keys):
         grid[r, : len(key)] = key
-    return np.array(list(terms), np.uint64), grid, [sorted(windows[k]) for k in keys], ids
+    held = np.bincount(grid[grid >= 0], minlength=len(terms) + 1)
+    held[-1] = len(keys) * window + 1  # padding is no anchor
+    anchor = np.take_along_axis(grid, held[grid].argmin(axis=1)[:, None], axis=1)[:, 0] if len(keys) else np.zeros(0, np.int64)
+    filed = np.argsort(anchor, kind="stable")
+    first = np.searchsorted(anchor[filed], np.arange(len(terms) + 1))
+    return np.array(list(terms), np.uint64), grid, [sorted(windows[k]) for k in keys], ids, first, filed
 
 
 def phrase_hits(index: DataFrame, items: list[tuple[str, str]], window: int = 13, table: np.ndarray = ALNUM_WORDS, slop: int = 0) -> DataFrame:
-    """Every document with n_words, the word positions inside occurring windows, the items and (window start, item) matches."""
+    """Every document, (segment, place) being its key, with n_words, the word positions inside occurring windows, the items
+    and (window start, item) matches."""
     if window + slop >= GAP:
         raise ValueError("window is too long for the index")
-    vocabulary, grid, owners, ids = _compile(items, window, table)
-    shared = index.sparkSession.sparkContext.broadcast((vocabulary, grid, owners, ids))
+    shared = index.sparkSession.sparkContext.broadcast(_compile(items, window, table))
 
     def look(batches):
-        vocabulary, grid, owners, ids = shared.value
+        vocabulary, grid, owners, ids, first, filed = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(row)
                 at = np.append(seg.locate(vocabulary), -2)  # the last entry stands for padding
-                cells = at[grid] if len(grid) else np.zeros((0, window), np.int64)
+                here = np.flatnonzero(at[:-1] >= 0)
+                sizes = first[here + 1] - first[here]
+                tried = filed[np.arange(int(sizes.sum())) + np.repeat(first[here] - (np.cumsum(sizes) - sizes), sizes)]
+                cells = at[grid[tried]]
+                whole = (cells != -1).all(axis=1)
                 starts, rows, lengths = [], [], []
-                for r in np.flatnonzero((cells != -1).all(axis=1)) if len(grid) else []:
-                    use = cells[r][cells[r] >= 0]
+                for r, cell in zip(tried[whole], cells[whole], strict=True):
+                    use = cell[cell >= 0]
                     got = seg.phrase(use, slop)
                     starts.append(got)
                     rows.append(np.full(len(got), r))
@@ -141,11 +154,11 @@ def phrase_hits(index: DataFrame, items: list[tuple[str, str]], window: int = 13
                             found[d].add(ids[o])
                             matches[d].append({"start": p, "item_id": ids[o]})
                 yield pa.RecordBatch.from_arrays(
-                    [id_column(seg.ids), pa.array(seg.n_words), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(matches, pa.list_(pa.struct([("start", pa.int64()), ("item_id", pa.string())])))],
-                    names=["doc_id", "n_words", "hits", "items", "matches"],
+                    [pa.array([row["segment"]] * n, pa.int64()), pa.array(np.arange(n)), id_column(seg.ids), pa.array(seg.n_words), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(matches, pa.list_(pa.struct([("start", pa.int64()), ("item_id", pa.string())])))],
+                    names=["segment", "place", "doc_id", "n_words", "hits", "items", "matches"],
                 )
 
-    return index.mapInArrow(look, "doc_id long, n_words long, hits array<int>, items array<string>, matches array<struct<start:bigint,item_id:string>>")
+    return index.mapInArrow(look, "segment long, place long, doc_id long, n_words long, hits array<int>, items array<string>, matches array<struct<start:bigint,item_id:string>>")
 
 
 def _blocks(items: DataFrame, block_bytes: int):
@@ -169,12 +182,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
         got = phrase_hits(index, block, window).drop("matches")
         out = got if out is None else out.unionByName(got)
     if n > 1:
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        # a row of each block for every document row
+        out = out.groupBy("segment", "place", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hit = F.size("hits").cast("long")
     return out.select("doc_id", "n_words", "hits", "items", hit.alias("n_hit"), ((hit > 0) & (F.lit(share) * hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, items, window, share).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(lookup(written(bad, "contaminated", gather=True)), F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    bad = contamination(docs, items, window, share).where("contaminated").select("doc_id").distinct()
+    return without(docs, written(bad, "contaminated", gather=True))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, lookup, texts, written
+from .shared import components, lookup, texts, without, written
 from .textops import SPACE_WORDS, U64, gathered, give_back, int64s, text_bytes, words_of
 
 PACKED = "piece long, frag int, ids binary, counts binary, grams binary"
@@ -281,5 +281,5 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, seg_bits:
 
 def keep_one_per_group(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id; rows with null doc_id stay too."""
-    gone = jaccard_components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(lookup(written(gone, "jaccard-gone", gather=True)), F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    gone = jaccard_components(docs, n, percent).where("component_id <> doc_id").select("doc_id")
+    return without(docs, written(gone, "jaccard-gone", gather=True))

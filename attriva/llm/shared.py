@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a local one is made."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        kept = sc.getCheckpointDir()
-        base = kept or f"file://{tempfile.mkdtemp(prefix='attriva-')}"
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
+        base = f"file://{tempfile.mkdtemp(prefix='attriva-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
@@ -55,6 +57,14 @@ def lookup(ids: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= rows else ids.hint("merge")
 
 
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose key is not in the one column of ``ids``; no column name of ``docs`` can clash."""
+    taken, name = {c.lower() for c in docs.columns}, "gone"
+    while name in taken:
+        name += "_"
+    return docs.join(lookup(ids.toDF(name)), F.col(key) == F.col(name), "left_anti")
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b", start: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
     """Connected components of undirected edges: (node, comp), comp being the smallest node.
 

@@ -46,9 +46,26 @@ def test_proximity(spark):
     assert hits(0) == [2] and hits(1) == [1, 2]
 
 
+def test_repeated_and_null_ids_give_rows_in_every_number_of_blocks(spark):
+    rows, items = tables(spark)
+    rows = [*rows, (0, "two words"), (0, rows[0][1]), (None, rows[2][1]), (None, "x"), (1, None)]
+    docs, frame = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    one, many = (sorted(dc.contamination(docs, frame, block_bytes=b).collect(), key=str) for b in (16_000_000, 300))
+    assert one == many and len(one) == len(rows)
+    assert sorted(r.n_words for r in one if r.doc_id is None) == [1, 6]
+
+
+def test_many_windows_with_common_terms(spark):
+    rng = random.Random(11)
+    items = [(str(i), " ".join(fixtures.words(rng, rng.randrange(1, 40), 12)), 0) for i in range(80)]
+    rows = [(i, " ".join(fixtures.words(rng, 3000 if i == 0 else rng.randrange(60), 12))) for i in range(60)]
+    assert result(spark, rows, items) == brute.contamination(rows, [(i, t) for i, t, _ in items])
+
+
 def test_clean_rows_stay(spark):
     rows, items = tables(spark)
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(None, rows[0][1], "y")], "doc_id long, text string, _bad_id string").withColumnRenamed("_bad_id", "segment")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows] + [(None, rows[0][1], "y", 2)], "doc_id long, text string, _bad_id string, Gone int")
     kept = dc.decontaminate(df, spark.createDataFrame(items, ITEMS))
     want = {d for d, v in brute.contamination(rows, [(i, t) for i, t, _ in items]).items() if not v[4]}
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == want | {None}
+    assert kept.limit(0).columns == dc.decontaminate(df.limit(0), spark.createDataFrame(items, ITEMS)).columns and dc.decontaminate(df.limit(0), spark.createDataFrame(items, ITEMS)).count() == 0
