@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
-Each match of the split pattern is a word; a word is an array of one-byte symbols.  Spark higher-order functions fold
-the merges over that array: ``aggregate`` takes the adjacent pair of lowest rank, leftmost first, and merges it until
-no pair has a rank.  Ranks come from one literal, an array of small maps addressed by the pair's crc32, so a lookup
-takes constant time.  Only distinct words are folded: the corpus' frequent words (a dictionary of bounded size) once,
-the other words once per run of documents.  A word that is itself a token needs no fold.  Words of more than ``LONG``
-bytes would take quadratic time in the fold; for these the same merges are made with a heap.
-
-Documents never move: a run of about 1 MB of text becomes one row with its word numbers and its distinct rare words;
-the fold turns these words into ids in the same row; then ids are laid out and decoded by concatenating the tokens'
-bytes.  Symbols are held as strings of the code points 0 to 255, one per byte.
-
-Defined cases: a null or empty text has no tokens and decodes to nothing; every row gives a row, repeated or not;
-an empty table gives no rows.
+Each match of the split pattern is a word.  A word is an array of entries, one per symbol: the symbol's id and the rank of
+the pair it makes with the next one.  Spark higher-order functions fold the merges over that array: ``aggregate`` takes the
+entry of lowest rank, leftmost first, merges it with the next and looks up the ranks of the two new pairs, until no pair has
+a rank.  Ranks come from one literal, a perfect hash table of pairs of ids, so a lookup takes constant time.  Only distinct
+words are folded: the corpus' frequent words (a dictionary of bounded size) once, the other words once per stretch of a
+task's documents with up to ``RARE_WORDS`` of them.  A word that is itself a token needs no fold.  Words of more than
+``LONG`` bytes would take quadratic time in the fold; for these the same merges are made with a heap.
+
+Documents never move: a run of about 1 MB of text becomes one row with its word numbers and the words that are new in it;
+the fold turns these words into ids in the same row; then the ids and pieces of a document's words are concatenated.
+
+Defined cases: a null or empty text has no tokens and decodes to nothing; every row gives a row, repeated or not; texts of
+any length are encoded whole; extra columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +28,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts, written
-from .textops import gathered, give_back, id_column, int64s, pieces, text_bytes
+from .textops import gathered, give_back, id_column, int64s, pieces, span_hashes, text_bytes
 
 LONG = 160
-SHARDS = 1 << 14
 HOT_WORDS = 1 << 17
-_NONE = 2**31 - 1
+RARE_WORDS = 1 << 18
+_SHIFT = 20
+_MASK = (1 << _SHIFT) - 1
+_NONE = _MASK
 #: The code points of Unicode's White_Space.
 _WHITE = r"\t-\r \x85\xa0  -     　"
+#: The split pattern for which ``word_bounds`` needs no pattern matching.
+_CLASSIC = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,54 +69,168 @@ def split_pattern(pattern: str):
     return regex.compile("".join(out))
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """All ranks as one foldable literal: array of maps from symbol to rank, by crc32 modulo ``SHARDS``."""
-    shards: list[dict[str, int]] = [{} for _ in range(SHARDS)]
-    for piece, rank in ranks.items():
-        symbol = piece.decode("latin-1")
-        shards[zlib.crc32(symbol.encode()) % SHARDS][symbol] = rank
-    return F.from_json(F.lit(json.dumps(shards)), "array<map<string,int>>")
-
-
-def fold(word: Column, ranks: Column) -> Column:
-    """Ids (array<int>) of a word given as a string of one-byte symbols; ``ranks`` as ``rank_literal`` has it."""
-
-    def rank(symbol):
-        return F.try_element_at(F.element_at(ranks, (F.crc32(symbol.cast("binary")) % SHARDS + 1).cast("int")), symbol)
-
-    def rank_or_none(symbol):
-        return F.coalesce(rank(symbol), F.lit(_NONE))
-
-    def merge(state, p):
-        s, r = state["s"], state["r"]
-        new = F.concat(F.element_at(s, p), F.element_at(s, p + 1))
-
-        def with_new(x):
-            none = F.array().cast("array<int>")
-            left = F.when(p > 1, F.array(rank_or_none(F.concat(F.element_at(s, F.greatest(p - 1, F.lit(1))), x)))).otherwise(none)
-            right = F.when(p + 1 < F.size(s), F.array(rank_or_none(F.concat(x, F.element_at(s, F.least(p + 2, F.size(s))))))).otherwise(none)
-            symbols = F.concat(F.slice(s, 1, p - 1), F.array(x), F.slice(s, p + 2, F.size(s)))
-            return F.struct(symbols.alias("s"), F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(s))).alias("r"))
-
-        return F.element_at(F.transform(F.array(new), with_new), 1)
-
-    def step(state, _):
-        def chosen(low):
-            return F.when(low == _NONE, state).otherwise(merge(state, F.array_position(state["r"], low).cast("int")))
-
-        # binds the lowest rank once
-        return F.element_at(F.transform(F.array(F.array_min(state["r"])), chosen), 1)
-
-    symbols = F.split(word, "")
-    start = F.struct(symbols.alias("s"), F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: rank_or_none(F.substring(word, i, F.lit(2)))).alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), start, step, lambda state: F.transform(state["s"], lambda x: rank(x)))
-    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(folded)
+_classes: dict[str, np.ndarray] = {}
+
+
+def _letter_classes() -> np.ndarray:
+    """For each code point: 1 letter, 2 number, 3 white space, 0 other."""
+    if "all" not in _classes:
+        import regex
+
+        points = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        out = np.zeros(0x110000, np.uint8)
+        for kind, what in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, f"[{_WHITE}]+")):
+            for m in regex.finditer(what, points):
+                out[ord(points[m.start()]) : ord(points[m.end() - 1]) + 1] = kind
+        out[0xD800:0xE000] = 0
+        _classes["all"] = out
+    return _classes["all"]
+
+
+def _classic_starts(points: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """First places of the words of texts laid end to end, by the classic pattern; ``edge``: a text starts here.
+
+    Words are runs of letters, numbers, white space or other characters.  The last character of white space before a word
+    stands alone, or, if it is a blank, goes to that word; a lone apostrophe takes the letters of a contraction.
+    """
+    n = len(points)
+    kind = _letter_classes()[points]
+    first = edge[:n].copy()
+    first[1:] |= kind[1:] != kind[:-1]
+    white = kind == 3
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~edge[1:n])
+    first[last] = True
+    first[last[points[last] == 0x20] + 1] = False
+    quote = np.flatnonzero((points == 0x27) & first)
+    if len(quote):
+        far, ends = np.concatenate([points, np.zeros(2, points.dtype)]), np.concatenate([edge, [True, True]])
+        x = np.where(ends[quote + 1], 0, far[quote + 1])
+        y = np.where(ends[quote + 1] | ends[quote + 2], 0, far[quote + 2])
+        r, v, e, ll = ord("r"), ord("v"), ord("e"), ord("l")
+        one = np.isin(x, [ord(c) for c in "sdmt"])
+        two = ((x == r) | (x == v)) & (y == e) | (x == ll) & (y == ll)
+        for at, size in ((quote[one], 2), (quote[two], 3)):
+            first[at + 1] = False
+            behind = at + size
+            first[behind[behind < n]] = True
+    return np.flatnonzero(first)
+
+
+def word_bounds(run: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of the texts laid end to end, first and end place of each match of ``pattern``, matches of each text)."""
+    points = np.frombuffer("".join(run).encode("utf-32-le"), np.uint32)
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))])
+    if pattern == _CLASSIC:
+        edge = np.zeros(len(points) + 1, bool)
+        edge[ends] = True
+        start = _classic_starts(points, edge) if len(points) else np.zeros(0, np.int64)
+        return points, start, np.append(start[1:], len(points))[: len(start)], np.diff(np.searchsorted(start, ends))
+    find, spans, counts = split_pattern(pattern).finditer, [], []
+    for own, at in zip(run, ends.tolist(), strict=False):
+        found = [(at + m.start(), at + m.end()) for m in find(own) if m.end() > m.start()]
+        spans += found
+        counts.append(len(found))
+    both = np.array(spans, np.int64).reshape(-1, 2)
+    return points, both[:, 0], both[:, 1], np.array(counts, np.int64)
+
+
+def distinct_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(distinct words, place of each word in that list); words of equal hash are compared character by character."""
+    if not len(start):
+        return [], np.zeros(0, np.int64)
+
+    def characters(which):
+        size = end[which] - start[which]
+        return points[np.arange(int(size.sum())) + np.repeat(start[which] - (np.cumsum(size) - size), size)], size
+
+    _, first, number = np.unique(span_hashes(points, start, end), return_index=True, return_inverse=True)
+    (own, size), (lead, lead_size) = characters(np.arange(len(start))), characters(first[number])
+    if not np.array_equal(size, lead_size) or not np.array_equal(own, lead):  # unlike words of one hash
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(points[a:b].tobytes(), len(seen)) for a, b in zip(start, end, strict=True)], np.int64)
+        return [w.decode("utf-32-le") for w in seen], number
+    flat, size = characters(first)
+    text, stop = flat.tobytes().decode("utf-32-le"), np.cumsum(size).tolist()
+    return [text[a:b] for a, b in zip([0, *stop], stop, strict=False)], number
+
+
+def rank_table(ranks: dict[bytes, int]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(slots, shifts, table): a perfect hash of all pairs of tokens that make a token.
+
+    A pair is the number left * 2**20 + right; its slot is pair % slots + shifts[pair % len(shifts)], where the table has
+    pair * 2**20 + rank.  Lists of pairs with an equal shift are placed from the longest on, at the first shift that fits.
+    """
+    if max(ranks.values(), default=0) >= _NONE >> 1:
+        raise ValueError("ranks of 2**19 or more")
+    found = [(ranks[w[:i]] << _SHIFT | ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
+    pairs, rank = np.array(found, np.int64).reshape(-1, 2).T
+    slots, lists = max(7, len(pairs) * 5 // 2) | 1, max(3, len(pairs) // 3) | 1
+    while len(np.unique(pairs % slots * lists + pairs % lists)) < len(pairs):
+        slots += 2
+    member = pairs % lists
+    size = np.bincount(member, minlength=lists)
+    first = np.concatenate([[0], np.cumsum(size)])
+    wanted = (pairs % slots)[np.argsort(member, kind="stable")].tolist()
+    taken, shifts = bytearray(slots + len(pairs) + 1), np.zeros(lists, np.int64)
+    for k in np.argsort(-size, kind="stable")[: np.count_nonzero(size)].tolist():
+        own, by = wanted[first[k] : first[k + 1]], 0
+        while any(taken[x + by] for x in own):
+            by += 1
+        shifts[k] = by
+        for x in own:
+            taken[x + by] = 1
+    table = np.full(slots + int(shifts.max()) + 1, -1, np.int64)
+    table[pairs % slots + shifts[member]] = pairs << _SHIFT | rank
+    return slots, shifts, table
+
+
+def fold(entries: Column, slots: int, lists: int, shifts: Column, table: Column) -> Column:
+    """Ids (array<int>) of a word given as entries rank * 2**20 + id, with an entry that has no rank at either end."""
+
+    def entry(pair):
+        # what is no pair of the table is far from any, so its rank is cut to "none"
+        at = (pair % slots + F.get(shifts, (pair % lists).cast("int"))).cast("int")
+        return F.shiftleft(F.least(F.abs(F.get(table, at) - F.shiftleft(pair, _SHIFT)), F.lit(_NONE).cast("long")), _SHIFT) + F.shiftright(pair, _SHIFT)
+
+    def symbol(e, at):
+        return F.get(e, at).bitwiseAND(_MASK)
+
+    def merged(e, low):
+        at, new = low.bitwiseAND(_MASK).cast("int"), F.shiftright(low, _SHIFT)
+        pairs = F.array(F.shiftleft(symbol(e, at - 1), _SHIFT) + new, F.shiftleft(new, _SHIFT) + symbol(e, at + 2))
+        return F.flatten(F.array(F.slice(e, 1, at - 1), F.transform(pairs, entry), F.slice(e, at + 3, F.size(e))))
+
+    def step(e, _):
+        # the lowest rank with its first place, bound once
+        low = F.array_min(F.transform(e, lambda x, at: F.shiftleft(F.shiftright(x, _SHIFT), _SHIFT) + at))
+        return F.element_at(F.transform(F.array(low), lambda low: F.when(low >= _NONE >> 1 << _SHIFT, e).otherwise(merged(e, low))), 1)
+
+    merges = F.slice(entries, 4, F.size(entries))
+    return F.aggregate(merges, entries, step, lambda e: F.transform(F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0))), lambda x: x.bitwiseAND(_MASK).cast("int")))
 
 
 def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of each word of an array; the literal stands once in the expression and is bound for all words."""
-    bound = F.transform(F.array(rank_literal(ranks)), lambda table: F.transform(words, lambda w: fold(w, table)))
-    return F.element_at(bound, 1)
+    """Ids of each word of an array; the literals stand once in the expression and are bound for all words."""
+    slots, shifts, table = rank_table(ranks)
+    literal = F.struct(*(F.from_json(F.lit(json.dumps(x.tolist())), "array<bigint>").alias(name) for name, x in (("shifts", shifts), ("table", table))))
+    return F.element_at(F.transform(F.array(literal), lambda t: F.transform(words, lambda w: fold(w, slots, len(shifts), t["shifts"], t["table"]))), 1)
+
+
+def first_entries(words: list[bytes], pair_ranks: np.ndarray, byte_ids: np.ndarray) -> pa.Array:
+    """The entries of words before any merge."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 2)
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    # two more places for each word: no id stands there, and no pair with it has a rank
+    at = np.arange(len(raw)) + np.repeat(2 * np.arange(len(words)) + 1, size)
+    ids = np.full(int(ends[-1]) if len(words) else 0, _MASK >> 1, np.int64)
+    ids[at] = byte_ids[raw]
+    rank = np.full(len(ids), _NONE, np.int64)
+    inner = np.ones(len(raw), bool)
+    inner[np.cumsum(size)[size > 0] - 1] = False
+    inner = np.flatnonzero(inner)
+    rank[at[inner]] = pair_ranks[raw[inner].astype(np.int64) << 8 | raw[inner + 1]]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(rank << _SHIFT | ids))
 
 
 def long_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -142,29 +258,17 @@ def long_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Numbers(dict):
-    """Word numbers: frequent words have fixed ones from 0 on; any other gets -1, -2, ... until ``reset``."""
-
-    def __init__(self, hot):
-        super().__init__((w, k) for k, w in enumerate(hot))
-        self.rare = []
-
-    def __missing__(self, word):
-        self.rare.append(word)
-        self[word] = number = -len(self.rare)
-        return number
-
-    def reset(self):
-        for w in self.rare:
-            del self[w]
-        self.rare = []
+def _alphabet(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks of pairs of bytes, ids of bytes)."""
+    byte_ids = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+    return np.array([ranks.get(bytes([x, y]), _NONE) for x in range(256) for y in range(256)], np.int64), byte_ids
 
 
 def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> list[str]:
     """Up to ``limit`` frequent words of all texts: a cache, which decides nothing but where a word is folded."""
 
     def count(batches):
-        find, seen = split_pattern(pattern).findall, Counter()
+        seen: dict[str, int] = {}
 
         def flush():
             rows = [(w, n) for w, n in seen.items() if n > 1 and len(w) * 4 <= LONG]
@@ -173,13 +277,17 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> lis
                 words, counts = zip(*rows[a : a + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for t in batch.column(0):
-                if (t := t.as_py()) is not None:
-                    seen.update(find(t))
-                    if len(seen) > 400_000:
-                        yield from flush()
+        for batch in gathered(batches, 1_000_000):
+            _, offsets = text_bytes(batch.column(0))
+            for i, j in pieces(offsets, 1_000_000):
+                points, start, end, _ = word_bounds([x or "" for x in batch.column(0).slice(i, j - i).to_pylist()], pattern)
+                words, number = distinct_words(points, start, end)
+                for w, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
+                    seen[w] = seen.get(w, 0) + n
+                if len(seen) > 400_000:
+                    yield from flush()
         yield from flush()
+        give_back()
 
     counted = written(texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
     # the smallest count that at most ``limit`` words reach
@@ -192,107 +300,117 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> lis
     return sorted(counted.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist())
 
 
-def _layout(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, flat ids) of lists of ids."""
-    sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
-    flat = np.fromiter((y for x in lists for y in x), np.int64, int(sizes.sum()))
-    return np.concatenate([[0], np.cumsum(sizes)]), flat
+class _Codes:
+    """Ids and bytes of numbered words: frequent words, then tokens, then the words of a task's documents as they come."""
+
+    def __init__(self, hot: list[bytes], ranks: dict[bytes, int]):
+        table = sorted(ranks, key=ranks.get)
+        self.pieces = dict(zip((ranks[x] for x in table), table, strict=True))
+        self.ids = [*hot, *(np.array([ranks[x]], "<u4").tobytes() for x in table)]
+        self.bytes = [*map(self.decoded, hot), *table]
+        self.fixed = len(self.ids)
+
+    def decoded(self, ids: bytes) -> bytes:
+        """The pieces of the ids, one behind the other."""
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def add(self, more: list[bytes]) -> None:
+        self.ids += more
+        self.bytes += map(self.decoded, more)
 
-def _gather(index: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate the runs ``flat[offsets[i]:offsets[i+1]]`` of every i in ``index``; also the runs' lengths."""
-    sizes = offsets[index + 1] - offsets[index]
-    ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(offsets[index] - (ends - sizes), sizes)
-    return flat[at], sizes
+    def reset(self) -> None:
+        del self.ids[self.fixed :], self.bytes[self.fixed :]
+
+
+def _codes(lists: pa.Array) -> list[bytes]:
+    """Each list of ids as little-endian unsigned 32-bit integers."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    ends = np.concatenate([[0], 4 * np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]).tolist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids binary, n_tokens, decoded binary) of every row: ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
-    hot = frequent_words(docs, pattern)
-    hot_symbols = [w.encode().decode("latin-1") for w in hot]
-    width = 4096
-    batches = [(k, hot_symbols[k : k + width]) for k in range(0, len(hot), width)]
-    folded = spark.createDataFrame(batches, "k int, words array<string>").repartition(max(1, min(16, len(batches))), "k").select("k", fold_words(F.col("words"), ranks).alias("ids")) if batches else None
-    done = folded.orderBy("k").toArrow()["ids"] if folded is not None else None
-    hot_offsets, hot_flat = _layout([x for row in done.to_pylist() for x in row] if done is not None else [])
-    shared = spark.sparkContext.broadcast((hot, hot_offsets, hot_flat, ranks))
+    hot = [w for w in frequent_words(docs, pattern) if w.encode() not in ranks]
+    pair_ranks, byte_ids = _alphabet(ranks)
+    width, hot_codes = 4096, []
+    if hot:
+        parts = [(k, first_entries([w.encode() for w in hot[k : k + width]], pair_ranks, byte_ids)) for k in range(0, len(hot), width)]
+        rows = pa.table({"k": pa.array([k for k, _ in parts], pa.int32()), "words": pa.array([x.to_pylist() for _, x in parts], pa.list_(pa.list_(pa.int64())))})
+        done = spark.createDataFrame(rows).repartition(min(16, len(parts)), "k").select("k", fold_words(F.col("words"), ranks).alias("ids")).orderBy("k").toArrow()
+        hot_codes = [x for row in done["ids"].combine_chunks() for x in _codes(row.values)]
+    shared = spark.sparkContext.broadcast((hot, hot_codes, ranks))
     cache: dict = {}
 
     def number(batches):
+        hot, _, ranks = shared.value
         if "numbers" not in cache:
-            cache["numbers"] = _Numbers(shared.value[0])
-        find, numbers = split_pattern(pattern).findall, cache["numbers"]
+            cache["numbers"] = {w: k for k, w in enumerate(hot)}, {w: k for k, w in enumerate(sorted(ranks, key=ranks.get), len(hot))}
+        (numbers, tokens), fixed = cache["numbers"], len(hot) + len(ranks)
+        rare: list[str] = []
+        reset = True
         for batch in gathered(batches, 800_000):
-            _, offsets = text_bytes(batch.column(1))
             ids, column = int64s(batch.column(0)), batch.column(1)
+            _, offsets = text_bytes(column)
             for i, j in pieces(offsets, 1_000_000):
-                seq, sizes = [], []
-                for t in column.slice(i, j - i):
-                    own = find(t.as_py() or "")
-                    seq.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
-                    sizes.append(len(own))
-                rare = [w.encode() for w in numbers.rare]
-                numbers.reset()
-                short = [w.decode("latin-1") if len(w) <= LONG else None for w in rare]
+                points, start, end, sizes = word_bounds([x or "" for x in column.slice(i, j - i).to_pylist()], pattern)
+                words, place = distinct_words(points, start, end)
+                own, fresh = np.empty(len(words), np.int32), []
+                for at, w in enumerate(words):
+                    k = numbers.get(w)
+                    if k is None:
+                        raw = w.encode()
+                        k = tokens.get(raw)
+                        if k is None:
+                            k = numbers[w] = fixed + len(rare)
+                            rare.append(w)
+                            fresh.append(raw)
+                    own[at] = k
+                short = [w if len(w) <= LONG else b"" for w in fresh]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[i:j].tobytes()], pa.binary()),
-                        pa.array([np.array(sizes, np.int64).tobytes()], pa.binary()),
-                        pa.array([np.concatenate(seq).tobytes()], pa.binary()),
-                        pa.array([[w if w is not None else "" for w in short]], pa.list_(pa.string())),
-                        pa.array([[w if len(w) > LONG else b"" for w in rare] if any(x is None for x in short) else []], pa.list_(pa.binary())),
+                        pa.array([ids[i:j].tobytes()], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), pa.array([own[place].tobytes()], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), first_entries(short, pair_ranks, byte_ids)),
+                        pa.array([[w if len(w) > LONG else b"" for w in fresh] if any(len(w) > LONG for w in fresh) else []], pa.list_(pa.binary())), pa.array([reset]),
                     ],
-                    names=["doc_ids", "sizes", "seq", "rare", "long"],
+                    names=["doc_ids", "sizes", "seq", "fresh", "long", "reset"],
                 )
+                reset = len(rare) > RARE_WORDS
+                if reset:
+                    for w in rare:
+                        del numbers[w]
+                    rare = []
+        for w in rare:
+            del numbers[w]
+        give_back()
 
     def assemble(batches):
-        _, hot_offsets, hot_flat, ranks = shared.value
-        if "bytes" not in cache:
-            table = sorted(ranks.items(), key=lambda x: x[1])
-            lengths = np.zeros(table[-1][1] + 2, np.int64)
-            for piece, rank in table:
-                lengths[rank + 1] = len(piece)
-            cache["bytes"] = np.cumsum(lengths), np.frombuffer(b"".join(p for p, _ in table), np.uint8)
-        byte_offsets, byte_flat = cache["bytes"]
+        if "codes" not in cache:
+            cache["codes"] = _Codes(shared.value[1], shared.value[2])
+        codes, ranks = cache["codes"], shared.value[2]
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[row].as_py(), np.int64)
-                sizes = np.frombuffer(batch.column(1)[row].as_py(), np.int64)
-                seq = np.frombuffer(batch.column(2)[row].as_py(), np.int32).astype(np.int64)
+                ids, sizes, seq = (np.frombuffer(batch.column(k)[row].as_py(), kind) for k, kind in enumerate((np.int64, np.int64, np.int32)))
                 got, long = batch.column(3)[row].values, batch.column(4)[row].as_py()
-                rare_offsets = got.offsets.to_numpy().astype(np.int64) if got is not None and len(got) else np.zeros(1, np.int64)
-                rare_flat = got.values.to_numpy(zero_copy_only=False)[rare_offsets[0] : rare_offsets[-1]].astype(np.int64) if got is not None and len(got) else np.zeros(0, np.int64)
-                rare_offsets = rare_offsets - rare_offsets[0]
-                if long:
-                    lists = [long_fold(w, ranks) if w else rare_flat[a:b].tolist() for w, a, b in zip(long, rare_offsets[:-1], rare_offsets[1:], strict=True)]
-                    rare_offsets, rare_flat = _layout(lists)
-                offsets = np.concatenate([hot_offsets, hot_offsets[-1] + rare_offsets[1:]])
-                flat = np.concatenate([hot_flat, rare_flat])
-                index = np.where(seq >= 0, seq, len(hot_offsets) - 2 - seq)
-                tokens, per_word = _gather(index, offsets, flat)
-                text, per_token = _gather(tokens, byte_offsets, byte_flat)
-                word_ends = np.concatenate([[0], np.cumsum(sizes)])
-                token_ends = np.concatenate([[0], np.cumsum(per_word)])[word_ends]
-                byte_ends = np.concatenate([[0], np.cumsum(per_token)])[token_ends]
-                raw = tokens.astype("<u4")
+                if batch.column(5)[row].as_py():
+                    codes.reset()
+                more = _codes(got) if got is not None else []
+                codes.add([np.array(long_fold(w, ranks), "<u4").tobytes() if w else x for w, x in zip(long, more, strict=True)] if long else more)
+                ends, seq = np.concatenate([[0], np.cumsum(sizes)]).tolist(), seq.tolist()
+                raw = [b"".join(map(codes.ids.__getitem__, seq[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
+                text = [b"".join(map(codes.bytes.__getitem__, seq[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        id_column(ids),
-                        pa.array([raw[a:b].tobytes() for a, b in zip(token_ends[:-1], token_ends[1:], strict=True)], pa.binary()),
-                        pa.array(np.diff(token_ends)),
-                        pa.array([text[a:b].tobytes() for a, b in zip(byte_ends[:-1], byte_ends[1:], strict=True)], pa.binary()),
-                    ],
+                    [id_column(ids), pa.array(raw, pa.binary()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(text, pa.binary())],
                     names=["doc_id", "ids", "n_tokens", "decoded"],
                 )
-        cache.clear()
+        codes.reset()
         give_back()
 
-    numbered = texts(docs).mapInArrow(number, "doc_ids binary, sizes binary, seq binary, rare array<string>, long array<binary>")
-    # an empty string stands for a long word and keeps its place
-    words = numbered.withColumn("got", fold_words(F.col("rare"), ranks))
-    return words.select("doc_ids", "sizes", "seq", "got", "long").mapInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded binary")
+    numbered = texts(docs).mapInArrow(number, "doc_ids binary, sizes binary, seq binary, fresh array<array<bigint>>, long array<binary>, reset boolean")
+    # an empty list stands for a long word and keeps its place
+    words = numbered.withColumn("got", fold_words(F.col("fresh"), ranks))
+    return words.select("doc_ids", "sizes", "seq", "got", "long", "reset").mapInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -125,6 +125,15 @@ def gathered(batches, size: int):
     give_back()
 
 
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans from ``start`` to ``end`` of an array of integers."""
+    n = len(values)
+    sums = np.zeros(n + 1, dtype=U64)
+    with np.errstate(over="ignore"):
+        np.cumsum((values.astype(U64) + U64(1)) * _power_table("up", _BASE, n + 1)[:n], out=sums[1:])
+        return mix((sums[end] - sums[start]) * _power_table("down", _BASE_INV, n + 1)[start] + (end - start).astype(U64) * U64(_MULT))
+
+
 class Words:
     """The words of a run of documents: 64-bit hashes, document index, start and end byte."""
 

@@ -48,3 +48,33 @@ def test_long_words_fold_alike(ranks, known):
 
 def test_empty_table(spark, ranks):
     assert b.digests(b.encode(spark.createDataFrame([], "doc_id long, text string"), ranks, public_tokenizers.PATTERN)).collect() == []
+
+
+def test_words_are_the_matches_of_the_pattern():
+    rng = random.Random(8)
+    find = b.split_pattern(public_tokenizers.PATTERN).findall
+    other = b.split_pattern(r"\p{L}{1,3}|\p{N}").findall
+    for _ in range(300):
+        run = ["".join(rng.choice("ab'srevltm  \n\t19½é漢🙂.,́\x85\xa0") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 5))]
+        for pattern, want in ((public_tokenizers.PATTERN, find), (r"\p{L}{1,3}|\p{N}", other)):
+            points, start, end, sizes = b.word_bounds(run, pattern)
+            words, place = b.distinct_words(points, start, end)
+            got = [words[k] for k in place]
+            assert got == [w for t in run for w in want(t)] and sizes.tolist() == [len(want(t)) for t in run] and len(set(words)) == len(words)
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(b, "span_hashes", lambda points, start, end: (end - start) * 0)
+    points, start, end, _ = b.word_bounds(["ab cd ab xyz"], public_tokenizers.PATTERN)
+    words, place = b.distinct_words(points, start, end)
+    assert [words[k] for k in place] == ["ab", " cd", " ab", " xyz"]
+    assert b.distinct_words(points[:0], start[:0], end[:0])[0] == []
+
+
+def test_few_words_at_a_time(spark, ranks, known, monkeypatch):
+    monkeypatch.setattr(b, "RARE_WORDS", 20)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40_000)) for _ in range(6)] + ["tail qqzzxx"]
+    out = b.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), ranks, public_tokenizers.PATTERN)
+    got = {r.doc_id: r.ids for r in b.token_lists(out).collect()}
+    assert got == {i: known.encode_ordinary(t) for i, t in enumerate(texts)}
