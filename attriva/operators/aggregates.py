@@ -27,13 +27,17 @@ def legacy_merge(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return first_by(candidates, keys, [-F.col("confidence"), F.coalesce(model.legacy_priority(F.col("source")), F.lit(99)), F.col("seq")])
 
 
-def consensus_boost(candidates: DataFrame, keys: list[str], row_id: list[str]) -> DataFrame:
-    """A2: candidates one of whose elements two sources or more name gain 0.10, up to 0.97."""
-    elements = candidates.select(*row_id, *[k for k in keys if k not in row_id], "source", F.explode(norm_elements(F.col("value_str"), F.col("value_arr"), F.col("is_list"))).alias("_element"))
-    votes = elements.groupBy(*keys, "_element").agg(F.count_distinct("source").alias("_sources")).where("_sources >= 2")
-    backed = elements.join(votes, [*keys, "_element"]).select(*row_id).distinct().withColumn("_backed", F.lit(True))
-    joined = candidates.join(backed, row_id, "left")
-    up = F.coalesce("_backed", F.lit(False)) & (F.col("confidence") < 0.97)
+def consensus_boost(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """A2: candidates one of whose elements two sources or more name gain 0.10, up to 0.97.
+
+    Sources of an element combine before the exchange to the first and the last by name; a key's backed elements, which are
+    few, are then joined to its candidates, whose order and number stay as they are.
+    """
+    own = norm_elements(F.col("value_str"), F.col("value_arr"), F.col("is_list"))
+    named = candidates.select(*keys, "source", F.explode(own).alias("_element")).groupBy(*keys, "_element").agg(F.min("source").alias("_a"), F.max("source").alias("_z")).where("_a <> _z")
+    backed = named.groupBy(*keys).agg(F.collect_list("_element").alias("_backed"))
+    up = F.coalesce(F.arrays_overlap(own, F.col("_backed")), F.lit(False)) & (F.col("confidence") < 0.97)
+    joined = candidates.join(backed, keys, "left")
     return joined.withColumn("confidence", F.when(up, F.least(F.lit(0.97), F.col("confidence") + 0.10)).otherwise(F.col("confidence"))).drop("_backed")
 
 
@@ -46,39 +50,44 @@ def collection_union(candidates: DataFrame, keys: list[str]) -> DataFrame:
     together: they are few, one per source and stage.
     """
     ids = "array<bigint>"
+    values = F.when(F.col("is_list"), F.col("value_arr")).otherwise(F.array("value_str"))
     row = F.struct(
-        F.col("seq"), F.when(F.col("is_list"), F.col("value_arr")).otherwise(F.array("value_str")).alias("vals"), F.col("value_ids").cast(ids).alias("ids"),
+        F.col("seq"), values.alias("vals"), F.transform(values, norm).alias("low"), F.col("value_ids").cast(ids).alias("ids"),
         F.col("confidence"), F.col("source"), F.coalesce("evidence", F.lit("")).alias("evidence"),
     )
     rows = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
-    def fresh(old: Column, new: Column) -> Column:
-        """Positions (from 0) of new elements that are not blank, not in old and not earlier in new."""
-        low = lambda xs: F.transform(xs, norm)
-        n, o = low(new), low(old)
-        return F.filter(F.transform(new, lambda _, i: i), lambda i: (F.element_at(n, i + 1) != "") & ~F.array_contains(o, F.element_at(n, i + 1)) & (F.array_position(n, F.element_at(n, i + 1)) == i + 1))
+    none = F.array().cast("array<string>")
+
+    def fresh(o: Column, n: Column) -> Column:
+        """Places (from 1) of new elements that are not blank, not among the old and not earlier among the new."""
+        return F.filter(F.sequence(F.lit(1), F.size(n)), lambda i: (F.element_at(n, i) != "") & ~F.array_contains(o, F.element_at(n, i)) & (F.array_position(n, F.element_at(n, i)) == i))
 
-    def as_state(vals, keep_ids, conf, source, evidence):
-        return F.struct(vals.alias("vals"), keep_ids.cast(ids).alias("ids"), conf.cast("double").alias("confidence"), source.cast("string").alias("source"), evidence.cast("string").alias("evidence"))
+    def as_state(vals, low, keep_ids, conf, source, evidence):
+        return F.struct(vals.alias("vals"), low.alias("low"), keep_ids.cast(ids).alias("ids"), conf.cast("double").alias("confidence"), source.cast("string").alias("source"), evidence.cast("string").alias("evidence"))
+
+    def one(x):
+        return as_state(x["vals"], x["low"], x["ids"], x["confidence"], x["source"], x["evidence"])
 
     def step(a, b):
         card_a, card_b = a["source"].isin(*model.OVERRIDE), b["source"].isin(*model.OVERRIDE)
         guess_a, guess_b = a["source"].isin(*model.INFERENCE), b["source"].isin(*model.INFERENCE)
         keep_a = card_a & guess_b & (a["confidence"] >= b["confidence"] + 0.10)
         keep_b = card_b & guess_a & (b["confidence"] >= a["confidence"] + 0.10)
-        at_a, at_b = fresh(F.array().cast("array<string>"), a["vals"]), fresh(a["vals"], b["vals"])
-        pick = lambda xs, at: F.transform(at, lambda i: F.try_element_at(xs, (i + 1).cast("int")))
-        vals = F.concat(pick(a["vals"], at_a), pick(b["vals"], at_b))
-        whole = (F.coalesce(F.size(a["ids"]), F.lit(-1)) == F.size(a["vals"])) & (F.coalesce(F.size(b["ids"]), F.lit(-1)) == F.size(b["vals"]))
-        merged_ids = F.concat(pick(a["ids"], at_a), pick(b["ids"], at_b))
-        merged_ids = F.when(whole & ~F.exists(merged_ids, lambda x: x.isNull()), merged_ids)
-        surer = a["confidence"] >= b["confidence"]
-        union = as_state(vals, merged_ids, F.greatest(a["confidence"], b["confidence"]), F.when(surer, a["source"]).otherwise(b["source"]), F.when(surer, a["evidence"]).otherwise(b["evidence"]))
-        one = lambda x: as_state(x["vals"], x["ids"], x["confidence"], x["source"], x["evidence"])
-        return F.when(keep_a, one(a)).when(keep_b, one(b)).otherwise(union)
+
+        def union(at):
+            pick = lambda what: F.concat(F.transform(at["a"], lambda i: F.try_element_at(a[what], i)), F.transform(at["b"], lambda i: F.try_element_at(b[what], i)))
+            whole = (F.coalesce(F.size(a["ids"]), F.lit(-1)) == F.size(a["vals"])) & (F.coalesce(F.size(b["ids"]), F.lit(-1)) == F.size(b["vals"]))
+            merged_ids = F.when(whole, pick("ids"))
+            merged_ids = F.when(~F.exists(merged_ids, lambda x: x.isNull()), merged_ids)
+            surer = a["confidence"] >= b["confidence"]
+            return as_state(pick("vals"), pick("low"), merged_ids, F.greatest(a["confidence"], b["confidence"]), F.when(surer, a["source"]).otherwise(b["source"]), F.when(surer, a["evidence"]).otherwise(b["evidence"]))
+
+        at = F.struct(fresh(none, a["low"]).alias("a"), fresh(a["low"], b["low"]).alias("b"))
+        return F.when(keep_a, one(a)).when(keep_b, one(b)).otherwise(F.element_at(F.transform(F.array(at), union), 1))
 
     first = F.element_at("_rows", 1)
-    start = as_state(first["vals"], first["ids"], first["confidence"], first["source"], first["evidence"])
+    start = one(first)
     folded = rows.select(*keys, F.aggregate(F.slice("_rows", 2, F.size("_rows")), start, step).alias("_m"))
     return folded.select(*keys, F.col("_m.vals").alias("value_arr"), F.col("_m.ids").alias("value_ids"), F.col("_m.confidence").alias("confidence"), F.col("_m.source").alias("source"), F.col("_m.evidence").alias("evidence"))
 

@@ -240,14 +240,22 @@ def value_matches(got: Column, want: Column, tolerance: Column, accepted: Column
     return F.when(tolerance.isNotNull() & want.try_cast("double").isNotNull(), F.coalesce(number, F.lit(False))).otherwise(words)
 
 
-def tree_categories(tree: DataFrame, depth: int = 16) -> DataFrame:
-    """Every node of (id, parent_id, name) with its root and path, level by level; ``depth`` bounds the walk."""
-    level = tree.where("parent_id is null").select("id", F.col("id").alias("root_id"), F.array("name").alias("path"))
-    out = level
-    for _ in range(depth):
-        kids = tree.select(F.col("id").alias("kid"), "parent_id", "name")
-        level = kids.join(level, kids.parent_id == level.id).select(F.col("kid").alias("id"), "root_id", F.concat("path", F.array("name")).alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def tree_categories(tree: DataFrame) -> DataFrame:
+    """Every node of (id, parent_id, name) below a root with that root and the path from it.
+
+    Each node's known way up is joined to that of the node where it ends, so each round doubles the levels covered; rounds
+    are cut by a checkpoint where a folder for it is set.  Nodes whose ancestors are not all there are left out; a cycle is
+    refused.
+    """
+    cut = lambda df: df.checkpoint() if tree.sparkSession.sparkContext.getCheckpointDir() else df
+    way = cut(tree.select("id", F.col("parent_id").alias("up"), F.col("id").alias("root_id"), F.array("name").alias("path")))
+    covered, nodes = 1, None
+    while not way.where("up is not null").isEmpty():
+        nodes = nodes if nodes is not None else tree.count()
+        if covered > nodes:
+            raise ValueError("the tree has a cycle")
+        end = way.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root_id").alias("_root"), F.col("path").alias("_path"))
+        joined = way.join(end, "up", "left").where("up is null or _root is not null")
+        way = cut(joined.select("id", F.when(F.col("up").isNotNull(), F.col("_up")).alias("up"), F.coalesce("_root", "root_id").alias("root_id"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")))
+        covered *= 2
+    return way.select("id", "root_id", "path")

@@ -1,7 +1,7 @@
 """Keyed reductions, first and top rows, grouping by gaps.
 
-First-wins rules are aggregates over ordered structs, not windows: they combine on the map side, so a hot key costs
-one row per task.
+First-wins rules are ranks cut to the first rows: the engine cuts each task's rows before the exchange, so a hot key
+costs one row per task.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from pyspark.sql.window import Window
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of each key's rows the one that is smallest by ``order``; the order must be total."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)])).alias("_row"))
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    return top_n(df, keys, order, 1, "_rank").drop("_rank")
 
 
 def longest_per_key(df: DataFrame, key: str, text: str, at: str) -> DataFrame:

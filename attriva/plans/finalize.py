@@ -22,7 +22,7 @@ def finalize(candidates: DataFrame, targets: DataFrame, keys: list[str], row_id:
     target_name, semantic_type, has_values and is_required.  Scalar values only; lists go through ``collection_union``."""
     joined = candidates.drop("semantic_type").join(targets, "attribute_id")
     kept = joined.transform(p.positive).transform(p.brand_guard).transform(p.color_guard).transform(p.customs_guard)
-    kept = kept.transform(lambda d: p.abstain_lone_guesses(d, keys)).transform(lambda d: a.consensus_boost(d, keys, row_id))
+    kept = kept.transform(lambda d: p.abstain_lone_guesses(d, keys)).transform(lambda d: a.consensus_boost(d, keys))
     merged = a.priority_merge(kept, keys)
     return p.drop_unresolved(p.drop_unresolved(merged, False), True)
 

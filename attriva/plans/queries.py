@@ -71,7 +71,7 @@ boosted AS (SELECT c.* REPLACE (CASE WHEN b.l_orderkey IS NOT NULL AND c.confide
 @query(f"WITH {CAND}, {_BOOST} SELECT product_id, attribute_id, source, count(*) AS n, round(sum(confidence), 6) AS total FROM boosted GROUP BY ALL")
 def q_consensus_boost(spark, sf_dir):
     """A2."""
-    out = a.consensus_boost(d.candidates(spark, sf_dir), KEYS, ROW)
+    out = a.consensus_boost(d.candidates(spark, sf_dir), KEYS)
     return out.groupBy(*KEYS, "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("total"))
 
 

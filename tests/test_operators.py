@@ -78,7 +78,7 @@ def test_collection_union_is_the_ordered_fold(spark):
 
 def test_consensus(spark):
     rows = [(1, 1, 0, "A", None, False, 0.5, "vision", None, None, False, None, None), (1, 1, 1, "a ", None, False, 0.95, "ugc", None, None, False, None, None), (1, 1, 2, "b", None, False, 0.5, "ugc", None, None, False, None, None)]
-    got = a.consensus_boost(spark.createDataFrame(rows, SCHEMA), ["product_id", "attribute_id"], ["product_id", "attribute_id", "seq"]).collect()
+    got = a.consensus_boost(spark.createDataFrame(rows, SCHEMA), ["product_id", "attribute_id"]).collect()
     assert {x.seq: round(x.confidence, 3) for x in got} == {0: 0.6, 1: 0.97, 2: 0.5}
 
 
@@ -167,3 +167,11 @@ def test_readers(spark, tmp_path):
     assert [r.product_id for r in good.collect()] == [1] and [r.product_id for r in bad.collect()] == [2]
     sinks.sharded_parquet(spark.range(10), f"file://{tmp_path}/s", 3)
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == 10
+
+
+def test_deep_trees_and_cycles(spark):
+    chain = [(i, i - 1 if i else None, f"n{i}") for i in range(40)] + [(100, 99, "orphan"), (101, 100, "below it"), (200, None, "other"), (201, 200, "kid")]
+    got = {x.id: (x.root_id, "/".join(x.path)) for x in j.tree_categories(spark.createDataFrame(chain, "id long, parent_id long, name string")).collect()}
+    assert got == {i: (0, "/".join(f"n{k}" for k in range(i + 1))) for i in range(40)} | {200: (200, "other"), 201: (200, "other/kid")}
+    with pytest.raises(ValueError):
+        j.tree_categories(spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, None, "c")], "id long, parent_id long, name string"))
