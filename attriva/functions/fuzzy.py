@@ -89,3 +89,24 @@ def score(name: str, a: Column, b: Column) -> Column:
         return pd.Series([None if p is None or q is None else float(scorer(p, q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return run(a, b)
+
+
+def best_places(texts: Column, options: Column, scorer: Column, least: Column) -> Column:
+    """For each text of an array the place (from 1) of the option that scores best by ``scorer``, the first of equals; null
+    under ``least`` or for blank texts.  A null array of texts gives null and costs nothing."""
+
+    @F.pandas_udf("array<int>")
+    def run(xs: pd.Series, os: pd.Series, names: pd.Series, floors: pd.Series) -> pd.Series:
+        known: dict = {}
+
+        def place(text, listed, name, floor):
+            key = text, listed, name
+            if key not in known:
+                scores = [SCORERS[name](text, o) if o else 0.0 for o in listed] if text else []
+                best = max(range(len(scores)), key=lambda k: (scores[k], -k), default=None)
+                known[key] = None if best is None or scores[best] < floor else best + 1
+            return known[key]
+
+        return pd.Series([None if x is None or o is None else [place(v, tuple(o), n, f) for v in x] for x, o, n, f in zip(xs, os, names, floors, strict=True)])
+
+    return run(texts, options, scorer, least)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions.text import norm, norm_elements
+from ..functions.text import free_text_gate, gender_form, norm, norm_elements
 from .windows import first_by
 
 
@@ -106,6 +106,23 @@ def votes(neighbours: DataFrame, keys: list[str], value: str, seq: str, quorum:
     return joined.where("n_votes >= 2").withColumn("confidence", 0.6 + 0.4 * (F.col("n_votes") / F.col("n_voters")))
 
 
+def gated_votes(voted: DataFrame, translations: dict[str, str] | None = None) -> DataFrame:
+    """Voted values as candidates with evidence: values of fields with options must name one, gender words in their
+    dictionary form; free text passes the gate of neighbours' texts.
+
+    ``voted`` has value_str, the numbers of ``votes`` and target_name and allowed_values of its target.
+    """
+    from .predicates import membership_guard
+
+    closed = F.coalesce(F.size("allowed_values"), F.lit(0)) > 0
+    value = F.when(closed, F.coalesce(gender_form(F.col("value_str")), F.col("value_str"))).otherwise(free_text_gate(F.col("value_str"), translations))
+    shaped = voted.withColumns({
+        "value_str": value, "evidence": F.format_string("seen in %d/%d similar cards", F.col("n_votes").cast("long"), F.col("n_voters").cast("long")),
+        "is_list": F.lit(False), "value_arr": F.lit(None).cast("array<string>"), "value_ids": F.lit(None).cast("array<bigint>"),
+    }).where("value_str is not null")
+    return membership_guard(shaped).drop("is_list", "value_arr", "value_ids")
+
+
 def most_frequent(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
     """The most frequent value of a key, the first of equals."""
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("_seq"))

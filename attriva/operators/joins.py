@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,23 +47,21 @@ def code_key(value: Column) -> Column:
     return F.when(F.length(digits) >= 6, F.left(digits, F.lit(8)))
 
 
-def resolve_values(values: DataFrame, dictionary: DataFrame, keys: list[str], value: str = "value", translations: dict[str, str] | None = None, fuzzy_least: float | None = 85.0) -> DataFrame:
-    """The dictionary id of each distinct (keys, value), by the first strategy that finds one, and its rank.
-
-    Ranks: 1 gender form, 2 numeric code of at least six equal digits, 3 equal without case, 4 equal when strongly normalised,
-    5 equal without trailing parentheses, 6 weighted fuzzy score.  Within a rank the first entry (by seq) wins.  Ranks 1
-    to 5 are equi-joins on derived keys; only values that they leave go to the fuzzy scorer, against their own key's entries.
-    """
-    asked = values.select(*keys, F.col(value).alias("value")).where("value is not null").distinct()
-    entry = dictionary.select(*keys, F.col("value").alias("_entry"), "value_id", "seq")
+def _direct(asked: DataFrame, entry: DataFrame, keys: list[str], translations: dict[str, str] | None, fuzzy_least: float | None) -> DataFrame:
+    """(keys, value, value_id, rank): ranks 1 to 6 of ``resolve_values`` for distinct (keys, value)."""
     strong = lambda c: t.strong_token(c, translations)
+    bare = F.when(t.without_parens(F.col("value")) != F.col("value"), t.without_parens(F.col("value")))
+    code = F.when(F.col("value").rlike("^[0-9]{6,}$"), F.col("value"))
     plans = [
         (1, F.lower(t.gender_form(F.col("value"))), F.lower("_entry")),
-        (2, F.when(F.col("value").rlike("^[0-9]{6,}$"), F.left("value", F.lit(8))), code_key(F.col("_entry"))),
+        (2, F.left(code, F.lit(8)), code_key(F.col("_entry"))),
+        *((2, F.when(F.length(code) >= n, F.left(code, F.lit(n))), F.when(F.length(code_key(F.col("_entry"))) == n, code_key(F.col("_entry")))) for n in (6, 7)),
+        *((2, F.when(F.length(code) == n, code), F.left(code_key(F.col("_entry")), F.lit(n))) for n in (6, 7)),
         (3, F.lower("value"), F.lower("_entry")),
         (4, strong(F.col("value")), strong(F.col("_entry"))),
-        (5, F.when(t.without_parens(F.col("value")) != F.col("value"), strong(t.without_parens(F.col("value")))), strong(F.col("_entry"))),
-        (5, F.when(t.without_parens(F.col("value")) != F.col("value"), strong(t.without_parens(F.col("value")))), strong(t.without_parens(F.col("_entry")))),
+        (5, F.lower(bare), F.lower("_entry")),
+        (5, strong(bare), strong(F.col("_entry"))),
+        (5, strong(bare), strong(t.without_parens(F.col("_entry")))),
     ]
     hits = None
     for rank, left, right in plans:
@@ -77,6 +76,34 @@ def resolve_values(values: DataFrame, dictionary: DataFrame, keys: list[str], va
     return exact.unionByName(near)
 
 
+def resolve_values(
+    values: DataFrame, dictionary: DataFrame, keys: list[str], value: str = "value", translations: dict[str, str] | None = None, fuzzy_least: float | None = 85.0, nearest_option: str | None = None
+) -> DataFrame:
+    """The dictionary id of each distinct (keys, value), by the first strategy that finds one, and its rank.
+
+    Ranks: 1 gender form, 2 numeric code of at least six equal digits, 3 equal without case, 4 equal when strongly normalised,
+    5 equal without trailing parentheses, 6 weighted fuzzy score; 7 the first item of a value that looks like a list, and 8 the
+    value without a pixel word, each by ranks 1 to 6; 9 the option that an outside matcher found (column ``nearest_option`` of
+    ``values``), if its digits are the value's.  Within a rank the first entry (by seq) wins.  Ranks 1 to 5 are equi-joins on
+    derived keys; only values that they leave go to the fuzzy scorer, against their own key's entries.
+    """
+    named = values.select(*keys, F.col(value).alias("value"), *([F.col(nearest_option).alias("_near")] if nearest_option else [])).where("value is not null")
+    asked = named.select(*keys, "value").distinct()
+    entry = dictionary.select(*keys, F.col("value").alias("_entry"), "value_id", "seq")
+    own = [*keys, "value"]
+    found = _direct(asked, entry, keys, translations, fuzzy_least)
+    rest = asked.join(found.select(*own), own, "left_anti")
+    items = rest.select(*own, F.posexplode(t.unwrap_list(F.col("value"))).alias("_place", "_item")).where(F.col("_item") != F.col("value"))
+    items = items.unionByName(rest.select(*own, F.lit(1 << 20).alias("_place"), t.without_pixels(F.col("value")).alias("_item")).where("_item is not null"))
+    second = _direct(items.select(*keys, F.col("_item").alias("value")).distinct(), entry, keys, translations, fuzzy_least).select(*keys, F.col("value").alias("_item"), "value_id")
+    parts = first_by(items.join(second, [*keys, "_item"]), own, [F.col("_place")]).select(*own, "value_id", F.when(F.col("_place") < 1 << 20, 7).otherwise(8).alias("rank"))
+    found = found.unionByName(parts)
+    if nearest_option is None:
+        return found
+    left = named.join(found.select(*own), own, "left_anti").where(F.col("_near").isNotNull() & t.digits_agree(F.col("value"), F.col("_near"))).select(*own, F.col("_near").alias("_entry")).distinct()
+    return found.unionByName(first_by(left.join(entry, [*keys, "_entry"]), own, [F.col("seq")]).select(*own, "value_id", F.lit(9).alias("rank")))
+
+
 def match_option(target: Column, option: Column, vector: Column | None = None) -> Column:
     """Score of an option for a target text by the legacy rules, 0 to 4, null: no match.
 
@@ -149,50 +176,67 @@ def _joined(batches, rows: int):
         yield pa.concat_batches(held)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 512, category: str | None = None) -> DataFrame:
     """The k most similar rows of each query by cosine, exact; (query_id, id, similarity, rank).
 
     A stated query set is taken in blocks of ``block``; each block visits every row once, and each task keeps its own best k,
     so neither the rows nor all pairs move.  Rows that have a query's id and zero or null vectors take no part; similarities are
-    rounded to nine places before they are ranked, ties to the smaller id.
+    rounded to nine places before they are ranked, ties to the smaller id.  ``category``: a column of both; a query that has
+    one meets only rows whose category holds its own, without case.
     """
     spark = rows.sparkSession
-    usable = rows.where(F.exists("vector", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    out = None
-    asked = queries.where(F.exists("vector", lambda x: x != 0)).select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).orderBy("id")
-    got, blocks = [], []
-    for r in asked.toLocalIterator():
-        got.append((r[0], r[1]))
-        if len(got) == block:
-            blocks.append(got)
-            got = []
-    blocks += [got] if got else []
-    for own in blocks:
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in own]), np.array([v for _, v in own])))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
+    usable = rows.where(F.exists("vector", lambda x: x != 0))
+    kind = (F.col(category).cast("string") if category else F.lit(None).cast("string")).alias("category")
+    usable = usable.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), kind)
+    asked = queries.where(F.exists("vector", lambda x: x != 0)).select(F.col("id").cast("long"), F.col("vector").cast("array<double>"), kind).orderBy("id")
+
+    def found_by(own):
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in own]), np.array([r[1] for r in own]), [r[2] for r in own]))
+
+        def run(batches):
+            ids, q, kinds = shared.value
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
             for batch in _joined(batches, 4096):
                 own_ids = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own_ids), -1)
                 sim = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
+                fits = {c: None if c is None else pc.fill_null(pc.match_substring(batch.column(2), c, ignore_case=True), False).to_numpy(zero_copy_only=False) for c in set(kinds)}
                 qs, rs = [], []
                 for i in range(len(ids)):
                     order = np.lexsort((own_ids, -sim[i]))
-                    order = order[own_ids[order] != ids[i]][:k]
+                    use = own_ids[order] != ids[i]
+                    if fits[kinds[i]] is not None:
+                        use &= fits[kinds[i]][order]
+                    order = order[use][:k]
                     qs.append(np.full(len(order), i))
                     rs.append(order)
                 qs, rs = np.concatenate(qs), np.concatenate(rs)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[qs]), pa.array(own_ids[rs]), pa.array(sim[qs, rs])], names=["query_id", "id", "similarity"])
 
-        part = usable.mapInArrow(run, "query_id long, id long, similarity double")
-        out = part if out is None else out.unionByName(part)
+        return usable.mapInArrow(run, "query_id long, id long, similarity double")
+
+    out, got = None, []
+    for r in asked.toLocalIterator():
+        got.append((r[0], r[1], r[2]))
+        if len(got) == block:
+            out, got = found_by(got) if out is None else out.unionByName(found_by(got)), []
+    if got:
+        out = found_by(got) if out is None else out.unionByName(found_by(got))
     if out is None:
         return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
     return top_n(out, ["query_id"], [F.desc("similarity"), F.col("id")], k)
 
 
+def nearest_in_category(queries: DataFrame, rows: DataFrame, k: int = 10, least: int = 3, category: str = "category") -> DataFrame:
+    """The k most similar rows of a query's own category; where they are fewer than ``least``, those of all rows;
+    ``filtered`` tells which."""
+    inside = nearest(queries, rows, k, category=category)
+    enough = inside.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("query_id")
+    kept = inside.join(enough, "query_id", "left_semi").withColumn("filtered", F.col("query_id").isNotNull())
+    other = queries.join(enough.withColumnRenamed("query_id", "id"), "id", "left_anti")
+    return kept.unionByName(nearest(other, rows, k).withColumn("filtered", F.lit(False)))
+
+
 def similar_pairs(pairs: DataFrame, a: str, b: str, least: float = 0.82) -> DataFrame:
     """Pairs whose vectors are similar enough."""
     return pairs.withColumn("similarity", cosine(F.col(a), F.col(b))).where(F.col("similarity") >= least)

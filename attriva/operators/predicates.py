@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import model
+from ..functions import fuzzy
 from ..functions import text as t
 from ..functions.numeric import trailing_unit
 
@@ -192,6 +193,37 @@ def abstain_lone_guesses(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.withColumn("_n", n).where(~((F.col("source") == "llm_knowledge") & F.col("is_collection") & (F.col("_n") == 1))).drop("_n")
 
 
+def membership_guard(joined: DataFrame, scalar_least: float = 85.0, member_least: float = 80.0) -> DataFrame:
+    """values of fields with a list of options become the option they name, or go.
+
+    A scalar names an option by equal text, by equal strong form, or by the best weighted score of ``scalar_least`` or more; a
+    list's elements by equal strong form or the best token-set score of ``member_least`` or more, each option once, and a list
+    that changes loses its ids.  Customs codes, brands, resolver evidence and fields without options pass as they are.
+    """
+    name, options = F.lower(F.coalesce("target_name", F.lit(""))), F.col("allowed_values")
+    free = (F.coalesce(F.size(options), F.lit(0)) <= 0) | F.startswith(F.coalesce("evidence", F.lit("")), F.lit("tnved_resolver:"))
+    for part in GUARD_FREE_NAMES:
+        free = free | F.contains(name, F.lit(part))
+    trimmed = lambda x: F.lower(F.trim(x))
+    is_list = F.coalesce("is_list", F.lit(False))
+    shaped = joined.withColumns({"_free": free, "_list": is_list, "_vals": F.when(is_list, F.col("value_arr")).otherwise(F.array("value_str"))})
+    shaped = shaped.withColumns({"_low": F.transform(options, trimmed), "_strong": F.transform(options, lambda o: t.strong_token(trimmed(o))), "_asked": F.transform("_vals", lambda v: t.strong_token(trimmed(v)))})
+    place = lambda xs, v: F.nullif(F.array_position(xs, v), F.lit(0)).cast("int")
+    exact = F.transform("_vals", lambda v, i: F.when(trimmed(v) != "", F.coalesce(F.when(~F.col("_list"), place(F.col("_low"), trimmed(v))), F.when(F.get("_asked", i) != "", place(F.col("_strong"), F.get("_asked", i))))))
+    shaped = shaped.withColumn("_exact", exact)
+    open_ = ~F.col("_free") & F.exists("_exact", lambda x: x.isNull())
+    scorer, least = F.when(F.col("_list"), "token_set_ratio").otherwise("weighted_ratio"), F.when(F.col("_list"), member_least).otherwise(scalar_least)
+    shaped = shaped.withColumn("_near", fuzzy.best_places(F.when(open_, F.col("_asked")), F.when(open_, F.col("_strong")), scorer, least))
+    at = F.filter(F.transform("_exact", lambda x, i: F.coalesce(x, F.get("_near", i))), lambda x: x.isNotNull())
+    # the first place of each option, whatever its case
+    first = F.array_distinct(F.transform(at, lambda x: F.array_position("_low", F.get("_low", x - 1)).cast("int")))
+    shaped = shaped.withColumn("_named", F.transform(first, lambda x: F.get(options, x - 1))).where(F.col("_free") | (F.size("_named") > 0))
+    lists, scalars = ~F.col("_free") & F.col("_list"), ~F.col("_free") & ~F.col("_list")
+    out = shaped.withColumn("value_ids", F.when(lists & (F.col("_named") != F.col("value_arr")), F.lit(None)).otherwise(F.col("value_ids")))
+    out = out.withColumns({"value_arr": F.when(lists, F.col("_named")).otherwise(F.col("value_arr")), "value_str": F.when(scalars, F.get("_named", F.lit(0))).otherwise(F.col("value_str"))})
+    return out.drop("_free", "_list", "_vals", "_low", "_strong", "_asked", "_exact", "_near", "_named")
+
+
 # Names of hard facts, in order of trial, and sources that fetch what they report
 HARD_FACTS = (
     ("COUNTRY", r"стран|изготовител|производител"),

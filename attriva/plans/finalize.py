@@ -17,14 +17,29 @@ def cascade(candidates: DataFrame, keys: list[str], stage: str) -> DataFrame:
     return candidates.join(first, keys, "left").where(F.col("_settled").isNull() | (F.col(stage) <= F.col("_settled"))).drop("_settled")
 
 
-def finalize(candidates: DataFrame, targets: DataFrame, keys: list[str], row_id: list[str]) -> DataFrame:
-    """One value per key: guards, abstention, consensus, priority merge, unresolved enums; ``targets`` has attribute_id,
-    target_name, semantic_type, has_values and is_required.  Scalar values only; lists go through ``collection_union``."""
+def merged(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, as a fold in order of seq would leave it: scalars compete by priority until the first collection
+    comes; from there on values are united."""
+    listed = F.coalesce("is_collection", F.lit(False)) | F.coalesce("is_list", F.lit(False))
+    first = F.min(F.when(listed, F.col("seq"))).over(Window.partitionBy(*keys))
+    marked = candidates.withColumn("_first", first)
+    early = F.col("_first").isNull() | (F.col("seq") < F.col("_first"))
+    winner = a.priority_merge(marked.where(early), keys)
+    alone = winner.where("_first is null").drop("_first")
+    several = winner.where("_first is not null").unionByName(marked.where(~early))
+    united = a.collection_union(several, keys).withColumns({"value_str": F.lit(None).cast("string"), "value_id": F.lit(None).cast("long"), "is_list": F.lit(True), "is_collection": F.lit(True)})
+    columns = [*keys, "value_str", "value_arr", "is_list", "is_collection", "value_id", "value_ids", "confidence", "source", "evidence"]
+    return alone.select(*columns).unionByName(united.select(*columns))
+
+
+def finalize(candidates: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """One value per key: guards on candidates, abstention, consensus, merge of scalars and collections, then the guards on
+    merged values; ``targets`` has attribute_id, target_name, semantic_type, has_values and is_required."""
     joined = candidates.drop("semantic_type").join(targets, "attribute_id")
     kept = joined.transform(p.positive).transform(p.brand_guard).transform(p.color_guard).transform(p.customs_guard)
     kept = kept.transform(lambda d: p.abstain_lone_guesses(d, keys)).transform(lambda d: a.consensus_boost(d, keys))
-    merged = a.priority_merge(kept, keys)
-    return p.drop_unresolved(p.drop_unresolved(merged, False), True)
+    one = p.reconcile_ids(merged(kept, keys)).join(targets, "attribute_id")
+    return p.drop_unresolved(p.drop_unresolved(one, False), True)
 
 
 def settled(candidates: DataFrame, keys: list[str]) -> DataFrame:

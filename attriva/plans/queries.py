@@ -185,16 +185,30 @@ def q_knn_topk(spark, sf_dir):
     return _knn(spark, sf_dir).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+_CATEGORY = "CASE WHEN id % 50 = 0 THEN 'rare ' || CAST(id % 1000 AS VARCHAR) ELSE 'group ' || CAST(label % 4 AS VARCHAR) END"
+
+
+@query(f"""WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings), c AS (SELECT *, {_CATEGORY} AS category FROM v),
+s AS (SELECT q.id AS query_id, r.id, round(list_cosine_similarity(q.vector, r.vector), 9) AS similarity, contains(r.category, q.category) AS inside FROM c q JOIN c r ON q.id % 25 = 0 AND q.id <> r.id),
+n AS (SELECT query_id, count(*) FILTER (inside) >= 3 AS filtered FROM s GROUP BY ALL), k AS (SELECT s.*, n.filtered FROM s JOIN n USING (query_id) WHERE inside OR NOT n.filtered)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rank, round(similarity, 6) AS similarity, filtered FROM k QUALIFY rank <= 10""")
+def q_knn_category(spark, sf_dir):
+    """Every 25th vector against its own category, or all where that is too small."""
+    own = F.when(F.col("id") % 50 == 0, F.concat(F.lit("rare "), (F.col("id") % 1000).cast("string"))).otherwise(F.concat(F.lit("group "), (F.col("label") % 4).cast("string")))
+    rows = d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), "label").withColumn("category", own)
+    return j.nearest_in_category(rows.where("id % 25 = 0"), rows, 10).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"), "filtered")
+
+
 def _vote_sql(having: str, conf: str) -> str:
     return f"""WITH {_NEAR}, c AS (SELECT query_id, label, count(*) AS n_votes, min(rank) AS seq FROM knn GROUP BY ALL), n AS (SELECT query_id, count(*) AS n_voters FROM knn GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_votes DESC, seq) AS rn FROM c)
 SELECT query_id, CAST(label AS INT) AS label, n_votes, n_voters, round({conf}, 6) AS confidence FROM b JOIN n USING (query_id) WHERE rn = 1 AND {having}"""
 
 
-@query(_vote_sql("n_votes >= ceil(n_voters / 2.0)", "least(0.7 + 0.05 * n_votes, 0.95)"))
+@query(_vote_sql("n_votes >= ceil(n_voters / 2.0)", "least(0.7 + 0.05 * n_votes, 0.95)").replace("r.label,", "CAST(r.label % 3 AS INT) AS label,"))
 def q_vote_consensus(spark, sf_dir):
-    """A6."""
-    return a.votes(_knn(spark, sf_dir), ["query_id"], "label", "rank").select("query_id", "label", "n_votes", "n_voters", F.round("confidence", 6).alias("confidence"))
+    """Labels in three classes, of which some have a quorum."""
+    return a.votes(_knn(spark, sf_dir).withColumn("label", F.col("label") % 3), ["query_id"], "label", "rank").select("query_id", "label", "n_votes", "n_voters", F.round("confidence", 6).alias("confidence"))
 
 
 @query(_vote_sql("n_votes >= 2", "0.6 + 0.4 * (n_votes / CAST(n_voters AS DOUBLE))"))
@@ -368,20 +382,24 @@ def q_pool_rank(spark, sf_dir):
 
 
 _DICT = """dict AS (SELECT p_brand AS brand, p_name AS entry, CAST(min(p_partkey) AS BIGINT) AS value_id FROM part GROUP BY ALL),
-vals AS (SELECT DISTINCT p_brand AS brand, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN p_name || ' (new)' ELSE p_name END AS value FROM part)"""
+vals AS (SELECT DISTINCT p_brand AS brand, CASE p_partkey % 7 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '-') WHEN 2 THEN p_name || ' (new)' WHEN 3 THEN '[''zz'', ''' || p_name || ''']' WHEN 4 THEN p_name || ' px'
+  WHEN 5 THEN 'no such' ELSE p_name END AS value FROM part)"""
 
 
-@query(f"""WITH {_DICT}, n AS (SELECT brand, value, lower(value) AS l3, regexp_replace(lower(value), ' \\(new\\)$', '') AS l5 FROM vals),
+@query(f"""WITH {_DICT}, n AS (SELECT brand, value, lower(value) AS l3, regexp_replace(lower(value), ' \\(new\\)$', '') AS l5, nullif(regexp_extract(value, '^\\[''zz'', ''(.*)''\\]$', 1), '') AS item, nullif(regexp_extract(value, '^(.*) px$', 1), '') AS stripped FROM vals),
 h AS (SELECT n.brand, n.value, value_id, 3 AS rank FROM n JOIN dict d ON n.brand = d.brand AND l3 = lower(entry)
  UNION ALL SELECT n.brand, n.value, value_id, 4 FROM n JOIN dict d ON n.brand = d.brand AND replace(l3, '-', ' ') = replace(lower(entry), '-', ' ')
- UNION ALL SELECT n.brand, n.value, value_id, 5 FROM n JOIN dict d ON n.brand = d.brand AND l5 <> l3 AND l5 = lower(entry)),
+ UNION ALL SELECT n.brand, n.value, value_id, 5 FROM n JOIN dict d ON n.brand = d.brand AND l5 <> l3 AND l5 = lower(entry)
+ UNION ALL SELECT n.brand, n.value, value_id, 7 FROM n JOIN dict d ON n.brand = d.brand AND lower(item) = lower(entry)
+ UNION ALL SELECT n.brand, n.value, value_id, 8 FROM n JOIN dict d ON n.brand = d.brand AND lower(stripped) = lower(entry)),
 f AS (SELECT *, row_number() OVER (PARTITION BY brand, value ORDER BY rank, value_id) AS rn FROM h) SELECT brand, value, value_id, CAST(rank AS INT) AS rank FROM f WHERE rn = 1""")
 def q_ranked_resolve(spark, sf_dir):
-    """Exact, normalised and parenthesis-free values to dictionary ids."""
+    """Exact, normalised, parenthesis-free, listed and unit-free values to dictionary ids."""
     parts = d.table(spark, sf_dir, "part")
     entries = parts.groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("value")).agg(F.min("p_partkey").cast("long").alias("value_id")).withColumn("seq", F.col("value_id"))
-    k = F.col("p_partkey") % 4
-    value = F.when(k == 0, F.upper("p_name")).when(k == 1, F.replace("p_name", F.lit(" "), F.lit("-"))).when(k == 2, F.concat("p_name", F.lit(" (new)"))).otherwise(F.col("p_name"))
+    k = F.col("p_partkey") % 7
+    value = F.when(k == 0, F.upper("p_name")).when(k == 1, F.replace("p_name", F.lit(" "), F.lit("-"))).when(k == 2, F.concat("p_name", F.lit(" (new)"))).when(k == 3, F.concat(F.lit("['zz', '"), "p_name", F.lit("']")))
+    value = value.when(k == 4, F.concat("p_name", F.lit(" px"))).when(k == 5, "no such").otherwise(F.col("p_name"))
     values = parts.select(F.col("p_brand").alias("brand"), value.alias("value"))
     return j.resolve_values(values, entries, ["brand"], fuzzy_least=None).select("brand", "value", "value_id", "rank")
 
@@ -774,9 +792,9 @@ def q_cost(spark, sf_dir):
 
 @query()
 def q_finalize(spark, sf_dir):
-    """The chain of guards, consensus, merge and drops; each step has its own SQL, the chain is tested against plain Python."""
-    out = finalize(d.candidates(spark, sf_dir), F.broadcast(d.targets(spark)), KEYS, ROW)
-    return out.select(*KEYS, "source", "value_str", F.round("confidence", 6).alias("confidence"))
+    """The chain of guards, consensus, merges and drops; each step has its own SQL, the chain is tested against plain Python."""
+    out = finalize(d.candidates(spark, sf_dir), F.broadcast(d.targets(spark)), KEYS)
+    return out.select(*KEYS, "source", "value_str", F.array_join("value_arr", "|").alias("joined_values"), "is_list", F.round("confidence", 6).alias("confidence"))
 
 
 @query()

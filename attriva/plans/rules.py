@@ -146,3 +146,23 @@ def q_card_shards(spark, sf_dir):
     card = F.col("o_orderkey").cast("long") * 7919 % 900000000
     volume, part = numeric.shard_volume(card)
     return d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), volume.alias("volume"), part.alias("part"), numeric.shard(card).alias("shard"))
+
+
+_OPTION_SCHEMA = "case_no long, target_name string, options string, value string, listed string, want string"
+_OPTIONS = (
+    (1, "Материал", "Хлопок|Лён|Шерсть", "хлопок ", None, "Хлопок"), (2, "Материал", "Хлопок|Лён|Шерсть", "лен", None, "Лён"), (3, "Материал", "Хлопок|Лён|Шерсть", "Бетон", None, None), (4, "Материал", "Хлопок|Лён|Шерсть", "Хлопковый", None, None),
+    (5, "Режимы", "Автоматическое центрирование тостов|Разморозка", None, "тостов автоматическое центрирование|выдвижной лоток", "Автоматическое центрирование тостов"), (6, "Режимы", "Автоматическое центрирование тостов|Разморозка", None, "лоток|съёмный поддон", None),
+    (7, "Режимы", "Автоматическое центрирование тостов|Разморозка", None, "Разморозка|разморозка| РАЗМОРОЗКА", "Разморозка"), (8, "Бренд", "Bosch|Makita", "Хитачи", None, "Хитачи"), (9, "Код ТН ВЭД", "1702", "9999", None, "9999"), (10, "Материал", None, "Что угодно", None, "Что угодно"),
+    (11, "Материал", "Хлопок|хлопок|Лён", "ХЛОПОК", None, "Хлопок"), (12, "Материал", "Хлопок|Лён", "  ", None, None),
+)
+
+
+@query(f"""WITH {_values("c", "case_no, target_name, options, value, listed, want", _OPTIONS)} SELECT CAST(p_partkey AS BIGINT) AS product_id, CAST(case_no AS BIGINT) AS case_no, want AS named FROM part CROSS JOIN c WHERE want IS NOT NULL""")
+def q_membership(spark, sf_dir):
+    """F19."""
+    rows = _cases(spark, sf_dir, _OPTIONS, _OPTION_SCHEMA)
+    rows = rows.withColumns({
+        "allowed_values": F.split("options", "[|]"), "is_list": F.col("listed").isNotNull(), "value_arr": F.split("listed", "[|]"), "value_str": F.col("value"),
+        "value_ids": F.lit(None).cast("array<bigint>"), "evidence": F.lit(None).cast("string"),
+    })
+    return p.membership_guard(rows).select("product_id", "case_no", F.when(F.col("is_list"), F.array_join("value_arr", "|")).otherwise(F.col("value_str")).alias("named"))

@@ -175,3 +175,91 @@ def test_deep_trees_and_cycles(spark):
     assert got == {i: (0, "/".join(f"n{k}" for k in range(i + 1))) for i in range(40)} | {200: (200, "other"), 201: (200, "other/kid")}
     with pytest.raises(ValueError):
         j.tree_categories(spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, None, "c")], "id long, parent_id long, name string"))
+
+
+def test_membership_ids_and_votes(spark):
+    schema = "target_name string, allowed_values array<string>, is_list boolean, value_str string, value_arr array<string>, value_ids array<long>, evidence string"
+    rows = [
+        ("Цвет", ["Красный", "Синий"], True, None, ["Красный", "Синий"], [1, 2], None), ("Цвет", ["Красный", "Синий"], True, None, ["красный", "Жёлтый"], [1, 3], None),
+        ("Цвет", ["Красный"], False, "Зелёный", None, None, "tnved_resolver: x"), ("Цвет", [], True, None, ["a"], [5], None),
+    ]
+    got = [(x.value_str, x.value_arr, x.value_ids) for x in p.membership_guard(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got, key=str) == sorted([(None, ["Красный", "Синий"], [1, 2]), (None, ["Красный"], None), ("Зелёный", None, None), (None, ["a"], [5])], key=str)
+    voted = spark.createDataFrame(
+        [("Пол", ["Мужской", "Женский"], "мужчинам", 3, 5), ("Пол", ["Мужской", "Женский"], "xyz", 3, 5), ("Состав", [], "ftwwht/cblack/solred", 2, 2), ("Состав", [], "хлопок", 2, 3), ("Состав", [], "Cotton", 2, 3), ("Вес", [], "5 kg", 2, 3)],
+        "target_name string, allowed_values array<string>, value_str string, n_votes long, n_voters long",
+    )
+    assert {(x.value_str, x.evidence) for x in a.gated_votes(voted, {"cotton": "хлопок"}).collect()} == {("Мужской", "seen in 3/5 similar cards"), ("хлопок", "seen in 2/3 similar cards"), ("5 kg", "seen in 2/3 similar cards")}
+
+
+def test_resolver_tail(spark):
+    entries = spark.createDataFrame([("k", "Красный", 1, 1), ("k", "1920×1080", 2, 2), ("k", "Мужской", 3, 3), ("k", "6109100000 - Футболки", 4, 4), ("k", "610910", 5, 5), ("k", "Экран 5", 6, 6)], "kind string, value string, value_id long, seq long")
+    asked = [("k", "['нет такого', 'красный']", None), ("k", "1920×1080 pixels", None), ("k", "мужчинам", None), ("k", "6109100010", None), ("k", "610910", None), ("k", "дисплей пять", "Экран 5"), ("k", "дисплей 6", "Экран 5")]
+    out = j.resolve_values(spark.createDataFrame(asked, "kind string, value string, near string"), entries, ["kind"], fuzzy_least=None, nearest_option="near")
+    assert {(x.value, x.value_id, x.rank) for x in out.collect()} == {("['нет такого', 'красный']", 1, 7), ("1920×1080 pixels", 2, 8), ("мужчинам", 3, 1), ("6109100010", 4, 2), ("610910", 4, 2), ("дисплей пять", 6, 9)}
+
+
+def test_the_finalising_chain_is_the_plain_fold(spark):
+    from attriva.plans import derived as d
+    from attriva.plans.finalize import finalize
+
+    rows = make(500, 7)
+    rows = [(r[0], r[1] % 3 + 1 if not r[5] else 6, *r[2:]) if k % 9 else (r[0], 5, *r[2:5], False, *r[6:10], False, *r[11:]) for k, r in enumerate(rows)]
+    targets = {t[0]: dict(zip(("id", "name", "type", "sem", "has", "req"), t, strict=True)) for t in d.TARGETS}
+    by_key = {}
+    for r in rows:
+        pid, aid, seq, text, arr, is_list, conf, source, evidence, _, coll, vid, ids = r
+        if conf <= 0 or (aid == 1 and source in model.BRAND_GUESSING) or (aid == 2 and (source != "description" or len(arr or []) >= 2 or len(ids or []) >= 2)) or (aid == 5 and source in ("llm_knowledge", "web_search")):
+            continue
+        by_key.setdefault((pid, aid), []).append({"seq": seq, "t": text, "v": arr, "l": is_list, "c": conf, "s": source, "e": evidence, "coll": coll, "id": vid, "ids": ids})
+    want = {}
+    for key, own in by_key.items():
+        if len(own) == 1 and own[0]["s"] == "llm_knowledge" and own[0]["coll"]:
+            continue
+        words = lambda x: {w.strip().lower() for w in (x["v"] if x["l"] else [x["t"]])} - {""}
+        backers = {}
+        for x in own:
+            for w_ in words(x):
+                backers.setdefault(w_, set()).add(x["s"])
+        own = [x | {"c": min(0.97, x["c"] + 0.10) if x["c"] < 0.97 and any(len(backers[w_]) >= 2 for w_ in words(x)) else x["c"]} for x in own]
+        state = None
+        for x in own:
+            x = x | {"vals": x["v"] if x["l"] else [x["t"]]}
+            if state is None:
+                state = x
+            elif not (x["coll"] or x["l"] or state["coll"] or state["l"]):
+                state = x if (PRIORITY[x["s"]], len(x["e"] or "")) > (PRIORITY[state["s"]], len(state["e"] or "")) else state
+            else:
+                state = unite(state, x)
+        n = len(state["vals"])
+        if state["ids"] is not None and (len(state["ids"]) != n or (not (state["coll"] or state["l"]) and len(state["ids"]) > 1)):
+            state = state | {"id": None, "ids": None}
+        t = targets[key[1]]
+        if t["has"] and "ТН ВЭД" not in t["name"]:
+            if state["l"]:
+                if not state["ids"]:
+                    continue
+                state["vals"] = state["vals"][: len(state["ids"])]
+            elif state["id"] is None:
+                continue
+        want[key] = (state["s"], None if state["l"] else state["t"], state["vals"] if state["l"] else None, round(state["c"], 6))
+    got = finalize(spark.createDataFrame(rows, SCHEMA), d.targets(spark), ["product_id", "attribute_id"]).collect()
+    assert {(x.product_id, x.attribute_id): (x.source, x.value_str, x.value_arr if x.is_list else None, round(x.confidence, 6)) for x in got} == want and len(want) > 8
+
+
+def unite(x, y):
+    for one, two in ((x, y), (y, x)):
+        if one["s"] in model.OVERRIDE and two["s"] in model.INFERENCE and one["c"] >= two["c"] + 0.10:
+            return one | {"l": True, "coll": True, "id": None}
+    seen, vals, ids, whole = set(), [], [], True
+    for side in (x, y):
+        own = side["ids"]
+        whole = whole and own is not None and len(own) == len(side["vals"])
+        for i, el in enumerate(side["vals"]):
+            low = el.strip().lower()
+            if low and low not in seen:
+                seen.add(low)
+                vals.append(el)
+                ids.append(own[i] if own is not None and i < len(own) else None)
+    base = x if x["c"] >= y["c"] else y
+    return {"vals": vals, "ids": ids if whole and None not in ids else None, "c": max(x["c"], y["c"]), "s": base["s"], "e": base["e"], "l": True, "coll": True, "id": None, "t": None}
