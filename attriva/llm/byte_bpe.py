@@ -8,7 +8,7 @@ words are folded: the corpus' frequent words (a dictionary of bounded size) once
 task's documents with up to ``RARE_WORDS`` of them.  A word that is itself a token needs no fold.  Words of more than
 ``LONG`` bytes would take quadratic time in the fold; for these the same merges are made with a heap.
 
-Documents never move: a run of about 1 MB of text becomes one row with its word numbers and the words that are new in it;
+Documents never move: a run of about 2 MB of text becomes one row with its word numbers and the words that are new in it;
 the fold turns these words into ids in the same row; then the ids and pieces of a document's words are concatenated.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; every row gives a row, repeated or not; texts of
@@ -31,7 +31,7 @@ from .shared import texts, written
 from .textops import gathered, give_back, id_column, int64s, pieces, span_hashes, text_bytes
 
 LONG = 160
-HOT_WORDS = 1 << 17
+HOT_WORDS = 1 << 18
 RARE_WORDS = 1 << 18
 _SHIFT = 20
 _MASK = (1 << _SHIFT) - 1
@@ -277,9 +277,9 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> lis
                 words, counts = zip(*rows[a : a + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 
-        for batch in gathered(batches, 1_000_000):
+        for batch in gathered(batches, 1_600_000):
             _, offsets = text_bytes(batch.column(0))
-            for i, j in pieces(offsets, 1_000_000):
+            for i, j in pieces(offsets, 2_000_000):
                 points, start, end, _ = word_bounds([x or "" for x in batch.column(0).slice(i, j - i).to_pylist()], pattern)
                 words, number = distinct_words(points, start, end)
                 for w, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
@@ -350,10 +350,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         (numbers, tokens), fixed = cache["numbers"], len(hot) + len(ranks)
         rare: list[str] = []
         reset = True
-        for batch in gathered(batches, 800_000):
+        for batch in gathered(batches, 1_600_000):
             ids, column = int64s(batch.column(0)), batch.column(1)
             _, offsets = text_bytes(column)
-            for i, j in pieces(offsets, 1_000_000):
+            for i, j in pieces(offsets, 2_000_000):
                 points, start, end, sizes = word_bounds([x or "" for x in column.slice(i, j - i).to_pylist()], pattern)
                 words, place = distinct_words(points, start, end)
                 own, fresh = np.empty(len(words), np.int32), []

@@ -5,10 +5,12 @@ separators and identifier cues.  From each anchor a deterministic local parser e
 address or number and validates it.  Spans are code points, end exclusive.
 
 Base kinds (email, ip, card, phone) equal leftmost non-overlapping regex matches per kind, of which failing ones are
-dropped without retries.  Added kinds: account, iban (after a cue) and url (around a scheme).
+dropped without retries.  Added kinds: account, iban (after a cue), url (around a scheme) and secret: the value that is
+assigned to a cue like ``token`` or ``password``, of twelve characters or more with letters and digits.
 
 Defined cases: a null text is empty and has no spans; every row gives a row, repeated or not; other columns stay
-untouched; an empty table gives no rows.
+untouched, whatever their names; texts of any length are searched whole; matches that start at the same place (ties) are
+listed by kind; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from .shared import texts
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "iban", "url")
+ADDED = ("account", "iban", "url", "secret")
 #: Identifier cues.
 CUES = ("account", "acct", "iban", "konto", "cuenta", "compte", "ssn", "passport", "customer id", "user id", "member id")
+#: Cues of assigned secrets.
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "api key", "access_key", "private_key", "auth_key")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
@@ -33,6 +37,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id|#))?\x20?[:=#]?\x20?([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])")
 _IBAN = re.compile(r"\x20?[:=#]?\x20?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"""["']?\x20{0,4}(?:=>|:=|[=:])\x20{0,4}["']?([A-Za-z0-9+/_.~=-]{12,})""")
 _URL_REST = re.compile(r"[^\s<>\"'`]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -58,6 +63,9 @@ def automaton():
         for cue in CUES:
             for form in {cue, cue.capitalize(), cue.upper()}:
                 a.add_word(form, ("account", len(form)))
+        for cue in SECRET_CUES:
+            for form in {cue, cue.capitalize(), cue.upper()}:
+                a.add_word(form, ("secret", len(form)))
         a.make_automaton()
         _machine = a
     return _machine
@@ -125,6 +133,12 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 if rest:
                     over["url"] = last + 1 + len(rest)
                     found["url"].append((low, over["url"]))
+        elif kind == "secret":
+            if (start == 0 or not text[start - 1].isalnum()) and (m := _SECRET.match(text, last + 1)) and m.start(1) >= over["secret"]:
+                value = m[1].rstrip(".")
+                if len(value) >= 12 and any(c in _DIGITS for c in value) and any(c.isalpha() for c in value):
+                    over["secret"] = m.start(1) + len(value)
+                    found["secret"].append((m.start(1), over["secret"]))
         elif (start == 0 or not text[start - 1].isalnum()) and (last + 1 < n):
             if (m := _IBAN.match(text, last + 1)) and m.start(1) >= over["iban"] and _iban_ok(m[1]):
                 over["iban"] = m.end(1)
@@ -163,7 +177,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def span_digest(found: DataFrame) -> DataFrame:
-    """Counts per base kind, digest of the base spans and the string of all spans."""
+    """Counts per base kind, digest of the base spans, the string of all spans, and the numbers of secrets and of all spans."""
 
     def joined(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -173,7 +187,8 @@ def span_digest(found: DataFrame) -> DataFrame:
 
     counts = [count(k) for k in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    more = [count("secret"), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), *more)
 
 
 def redact(docs: DataFrame) -> DataFrame:

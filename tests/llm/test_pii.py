@@ -49,3 +49,33 @@ def test_table(spark):
 def test_long_runs_take_linear_time():
     assert base("1." * 200_000) == brute.pii_base("1." * 200_000)
     assert base("a" * 300_000 + "@") == []
+
+
+PLANTED = (
+    ("secret", 'token = "', "04dbebab91ab85687d33eeaaf9ac699e1188f962", '"'), ("secret", "API_KEY: ", "sk-9fK2mZ81qPw0", " "), ("secret", "access_token='", "aB3aB3aB3aB3", "'"), ("iban", "IBAN: ", "DE89 3704 0044 0532 0130 00", ","),
+    ("account", "account no. ", "12345678", ";"), ("account", "Passport ", "X1234567", "."), ("url", "see ", "https://h.example/x?y=1", ")"),
+)
+
+
+def test_added_spans_in_whole_documents():
+    rng = random.Random(6)
+    kinds = set(pii.ADDED)
+    for _, text, *_ in fixtures.rows():
+        assert not [s for s in pii.spans(text) if s[0] in kinds]
+        out, want, at = [], [], 0
+        for word in (text or "").split(" "):
+            if rng.random() < 0.02 or not want:
+                kind, before, value, after = rng.choice(PLANTED)
+                piece = f"{before}{value}{after}"
+                want.append((kind, at + len(before), at + len(before) + len(value)))
+                out.append(piece)
+                at += len(piece) + 1
+            out.append(word)
+            at += len(word) + 1
+        got = [s for s in pii.spans(" ".join(out)) if s[0] in kinds]
+        assert sorted(got) == sorted(want)
+
+
+def test_what_is_no_secret():
+    for text in ("token = next", "the token is 04dbebab91ab85687d33", "tokens: 0123456789ab", "broken: 0123456789abcdef", "password = aaaaaaaaaaaaaa", "token = 123456789012", "mytoken=abc123abc123"):
+        assert not [s for s in pii.spans(text) if s[0] == "secret"], text
