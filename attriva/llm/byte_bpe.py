@@ -24,6 +24,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,11 +210,11 @@ def fold(entries: Column, slots: int, lists: int, shifts: Column, table: Column)
     return F.aggregate(merges, entries, step, lambda e: F.transform(F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0))), lambda x: x.bitwiseAND(_MASK).cast("int")))
 
 
-def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of each word of an array; the literals stand once in the expression and are bound for all words."""
+def rank_folder(ranks: dict[bytes, int]):
+    """A function from an array of words to the ids of each; the literals stand once in the expression, bound for all words."""
     slots, shifts, table = rank_table(ranks)
-    literal = F.struct(*(F.from_json(F.lit(json.dumps(x.tolist())), "array<bigint>").alias(name) for name, x in (("shifts", shifts), ("table", table))))
-    return F.element_at(F.transform(F.array(literal), lambda t: F.transform(words, lambda w: fold(w, slots, len(shifts), t["shifts"], t["table"]))), 1)
+    literal = F.struct(*(F.from_json(F.lit(json.dumps(x.tolist(), separators=(",", ":"))), "array<bigint>").alias(name) for name, x in (("shifts", shifts), ("table", table))))
+    return lambda words: F.element_at(F.transform(F.array(literal), lambda t: F.transform(words, lambda w: fold(w, slots, len(shifts), t["shifts"], t["table"]))), 1)
 
 
 def first_entries(words: list[bytes], pair_ranks: np.ndarray, byte_ids: np.ndarray) -> pa.Array:
@@ -264,8 +265,8 @@ def _alphabet(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([ranks.get(bytes([x, y]), _NONE) for x in range(256) for y in range(256)], np.int64), byte_ids
 
 
-def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> list[str]:
-    """Up to ``limit`` frequent words of all texts: a cache, which decides nothing but where a word is folded."""
+def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> DataFrame:
+    """(word): up to ``limit`` frequent words of all texts: a cache, which decides nothing but where a word is folded."""
 
     def count(batches):
         seen: dict[str, int] = {}
@@ -297,7 +298,36 @@ def frequent_words(docs: DataFrame, pattern: str, limit: int = HOT_WORDS) -> lis
         if total + words > limit:
             break
         total, least = total + words, n
-    return sorted(counted.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist())
+    return counted.where(F.col("n") >= least).select("word")
+
+
+def dictionary(frequent: DataFrame, ranks: Broadcast, folded, pair_ranks: np.ndarray, byte_ids: np.ndarray, width: int = 1024) -> bytes:
+    """The frequent words that are no tokens and their ids, folded where they stand: lists of words and of lists of ids, as an
+    Arrow stream."""
+
+    def entries(batches):
+        for batch in gathered(batches, 1_000_000):
+            words = [w for x in batch.column(0).to_pylist() if (w := x.encode()) not in ranks.value]
+            for k in range(0, len(words), width):
+                own = first_entries(words[k : k + width], pair_ranks, byte_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([words[k : k + width]], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["words", "entries"])
+
+    rows = frequent.repartition(16, "word").mapInArrow(entries, "words array<binary>, entries array<array<bigint>>")
+    table = rows.select("words", folded(F.col("entries")).alias("ids")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(stream: bytes) -> tuple[list[bytes], list[bytes]]:
+    """(words, codes of their ids) of a dictionary."""
+    words, codes = [], []
+    for batch in pa.ipc.open_stream(stream):
+        for w, ids in zip(batch.column(0), batch.column(1), strict=True):
+            words += w.values.to_pylist()
+            codes += _codes(ids.values)
+    return words, codes
 
 
 class _Codes:
@@ -332,22 +362,20 @@ def _codes(lists: pa.Array) -> list[bytes]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids binary, n_tokens, decoded binary) of every row: ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
-    hot = [w for w in frequent_words(docs, pattern) if w.encode() not in ranks]
     pair_ranks, byte_ids = _alphabet(ranks)
-    width, hot_codes = 4096, []
-    if hot:
-        parts = [(k, first_entries([w.encode() for w in hot[k : k + width]], pair_ranks, byte_ids)) for k in range(0, len(hot), width)]
-        rows = pa.table({"k": pa.array([k for k, _ in parts], pa.int32()), "words": pa.array([x.to_pylist() for _, x in parts], pa.list_(pa.list_(pa.int64())))})
-        done = spark.createDataFrame(rows).repartition(min(16, len(parts)), "k").select("k", fold_words(F.col("words"), ranks).alias("ids")).orderBy("k").toArrow()
-        hot_codes = [x for row in done["ids"].combine_chunks() for x in _codes(row.values)]
-    shared = spark.sparkContext.broadcast((hot, hot_codes, ranks))
+    folded = rank_folder(ranks)
+    shared = spark.sparkContext.broadcast(ranks)
+    frequent = spark.sparkContext.broadcast(dictionary(frequent_words(docs, pattern), shared, folded, pair_ranks, byte_ids))
+    give_back()
     cache: dict = {}
 
     def number(batches):
-        hot, _, ranks = shared.value
+        ranks = shared.value
         if "numbers" not in cache:
-            cache["numbers"] = {w: k for k, w in enumerate(hot)}, {w: k for k, w in enumerate(sorted(ranks, key=ranks.get), len(hot))}
-        (numbers, tokens), fixed = cache["numbers"], len(hot) + len(ranks)
+            hot, _ = _opened(frequent.value)
+            cache["numbers"] = {w.decode(): k for k, w in enumerate(hot)}, {w: k for k, w in enumerate(sorted(ranks, key=ranks.get), len(hot))}
+        numbers, tokens = cache["numbers"]
+        fixed = len(numbers) + len(ranks)
         rare: list[str] = []
         reset = True
         for batch in gathered(batches, 1_600_000):
@@ -387,8 +415,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     def assemble(batches):
         if "codes" not in cache:
-            cache["codes"] = _Codes(shared.value[1], shared.value[2])
-        codes, ranks = cache["codes"], shared.value[2]
+            cache["codes"] = _Codes(_opened(frequent.value)[1], shared.value)
+        codes, ranks = cache["codes"], shared.value
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, sizes, seq = (np.frombuffer(batch.column(k)[row].as_py(), kind) for k, kind in enumerate((np.int64, np.int64, np.int32)))
@@ -409,7 +437,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     numbered = texts(docs).mapInArrow(number, "doc_ids binary, sizes binary, seq binary, fresh array<array<bigint>>, long array<binary>, reset boolean")
     # an empty list stands for a long word and keeps its place
-    words = numbered.withColumn("got", fold_words(F.col("fresh"), ranks))
+    words = numbered.withColumn("got", folded(F.col("fresh")))
     return words.select("doc_ids", "sizes", "seq", "got", "long", "reset").mapInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded binary")
 
 
