@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .shared import components, lookup, texts, without, written
 from .textops import SPACE_WORDS, U64, gathered, give_back, int64s, text_bytes, words_of
 
-PACKED = "piece long, frag int, ids binary, counts binary, grams binary"
-COUNTED = PACKED + ", twice binary, known binary"
+PACKED = "piece long, frag int, ids binary, docs binary, grams binary"
+COUNTED = PACKED + ", twice binary, total binary, known binary"
 
 
 def _bits(docs: DataFrame, per_fragment: int = 8_000_000) -> int:
@@ -51,7 +52,8 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def packed_fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """Per run of documents and fragment one row of 40 low hash bits of n-grams, distinct by document.
+    """Per run of documents and fragment one row of 40 low hash bits of n-grams, distinct by document, and their documents;
+    fragments that hold none of a run's have no row, but the first, which has the run's doc_ids and numbers of n-grams.
 
     N-grams that several documents of the run hold are known to be shared: they are counted here, in ``known``, and sent
     once, in ``twice``.  So an n-gram that very many documents hold costs one entry per run, not one per document.
@@ -63,7 +65,7 @@ def packed_fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
         part, k = TaskContext.get().partitionId(), 0
         for batch in gathered(batches, 640_000):
             ids = int64s(batch.column(0))
-            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 800_000, 1 << doc_bits):
+            for i, j, w in words_of(batch.column(1), SPACE_WORDS, 800_000, 1 << min(16, doc_bits)):
                 m = j - i
                 s, d, _ = w.ngrams(n)
                 # fragment, hash and document in one number, sorted: equal n-grams stand together
@@ -75,23 +77,19 @@ def packed_fragments(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 several = same[1:] | same[:-1]
                 lead = several & ~same[:-1]
                 known = np.bincount(doc[several], minlength=m).astype(np.uint32)
+                total = np.bincount(doc, minlength=m).astype(np.uint32)
                 frag = (gram >> gram_bits).astype(np.int64)
                 low = np.ascontiguousarray(gram).view(np.uint8).reshape(-1, 8)[:, :5]
                 alone = np.flatnonzero(~several)
-                alone = alone[np.argsort(frag[alone] * m + doc[alone], kind="stable")]
                 marks = np.arange((1 << bits) + 1)
                 one, two = np.searchsorted(frag[alone], marks), np.searchsorted(frag[lead], marks)
-                grams, again = low[alone], low[lead]
-                doc = doc[alone]
+                grams, again, doc = low[alone], low[lead], doc[alone].astype(np.uint16)
                 rows = [f for f in range(1 << bits) if f == 0 or one[f + 1] > one[f] or two[f + 1] > two[f]]
+                head = lambda x: pa.array([x.tobytes() if f == 0 else None for f in rows], pa.binary())  # noqa: B023, E731
+                cut_at = lambda x, at: pa.array([x[at[f] : at[f + 1]].tobytes() for f in rows], pa.binary())  # noqa: B023, E731
                 yield _batch(
-                    piece=pa.array([(part << 32) | k] * len(rows), pa.int64()),
-                    frag=pa.array(rows, pa.int32()),
-                    ids=pa.array([ids[i:j].tobytes() if f == 0 else None for f in rows], pa.binary()),
-                    counts=pa.array([np.bincount(doc[one[f] : one[f + 1]], minlength=m).astype(np.uint32).tobytes() for f in rows], pa.binary()),
-                    grams=pa.array([grams[one[f] : one[f + 1]].tobytes() for f in rows], pa.binary()),
-                    twice=pa.array([again[two[f] : two[f + 1]].tobytes() for f in rows], pa.binary()),
-                    known=pa.array([known.tobytes() if f == 0 else None for f in rows], pa.binary()),
+                    piece=pa.array([(part << 32) | k] * len(rows), pa.int64()), frag=pa.array(rows, pa.int32()), ids=head(ids[i:j]), docs=cut_at(doc, one), grams=cut_at(grams, one),
+                    twice=cut_at(again, two), total=head(total), known=head(known),
                 )
                 k += 1
 
@@ -107,27 +105,29 @@ def shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
         shared = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], known]))
         at = np.minimum(np.searchsorted(shared, grams), max(0, len(shared) - 1))
         flag = (shared[at] == grams) if len(shared) else np.zeros(len(grams), bool)
-        total = np.concatenate([[0], np.cumsum(flag)])
-        out, pos = [], 0
-        for counts in table["counts"]:
-            ends = pos + np.cumsum(np.frombuffer(counts.as_py(), np.uint32).astype(np.int64))
-            starts = np.concatenate([[pos], ends[:-1]])
-            out.append((total[ends] - total[starts]).astype(np.uint32).tobytes())
-            pos = int(ends[-1]) if len(ends) else pos
+        ends = text_bytes(table["grams"])[1] // 5
+        own, counts = [], []
+        for docs, a, b in zip(table["docs"], ends[:-1], ends[1:], strict=True):
+            d, c = np.unique(np.frombuffer(docs.as_py(), np.uint16)[flag[a:b]], return_counts=True)
+            own.append(d.tobytes())
+            counts.append(c.astype(np.uint32).tobytes())
+        out = pa.table({"piece": table["piece"], "ids": table["ids"], "total": table["total"], "known": table["known"], "docs": pa.array(own, pa.binary()), "shared": pa.array(counts, pa.binary())})
+        out = out.filter(pc.or_(pc.is_valid(out["ids"]), pc.greater(pc.binary_length(out["docs"]), 0)))
+        del table, grams, ordered, shared, at, flag
         give_back()
-        return pa.table({"piece": table["piece"], "ids": table["ids"], "counts": table["counts"], "shared": pa.array(out, pa.binary()), "known": table["known"]})
+        return out
 
     def collect(table: pa.Table) -> pa.Table:
-        ids, counts, shared = None, 0, 0
-        for r in table.to_pylist():
-            counts = counts + np.frombuffer(r["counts"], np.uint32).astype(np.int64)
-            shared = shared + np.frombuffer(r["shared"], np.uint32).astype(np.int64)
-            if r["ids"] is not None:
-                ids, own = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], np.uint32).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids), "n_grams": pa.array(counts + own), "n_shared": pa.array(shared + own)})
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["ids"] is not None)
+        ids, total, known = (np.frombuffer(head[c], kind).astype(np.int64) for c, kind in (("ids", np.int64), ("total", np.uint32), ("known", np.uint32)))
+        shared = known.copy()
+        for r in rows:
+            shared[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["shared"], np.uint32)
+        return pa.table({"doc_id": pa.array(ids), "n_grams": pa.array(total), "n_shared": pa.array(shared)})
 
     cut = packed_fragments(docs, n, bits)
-    partial = cut.groupBy("frag").applyInArrow(fragment, "piece long, ids binary, counts binary, shared binary, known binary")
+    partial = cut.groupBy("frag").applyInArrow(fragment, "piece long, ids binary, total binary, known binary, docs binary, shared binary")
     return partial.groupBy("piece").applyInArrow(collect, "doc_id long, n_grams long, n_shared long")
 
 
@@ -175,7 +175,7 @@ def _prefixes(sets: DataFrame, percent: int, bits: int) -> DataFrame:
                 d = np.repeat(np.repeat(np.arange(j - i), part_lists.value_lengths().to_numpy(zero_copy_only=False)), per_seg)
                 frag = (s >> U64(64 - bits)).astype(np.int64)
                 order = np.lexsort((d, frag))
-                s, d, frag = s[order], d[order], frag[order]
+                s, d, frag = s[order], d[order].astype(np.uint16), frag[order]
                 edges = np.append(np.searchsorted(frag, np.arange(1 << bits)), len(s))
                 low = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, :5]
                 rows = [(f, a, b) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if f == 0 or b > a]
@@ -183,7 +183,7 @@ def _prefixes(sets: DataFrame, percent: int, bits: int) -> DataFrame:
                     piece=pa.array([(part << 32) | k] * len(rows), pa.int64()),
                     frag=pa.array([f for f, _, _ in rows], pa.int32()),
                     ids=pa.array([ids[i:j].tobytes() if f == 0 else None for f, _, _ in rows], pa.binary()),
-                    counts=pa.array([np.bincount(d[a:b], minlength=j - i).astype(np.uint32).tobytes() for _, a, b in rows], pa.binary()),
+                    docs=pa.array([d[a:b].tobytes() for _, a, b in rows], pa.binary()),
                     grams=pa.array([low[a:b].tobytes() for _, a, b in rows], pa.binary()),
                 )
                 k += 1
@@ -199,8 +199,7 @@ def _prefixes(sets: DataFrame, percent: int, bits: int) -> DataFrame:
         ids, doc, token, df = None, [], [], []
         for r in table.to_pylist():
             ids = np.frombuffer(r["ids"], np.int64) if r["ids"] is not None else ids
-            counts = np.frombuffer(r["counts"], np.uint32)
-            doc.append(np.repeat(np.arange(len(counts)), counts))
+            doc.append(np.frombuffer(r["docs"], np.uint16).astype(np.int64))
             token.append(_low40(pa.array([r["grams"]], pa.binary())) | (U64(r["frag"]) << U64(40)))
             df.append(np.frombuffer(r["df"], np.uint32))
         doc, token, df = np.concatenate(doc), np.concatenate(token), np.concatenate(df)

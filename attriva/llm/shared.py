@@ -23,13 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def texts(docs: DataFrame, rows: int = 16) -> DataFrame:
-    """(doc_id long, text string) of ``docs``; Arrow batches of this session are held to ``rows`` rows, so that
-    neither side ever buffers many long texts, or many packed runs of documents, at once."""
+def texts(docs: DataFrame, batch_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id long, text string) of ``docs``; Arrow batches of this session are held to ``batch_bytes`` bytes (or one row),
+    so that neither side ever buffers many long texts, or many packed runs of documents, at once."""
     spark = docs.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower())
+    if int(own[1]) << 10 * " kmgt".index(own[2] or " ") > batch_bytes:
+        spark.conf.set(key, str(batch_bytes))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
