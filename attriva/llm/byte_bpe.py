@@ -8,8 +8,9 @@ words are folded: the corpus' frequent words (a dictionary of bounded size) once
 task's documents with up to ``RARE_WORDS`` of them.  A word that is itself a token needs no fold.  Words of more than
 ``LONG`` bytes would take quadratic time in the fold; for these the same merges are made with a heap.
 
-Documents never move: a run of about 1 MB of text becomes one row with its word numbers and the words that are new in it;
-the fold turns these words into ids in the same row; then the ids and pieces of a document's words are concatenated.
+A run of about 1 MB of text becomes one row with its word numbers and the words that are new in it; the fold turns these
+words into ids in the same row.  One exchange hands a task's rows, in their order, to a task that concatenates the ids and
+pieces of each document's words: so no task needs two Python workers beside the fold.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; every row gives a row, repeated or not; texts of
 any length are encoded whole; extra columns take no part; an empty table gives no rows.
@@ -24,6 +25,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -376,6 +378,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             cache["numbers"] = {w.decode(): k for k, w in enumerate(hot)}, {w: k for k, w in enumerate(sorted(ranks, key=ranks.get), len(hot))}
         numbers, tokens = cache["numbers"]
         fixed = len(numbers) + len(ranks)
+        part, at_row = TaskContext.get().partitionId(), 0
         rare: list[str] = []
         reset = True
         for batch in gathered(batches, 800_000):
@@ -401,9 +404,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                         pa.array([ids[i:j].tobytes()], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), pa.array([own[place].tobytes()], pa.binary()),
                         pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), first_entries(short, pair_ranks, byte_ids)),
                         pa.array([[w if len(w) > LONG else b"" for w in fresh] if any(len(w) > LONG for w in fresh) else []], pa.list_(pa.binary())), pa.array([reset]),
+                        pa.array([part], pa.int32()), pa.array([at_row], pa.int64()),
                     ],
-                    names=["doc_ids", "sizes", "seq", "fresh", "long", "reset"],
+                    names=["doc_ids", "sizes", "seq", "fresh", "long", "reset", "part", "at_row"],
                 )
+                at_row += 1
                 reset = len(rare) > RARE_WORDS
                 if reset:
                     for w in rare:
@@ -435,10 +440,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         codes.reset()
         give_back()
 
-    numbered = texts(docs).mapInArrow(number, "doc_ids binary, sizes binary, seq binary, fresh array<array<bigint>>, long array<binary>, reset boolean")
+    numbered = texts(docs).mapInArrow(number, "doc_ids binary, sizes binary, seq binary, fresh array<array<bigint>>, long array<binary>, reset boolean, part int, at_row long")
     # an empty list stands for a long word and keeps its place
-    words = numbered.withColumn("got", folded(F.col("fresh")))
-    return words.select("doc_ids", "sizes", "seq", "got", "long", "reset").mapInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded binary")
+    words = numbered.select("doc_ids", "sizes", "seq", folded(F.col("fresh")).alias("got"), "long", "reset", "part", "at_row")
+    # all rows of a task go to one task, so that a repeated task brings them in one piece
+    ordered = words.repartition("part").sortWithinPartitions("part", "at_row")
+    return ordered.select("doc_ids", "sizes", "seq", "got", "long", "reset").mapInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ _libc = _c_library()
 
 def give_back() -> None:
     """Return freed memory to the system: a worker waits idle for its next task, beside others that need the memory."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
