@@ -127,7 +127,8 @@ def shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(ids), "n_grams": pa.array(total), "n_shared": pa.array(shared)})
 
     cut = packed_fragments(docs, n, bits)
-    partial = cut.groupBy("frag").applyInArrow(fragment, "piece long, ids binary, total binary, known binary, docs binary, shared binary")
+    # as many tasks as fragments, whatever the session's default: what a task fetches and sorts stays bounded
+    partial = cut.repartition(1 << bits, "frag").groupBy("frag").applyInArrow(fragment, "piece long, ids binary, total binary, known binary, docs binary, shared binary")
     return partial.groupBy("piece").applyInArrow(collect, "doc_id long, n_grams long, n_shared long")
 
 
@@ -215,7 +216,7 @@ def _prefixes(sets: DataFrame, percent: int, bits: int) -> DataFrame:
         return pa.table({"rep": pa.array(ids[doc]), "n": pa.array(n[doc]), "rare": pa.array(rare[doc]), "token": pa.array(token[keep].astype(np.int64)), "pos": pa.array(pos[keep])})
 
     packed = sets.select("rep", "segs").mapInArrow(cut, PACKED)
-    counted = packed.groupBy("frag").applyInArrow(frequency, PACKED + ", df binary")
+    counted = packed.repartition(1 << bits, "frag").groupBy("frag").applyInArrow(frequency, PACKED + ", df binary")
     return counted.groupBy("piece").applyInArrow(choose, "rep long, n long, rare long, token long, pos long")
 
 
