@@ -39,6 +39,7 @@ RARE_WORDS = 1 << 18
 _SHIFT = 20
 _MASK = (1 << _SHIFT) - 1
 _NONE = _MASK
+_ANY_LENGTH = "2147483632b"  # Spark's default of spark.sql.maxPlanStringLength
 #: The code points of Unicode's White_Space.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 #: The split pattern for which ``word_bounds`` needs no pattern matching.
@@ -364,6 +365,9 @@ def _codes(lists: pa.Array) -> list[bytes]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids binary, n_tokens, decoded binary) of every row: ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
+    # the literals would fill several megabytes of each plan text that the driver keeps
+    if spark.conf.get("spark.sql.maxPlanStringLength") == _ANY_LENGTH:
+        spark.conf.set("spark.sql.maxPlanStringLength", "65536")
     pair_ranks, byte_ids = _alphabet(ranks)
     folded = rank_folder(ranks)
     shared = spark.sparkContext.broadcast(ranks)
