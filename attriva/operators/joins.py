@@ -47,33 +47,36 @@ def code_key(value: Column) -> Column:
     return F.when(F.length(digits) >= 6, F.left(digits, F.lit(8)))
 
 
-def _direct(asked: DataFrame, entry: DataFrame, keys: list[str], translations: dict[str, str] | None, fuzzy_least: float | None) -> DataFrame:
-    """(keys, value, value_id, rank): ranks 1 to 6 of ``resolve_values`` for distinct (keys, value)."""
-    strong = lambda c: t.strong_token(c, translations)
-    bare = F.when(t.without_parens(F.col("value")) != F.col("value"), t.without_parens(F.col("value")))
-    code = F.when(F.col("value").rlike("^[0-9]{6,}$"), F.col("value"))
-    plans = [
-        (1, F.lower(t.gender_form(F.col("value"))), F.lower("_entry")),
-        (2, F.left(code, F.lit(8)), code_key(F.col("_entry"))),
-        *((2, F.when(F.length(code) >= n, F.left(code, F.lit(n))), F.when(F.length(code_key(F.col("_entry"))) == n, code_key(F.col("_entry")))) for n in (6, 7)),
-        *((2, F.when(F.length(code) == n, code), F.left(code_key(F.col("_entry")), F.lit(n))) for n in (6, 7)),
-        (3, F.lower("value"), F.lower("_entry")),
-        (4, strong(F.col("value")), strong(F.col("_entry"))),
-        (5, F.lower(bare), F.lower("_entry")),
-        (5, strong(bare), strong(F.col("_entry"))),
-        (5, strong(bare), strong(t.without_parens(F.col("_entry")))),
-    ]
-    hits = None
-    for rank, left, right in plans:
-        got = asked.withColumn("_k", left).where("_k is not null").join(entry.withColumn("_k", right).where("_k is not null"), [*keys, "_k"]).select(*keys, "value", "value_id", "seq", F.lit(rank).alias("rank"))
-        hits = got if hits is None else hits.unionByName(got)
-    exact = first_by(hits, [*keys, "value"], [F.col("rank"), F.col("seq")]).drop("seq")
-    if fuzzy_least is None:
-        return exact
-    rest = asked.join(exact.select(*keys, "value"), [*keys, "value"], "left_anti")
-    pairs = rest.join(entry, keys).withColumn("_s", fuzzy.score("weighted_ratio", strong(F.col("value")), strong(F.col("_entry")))).where(F.col("_s") >= fuzzy_least)
-    near = first_by(pairs.select(*keys, "value", "value_id", "seq", "_s"), [*keys, "value"], [-F.col("_s"), F.col("seq")]).select(*keys, "value", "value_id", F.lit(6).alias("rank"))
-    return exact.unionByName(near)
+def _tagged(*kinds: tuple[int, str, Column]) -> Column:
+    """An array of (rank, key) with one text key per kind, null keys left out, the best rank of each key only by order."""
+    every = F.array(*[F.when(key.isNotNull(), F.struct(F.lit(rank).alias("rank"), F.concat(F.lit(kind), key).alias("key"))) for rank, kind, key in kinds])
+    return F.array_compact(every)
+
+
+def _asked_keys(item: Column, translations: dict[str, str] | None) -> Column:
+    """The keys by which an asked item may meet an entry, ranks 1 to 5 of ``resolve_values``.
+
+    Kinds: l lower-cased, c the entry's whole code, p a beginning of the entry's code, s strongly normalised, b strongly
+    normalised without trailing parentheses.
+    """
+    bare = F.when(t.without_parens(item) != item, t.without_parens(item))
+    code = F.when(item.rlike("^[0-9]{6,}$"), item)
+    heads = [(2, "c", F.when(F.length(code) >= n, F.left(code, F.lit(n)))) for n in (6, 7, 8)]
+    return _tagged(
+        (1, "l", F.lower(t.gender_form(item))), *heads, (2, "p", F.when(F.length(code) < 8, code)), (3, "l", F.lower(item)),
+        (4, "s", t.strong_token(item, translations)), (5, "l", F.lower(bare)), (5, "s", t.strong_token(bare, translations)), (5, "b", t.strong_token(bare, translations)),
+    )
+
+
+def _entry_keys(entry: Column, translations: dict[str, str] | None) -> Column:
+    code = code_key(entry)
+    heads = [("p", F.when(F.length(code) >= n, F.left(code, F.lit(n)))) for n in (6, 7)]
+    kinds = [("l", F.lower(entry)), ("c", code), *heads, ("s", t.strong_token(entry, translations)), ("b", t.strong_token(t.without_parens(entry), translations)), ("x", entry)]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(key.isNotNull(), F.concat(F.lit(kind), key)) for kind, key in kinds])))
+
+
+#: Places of an asked value's forms: the value itself is 0, items of a list follow from 1, then these.
+_PIXELS, _NEAR = 1 << 20, 1 << 21
 
 
 def resolve_values(
@@ -84,24 +87,38 @@ def resolve_values(
     Ranks: 1 gender form, 2 numeric code of at least six equal digits, 3 equal without case, 4 equal when strongly normalised,
     5 equal without trailing parentheses, 6 weighted fuzzy score; 7 the first item of a value that looks like a list, and 8 the
     value without a pixel word, each by ranks 1 to 6; 9 the option that an outside matcher found (column ``nearest_option`` of
-    ``values``), if its digits are the value's.  Within a rank the first entry (by seq) wins.  Ranks 1 to 5 are equi-joins on
-    derived keys; only values that they leave go to the fuzzy scorer, against their own key's entries.
+    ``values``), if its digits are the value's.  Within a rank the first entry (by seq) wins.
+
+    Every form of a value and every entry carries its keys in one array, so all ranks but 6 are one equi-join; forms that it
+    leaves, and that come before the one it found, go to the fuzzy scorer, against their own key's entries.
     """
-    named = values.select(*keys, F.col(value).alias("value"), *([F.col(nearest_option).alias("_near")] if nearest_option else [])).where("value is not null")
-    asked = named.select(*keys, "value").distinct()
-    entry = dictionary.select(*keys, F.col("value").alias("_entry"), "value_id", "seq")
     own = [*keys, "value"]
-    found = _direct(asked, entry, keys, translations, fuzzy_least)
-    rest = asked.join(found.select(*own), own, "left_anti")
-    items = rest.select(*own, F.posexplode(t.unwrap_list(F.col("value"))).alias("_place", "_item")).where(F.col("_item") != F.col("value"))
-    items = items.unionByName(rest.select(*own, F.lit(1 << 20).alias("_place"), t.without_pixels(F.col("value")).alias("_item")).where("_item is not null"))
-    second = _direct(items.select(*keys, F.col("_item").alias("value")).distinct(), entry, keys, translations, fuzzy_least).select(*keys, F.col("value").alias("_item"), "value_id")
-    parts = first_by(items.join(second, [*keys, "_item"]), own, [F.col("_place")]).select(*own, "value_id", F.when(F.col("_place") < 1 << 20, 7).otherwise(8).alias("rank"))
-    found = found.unionByName(parts)
-    if nearest_option is None:
-        return found
-    left = named.join(found.select(*own), own, "left_anti").where(F.col("_near").isNotNull() & t.digits_agree(F.col("value"), F.col("_near"))).select(*own, F.col("_near").alias("_entry")).distinct()
-    return found.unionByName(first_by(left.join(entry, [*keys, "_entry"]), own, [F.col("seq")]).select(*own, "value_id", F.lit(9).alias("rank")))
+    named = values.select(*keys, F.col(value).alias("value"), *([F.col(nearest_option).alias("_near")] if nearest_option else [])).where("value is not null").distinct()
+    form = lambda place, item: F.struct(place.cast("int").alias("_place"), item.alias("_item"))
+    listed = F.filter(F.transform(t.unwrap_list(F.col("value")), lambda x, k: form(k + 1, x)), lambda x: x["_item"] != F.col("value"))
+    pixels = t.without_pixels(F.col("value"))
+    forms = F.concat(F.array(form(F.lit(0), F.col("value"))), listed, F.array_compact(F.array(F.when(pixels.isNotNull(), form(F.lit(_PIXELS), pixels)))))
+    asked = named.select(*own).distinct().select(*own, F.explode(forms).alias("_f")).select(*own, "_f._place", "_f._item").withColumn("_keys", _asked_keys(F.col("_item"), translations))
+    if nearest_option is not None:
+        near = named.where(F.col("_near").isNotNull() & t.digits_agree(F.col("value"), F.col("_near"))).select(*own, F.lit(_NEAR).alias("_place"), F.col("_near").alias("_item"))
+        asked = asked.unionByName(near.withColumn("_keys", _tagged((9, "x", F.col("_item")))))
+    entry = dictionary.select(*keys, F.col("value").alias("_entry"), "value_id", "seq").where("_entry is not null")
+    left = asked.select(*own, "_place", F.explode("_keys").alias("_k")).select(*own, "_place", F.col("_k.rank").alias("_by"), F.col("_k.key").alias("_key"))
+    right = entry.select(*keys, "value_id", "seq", F.explode(_entry_keys(F.col("_entry"), translations)).alias("_key"))
+    order = [F.col("_place"), F.col("_by"), F.col("seq")]
+    found = first_by(left.join(right, [*keys, "_key"]).select(*own, "_place", "_by", "seq", "value_id"), own, order)
+    if fuzzy_least is not None:
+        found = found.checkpoint() if values.sparkSession.sparkContext.getCheckpointDir() else found
+        first = found.select(*own, F.col("_place").alias("_first"))
+        rest = asked.drop("_keys").where(F.col("_place") < _NEAR).join(first, own, "left").where("_first is null or _place < _first")
+        pairs = rest.select(*keys, "_item").distinct().join(entry, keys)
+        strong = lambda c: t.strong_token(c, translations)
+        scored = pairs.withColumn("_s", fuzzy.score("weighted_ratio", strong(F.col("_item")), strong(F.col("_entry")))).where(F.col("_s") >= fuzzy_least)
+        near_by = first_by(scored.select(*keys, "_item", "value_id", "seq", "_s"), [*keys, "_item"], [-F.col("_s"), F.col("seq")])
+        closer = rest.join(near_by, [*keys, "_item"]).select(*own, "_place", F.lit(6).alias("_by"), "seq", "value_id")
+        found = first_by(found.unionByName(closer), own, order)
+    rank = F.when(F.col("_place") == 0, F.col("_by")).when(F.col("_place") < _PIXELS, 7).when(F.col("_place") == _PIXELS, 8).otherwise(9)
+    return found.select(*own, "value_id", rank.alias("rank"))
 
 
 def match_option(target: Column, option: Column, vector: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "3g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

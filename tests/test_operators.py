@@ -263,3 +263,46 @@ def unite(x, y):
                 ids.append(own[i] if own is not None and i < len(own) else None)
     base = x if x["c"] >= y["c"] else y
     return {"vals": vals, "ids": ids if whole and None not in ids else None, "c": max(x["c"], y["c"]), "s": base["s"], "e": base["e"], "l": True, "coll": True, "id": None, "t": None}
+
+
+def test_resolver_is_one_join(spark):
+    entries = spark.createDataFrame([("k", "Красный", 1, 1)], "kind string, value string, value_id long, seq long")
+    asked = spark.createDataFrame([("k", "красный", None)], "kind string, value string, near string")
+    plan = j.resolve_values(asked, entries, ["kind"], fuzzy_least=None, nearest_option="near")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_resolver_against_a_plain_search(spark):
+    """Ranks 1 to 8 of shuffled values, fuzzy ones included, against a loop over all entries."""
+    from attriva.functions import fuzzy
+
+    rng = random.Random(5)
+    words = ["modular", "чёрный", "стекло", "pin", "белый", "ocp", "лён", "сталь", "медь"]
+    entries = [("k", " ".join(rng.sample(words, rng.randint(1, 3))), i, i) for i in range(30)] + [("k", "Мужской", 30, 30), ("k", "610910 - Футболки", 31, 31)]
+    twist = [str.upper, lambda x: x + " (новый)", lambda x: f"['нечто', '{x}']", lambda x: x + " px", lambda x: x[:-1], lambda x: "мужчинам", lambda x: "6109100010", lambda x: x[1:] + "зз"]
+    asked = sorted({("k", f(e[1])) for e in entries for f in twist})
+    df = spark.createDataFrame([(e[1],) for e in entries] + [(a[1],) for a in asked] + [("нечто",)], "v string")
+    from attriva.functions import text as t
+
+    form = {r.v: r.asDict() for r in df.select("v", t.strong_token(F.col("v")).alias("s"), t.without_parens(F.col("v")).alias("b"), t.strong_token(t.without_parens(F.col("v"))).alias("sb"), t.unwrap_list(F.col("v")).alias("l"), t.without_pixels(F.col("v")).alias("px"), F.lower(t.gender_form(F.col("v"))).alias("g")).collect()}
+
+    def direct(x):
+        f = form.get(x) or {"s": None, "b": x, "sb": None, "g": None}
+        for test in (lambda e: f["g"] == e.lower(), lambda e: x.isdigit() and e.startswith(x[:6]), lambda e: x.lower() == e.lower(), lambda e: f["s"] == form[e]["s"], lambda e: f["b"] != x and (f["b"].lower() == e.lower() or f["sb"] in (form[e]["s"], form[e]["sb"]))):
+            for e in entries:
+                if test(e[1]):
+                    return e[2]
+        best = max(entries, key=lambda e: (fuzzy.weighted_ratio(f["s"], form[e[1]]["s"]), -e[3]))
+        return best[2] if fuzzy.weighted_ratio(f["s"], form[best[1]]["s"]) >= 85 else None
+
+    missing = [x for a in asked for x in (form[a[1]]["l"] + [form[a[1]]["px"]]) if x and x not in form]
+    for r in spark.createDataFrame([(m,) for m in missing] or [("нечто",)], "v string").select("v", t.strong_token(F.col("v")).alias("s"), t.without_parens(F.col("v")).alias("b"), t.strong_token(t.without_parens(F.col("v"))).alias("sb"), F.lower(t.gender_form(F.col("v"))).alias("g")).collect():
+        form[r.v] = r.asDict() | form.get(r.v, {})
+    want = {}
+    for _, v in asked:
+        for x in [v, *[y for y in form[v]["l"] if y != v], *([form[v]["px"]] if form[v]["px"] else [])]:
+            if (hit := direct(x)) is not None:
+                want[v] = hit
+                break
+    got = {r.value: r.value_id for r in j.resolve_values(spark.createDataFrame(asked, "kind string, value string"), spark.createDataFrame(entries, "kind string, value string, value_id long, seq long"), ["kind"]).collect()}
+    assert got == want
