@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compact_windows, context_tree, kmeans_tree, pii, quality, suffix_dedup, toxicity
+from . import byte_bpe, compact_windows, context_tree, filter_audit, kmeans_tree, pii, quality, suffix_dedup, toxicity
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 
@@ -71,6 +71,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five document filters, step by step, for each language."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -119,6 +124,22 @@ sha256(unhex(CASE WHEN his IS NULL THEN h ELSE array_to_string(list_transform(ge
 FROM b LEFT JOIN edges USING (doc_id)"""
 
 
+_OP13 = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, part, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) AS copied FROM t),
+k AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad, (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END)
+ + (CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN copied THEN 16 ELSE 0 END) AS mask FROM w LEFT JOIN k USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM m GROUP BY ALL),
+l(b, x) AS (VALUES (1, 'A'), (2, 'B'), (4, 'C'), (8, 'D'), (16, 'E')),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM l p, l q, l r, l s, l t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND (p.b | q.b | r.b | s.b | t.b) = 31),
+z AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[:step - 1]), 0) AS INT) AS gone FROM o, unnest(generate_series(1, 5)) AS g(step)),
+y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (gone | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & gone = 0), 0) AS removed,
+ coalesce(sum(n) FILTER (mask & own > 0 AND mask & gone > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+ coalesce(sum(good) FILTER (mask & own > 0 AND mask & gone = 0), 0) AS good_lost, coalesce(sum(bad) FILTER (mask & own > 0 AND mask & gone = 0), 0) AS toxic_lost FROM c, z GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that it can express: the others are tested against brute-force versions in tests/llm."""
-    return {"op5_jaccard_join": _OP5, "op8_decontaminate": _OP8, "op9_suffix_dedup": _OP9}
+    return {"op5_jaccard_join": _OP5, "op8_decontaminate": _OP8, "op9_suffix_dedup": _OP9, "op13_filter_audit": _OP13}
