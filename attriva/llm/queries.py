@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compact_windows, context_tree, filter_audit, kmeans_tree, pii, quality, suffix_dedup, toxicity
+from . import byte_bpe, compact_windows, context_tree, filter_audit, kmeans_tree, merkle, pii, quality, suffix_dedup, toxicity
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 
@@ -71,6 +71,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of every document, and which tampering the proofs find."""
+    return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order of five document filters, step by step, for each language."""
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -124,6 +129,30 @@ sha256(unhex(CASE WHEN his IS NULL THEN h ELSE array_to_string(list_transform(ge
 FROM b LEFT JOIN edges USING (doc_id)"""
 
 
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_OP11 = f"""WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(i, generate_series(1, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM generate_series(0, 255) AS g(i)),
+crc AS (SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])) AS inverse FROM documents, crc_table),
+leaves AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce('=' || source, '') AS tree, {_leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND inverse % 2 = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS altered FROM crc),
+own AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+up AS (SELECT tree, 0 AS lvl, idx, n, leaf AS h FROM own UNION ALL SELECT tree, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY tree, lvl, idx // 3, n),
+sources AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS places FROM up WHERE n = 1),
+over AS (SELECT 0 AS lvl, place AS idx, places AS n, subroot AS h FROM sources UNION ALL SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM over WHERE n > 1 GROUP BY lvl, idx // 3, n),
+inner_fold AS (SELECT row_id, tree, 0 AS lvl, idx, n, altered AS h, '' AS way FROM own UNION ALL
+ SELECT f.row_id, f.tree, f.lvl + 1, f.idx // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN u.idx = f.idx THEN f.h ELSE u.h END, '' ORDER BY u.idx)), f.way || coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx <> f.idx), '')
+ FROM inner_fold f JOIN up u ON u.tree = f.tree AND u.lvl = f.lvl AND u.idx // 3 = f.idx // 3 WHERE f.n > 1 GROUP BY f.row_id, f.tree, f.lvl, f.idx, f.n, f.h, f.way),
+outer_fold AS (SELECT row_id, tree, 0 AS lvl, place AS idx, places AS n, h, way FROM inner_fold JOIN sources USING (tree) WHERE n = 1 UNION ALL
+ SELECT f.row_id, f.tree, f.lvl + 1, f.idx // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN u.idx = f.idx THEN f.h ELSE u.h END, '' ORDER BY u.idx)), f.way || coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx <> f.idx), '')
+ FROM outer_fold f JOIN over u ON u.lvl = f.lvl AND u.idx // 3 = f.idx // 3 WHERE f.n > 1 GROUP BY f.row_id, f.tree, f.lvl, f.idx, f.n, f.h, f.way)
+SELECT o.doc_id, o.leaf, s.subroot, r.h AS root, sha256(f.way) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM own o JOIN sources s USING (tree) JOIN outer_fold f ON f.row_id = o.row_id AND f.n = 1 CROSS JOIN (SELECT h FROM over WHERE n = 1) r"""
+
 _OP13 = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, part, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) AS copied FROM t),
 k AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
@@ -142,4 +171,4 @@ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that it can express: the others are tested against brute-force versions in tests/llm."""
-    return {"op5_jaccard_join": _OP5, "op8_decontaminate": _OP8, "op9_suffix_dedup": _OP9, "op13_filter_audit": _OP13}
+    return {"op5_jaccard_join": _OP5, "op8_decontaminate": _OP8, "op9_suffix_dedup": _OP9, "op11_merkle": _OP11, "op13_filter_audit": _OP13}

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -89,3 +90,18 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", start: DataFrame |
         two = hook.join(far, F.col("to") == F.col("r2"), "left").select("root", F.coalesce("t2", "to").alias("to"))
         label = written(label.join(two, F.col("comp") == F.col("root"), "left").select("node", F.coalesce("to", "comp").alias("comp")), "cc", gather=True)
     raise RuntimeError("components did not settle")
+
+
+def ranked(rows: DataFrame, groups: list[str], order: list[str], what: str) -> DataFrame:
+    """``rows`` as a written table with ``rank`` (from 0) within the groups by ``order`` and the group's ``size``.
+
+    Rows are dealt by ranges of (groups, order), so a group of any size is spread over tasks; each task numbers its sorted
+    rows, and one small table of (group, task) counts gives every stretch its first rank.  Groups must not be null; rows
+    that tie in the whole order must be interchangeable.
+    """
+    laid = rows.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("_at", F.monotonically_increasing_id())
+    laid = written(laid.withColumn("_task", F.shiftright("_at", 33)), what)
+    stretch = laid.groupBy(*groups, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    own = Window.partitionBy(*groups)  # of a group one row a task at most
+    stretch = written(stretch.select(*groups, "_task", "_from", (F.sum("_n").over(own.orderBy("_task")) - F.col("_n")).alias("_before"), F.sum("_n").over(own).alias("size")), f"{what}-starts", gather=True)
+    return laid.join(lookup(stretch), [*groups, "_task"]).withColumn("rank", F.col("_before") + F.col("_at") - F.col("_from")).drop("_task", "_at", "_from", "_before")
