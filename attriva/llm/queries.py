@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compact_windows, context_tree, filter_audit, kmeans_tree, merkle, pii, quality, suffix_dedup, toxicity
+from . import byte_bpe, compact_windows, context_tree, filter_audit, kmeans_tree, merkle, pii, projection_passes, quality, suffix_dedup, toxicity
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 
@@ -76,6 +76,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_table(spark, sf_dir, "documents"))
 
 
+def op12_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of a cosine of 0.95 or more."""
+    return projection_passes.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order of five document filters, step by step, for each language."""
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -153,6 +158,13 @@ outer_fold AS (SELECT row_id, tree, 0 AS lvl, place AS idx, places AS n, h, way
 SELECT o.doc_id, o.leaf, s.subroot, r.h AS root, sha256(f.way) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
 FROM own o JOIN sources s USING (tree) JOIN outer_fold f ON f.row_id = o.row_id AND f.n = 1 CROSS JOIN (SELECT h FROM over WHERE n = 1) r"""
 
+_OP12 = """WITH RECURSIVE x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, v FROM x WHERE v IS NOT NULL AND len(list_filter(v, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(v, lambda e: e <> 0)) > 0),
+both_ways AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+n AS (SELECT a AS vec_id, count(*) AS n FROM both_ways GROUP BY ALL),
+r AS (SELECT vec_id AS id, vec_id AS comp FROM x UNION SELECT f.b, r.comp FROM r JOIN both_ways f ON r.id = f.a)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, min(r.comp) AS component_id, x.vec_id = min(r.comp) AS kept FROM x JOIN r ON r.id = x.vec_id LEFT JOIN n ON n.vec_id = x.vec_id GROUP BY x.vec_id, n.n"""
+
 _OP13 = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, part, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) AS copied FROM t),
 k AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
@@ -171,4 +183,4 @@ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that it can express: the others are tested against brute-force versions in tests/llm."""
-    return {"op5_jaccard_join": _OP5, "op8_decontaminate": _OP8, "op9_suffix_dedup": _OP9, "op11_merkle": _OP11, "op13_filter_audit": _OP13}
+    return {"op5_jaccard_join": _OP5, "op8_decontaminate": _OP8, "op9_suffix_dedup": _OP9, "op11_merkle": _OP11, "op12_projection_passes": _OP12, "op13_filter_audit": _OP13}
