@@ -31,7 +31,7 @@ MISS = 1000
 #: Neighbours on either side, and rows of a block of the order.
 WINDOW, BLOCK = 256, 1024
 #: Largest component that is multiplied out at once; rows of a block of a larger one.
-GROUP, PIECE = 1024, 512
+GROUP, PIECE = 256, 256
 BITS = 62
 #: Width of an angle bin of a large component, in degrees.
 STEP = 0.25
