@@ -36,6 +36,8 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
+    if short in long:
+        return 100.0
     n = len(short)
     windows = [long[k : k + n] for k in range(max(1, len(long) - n + 1))] + [long[:k] for k in range(1, n)] + [long[-k:] for k in range(1, n)]
     return max(ratio(short, w) for w in dict.fromkeys(windows))

@@ -120,19 +120,61 @@ def char_name(c: Column, leading: tuple[str, ...] = ()) -> Column:
     return F.regexp_replace(text, f"^(?:(?:{'|'.join(leading)}) )+", "") if leading else text
 
 
+# Words that open a title and name no model
+LEADING_WORDS = (
+    "для", "и", "с", "со", "в", "на", "к", "по", "из", "от", "под", "при", "мужской", "мужская", "мужское", "мужские", "женский", "женская", "женское", "женские",
+    "детский", "детская", "детское", "детские", "унисекс", "городской", "городская", "городское", "спортивный", "спортивная", "спортивное", "модель", "худи",
+)
+# Words that classify a characteristic
+CLASSIFIERS = ("тип", "вид", "количество", "число", "наличие", "способ", "метод", "класс", "степень")
+# Units that stand alone as a word of four letters or more
+LONG_UNITS = ("дюйм", "дюйма", "дюймов", "дюйме", "inch", "inches", "ампер")
+# Words that tell one variant of a model from another
+VARIANT_WORDS = ("pro", "max", "plus", "ultra", "lite", "mini", "neo", "note", "air", "se", "fe", "prime")
+
+
 def for_fuzzy(c: Column) -> Column:
     """T9."""
-    return F.lower(F.translate(c, "'’`", ""))
+    return F.lower(F.translate(c, "\u2019\u02bc", ""))
 
 
 def model_tokens(c: Column) -> Column:
-    """Distinct tokens of three characters or more that hold a digit."""
-    return F.array_distinct(F.filter(brand_tokens(c), lambda x: (F.length(x) >= 3) & x.rlike("[0-9]")))
+    """Article tokens: Latin letters, digits, dots and dashes, with a digit behind the first sign, three signs or more."""
+    found = F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9][A-Za-z0-9.\-]*[0-9][A-Za-z0-9.\-]*"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda x: F.length(x) >= 3))
+
+
+def alpha_tokens(c: Column) -> Column:
+    """Words of four letters or more that may name a model, without opening words, classifiers and units."""
+    found = F.transform(F.regexp_extract_all(c, F.lit("[A-Za-zА-Яа-яёЁ]{4,}"), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin(*LEADING_WORDS, *CLASSIFIERS, *LONG_UNITS)))
+
+
+def _latin_tokens(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+
 
+def conflict_codes(c: Column) -> Column:
+    """Tokens with both letters and digits."""
+    return F.filter(_latin_tokens(c), lambda x: x.rlike("[a-z]") & x.rlike("[0-9]"))
 
-def prefix_in(words: Column, tokens: Column, least: int = 4) -> Column:
-    """Whether a word and a token share their first ``least`` letters."""
-    return F.exists(words, lambda w: (F.length(w) >= least) & F.exists(tokens, lambda t: F.left(t, F.lit(least)) == F.left(w, F.lit(least))))
+
+def variant_words(c: Column) -> Column:
+    return F.array_sort(F.filter(_latin_tokens(c), lambda x: x.isin(*VARIANT_WORDS)))
+
+
+def card_gender(c: Column) -> Column:
+    """Male, female or unisex by a card's words; null for none, and for both."""
+    has = lambda pattern: c.rlike(f"(?iu){pattern}")
+    male = has(r"мужск|мужчин|мальчик|парн(?:ой|ям|и|ь)|\bmale\b|\bmen('?s)?\b|\bman\b|\bboy")
+    female = has(r"женск|женщин|девочк|девуш|\bfemale\b|\bwomen('?s)?\b|\bwoman\b|\bgirl")
+    return F.when(has("унисекс|unisex"), "unisex").when(male & ~female, "male").when(female & ~male, "female")
+
+
+def category_in_title(category: Column, title: Column) -> Column:
+    """Whether a word of the category and one of the title, each of four letters or more, begin with the same four."""
+    heads = lambda c: F.transform(F.filter(F.split(F.lower(c), r"[\s\-–—/]+"), lambda x: F.length(x) >= 4), lambda x: F.left(x, F.lit(4)))
+    return F.coalesce(F.arrays_overlap(heads(category), heads(title)), F.lit(False))
 
 
 def search_query(name: Column, brand: Column, stop: tuple[str, ...] = (), words: int = 5) -> Column:
@@ -255,13 +297,6 @@ def is_placeholder(value: Column) -> Column:
     return norm(value).isin(*PLACEHOLDERS)
 
 
-def pairs_from_snippet(c: Column) -> Column:
-    """Array of (name, value) of "Name: value" parts."""
-    names = F.regexp_extract_all(c, F.lit(r"([\p{L}][\p{L}\p{N} ]{1,40}):\s*([^.;\n]{1,80})"), F.lit(1))
-    values = F.regexp_extract_all(c, F.lit(r"([\p{L}][\p{L}\p{N} ]{1,40}):\s*([^.;\n]{1,80})"), F.lit(2))
-    return F.arrays_zip(F.transform(names, strip).alias("name"), F.transform(values, strip).alias("value"))
-
-
 def pairs_from_dl(c: Column) -> Column:
     """Array of (name, value) of <dt> and <dd> elements."""
     names, values = (F.regexp_extract_all(c, F.lit(r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>"), F.lit(k)) for k in (1, 2))

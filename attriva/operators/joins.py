@@ -1,4 +1,4 @@
-"""Lookups, value resolution, name matching, nearest neighbours and comparisons."""
+"""Lookups, value resolution, name matching, nearest neighbours and comparisons."""
 
 from __future__ import annotations
 
@@ -163,23 +163,6 @@ def match_names(names: DataFrame, targets: DataFrame, keys: list[str], least: fl
     return cast.select(*keys, F.explode(taken).alias("x")).select(*keys, F.col("x._name").alias("name"), F.col("x.target_id").alias("target_id"), F.col("x.rank").alias("rank"))
 
 
-def donor_score(title: Column, card: Column, same_brand: Column, type_word: Column) -> Column:
-    """How well a card's title fits: mean of partial and token-sort scores, +5 shared model, -30 type, -60 brand, -60 model conflict."""
-    a, b = t.for_fuzzy(title), t.for_fuzzy(card)
-    base = (fuzzy.score("partial_ratio", a, b) + fuzzy.score("token_sort_ratio", a, b)) / 2
-    x, y = t.model_tokens(title), t.model_tokens(card)
-    shared = F.arrays_overlap(x, y)
-    conflict = (F.size(x) > 0) & (F.size(y) > 0) & ~F.coalesce(shared, F.lit(False))
-    plus = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
-    return base + plus(shared, 5.0) - plus(conflict, 60.0) - plus(~same_brand, 60.0) - plus(~F.contains(F.lower(card), F.lower(type_word)), 30.0)
-
-
-def pick_donor(pairs: DataFrame, key: str, card: str, exact: float = 78.0, line: float = 65.0) -> DataFrame:
-    """The best card of each product: exact at ``exact``, brand_line at ``line``, else none; ``pairs`` has score."""
-    best = first_by(pairs.where(F.col("score") >= line), [key], [-F.col("score"), F.col(card)])
-    return best.withColumn("grade", F.when(F.col("score") >= exact, "exact").otherwise("brand_line"))
-
-
 def _joined(batches, rows: int):
     """Batches of at least ``rows`` rows, the last one perhaps fewer; a task's results are cut per batch."""
     held, n = [], 0

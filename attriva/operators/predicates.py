@@ -485,18 +485,25 @@ def within_budget(cost: Column, most: Column) -> Column:
 
 
 def model_conflict(a: Column, b: Column) -> Column:
-    """Both texts have model tokens and share none."""
-    x, y = t.model_tokens(a), t.model_tokens(b)
-    return (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
+    """Each text has a code that the other lacks, or they share a code and differ in their variant words."""
+    x, y = t.conflict_codes(a), t.conflict_codes(b)
+    both_own = (F.size(F.array_except(x, y)) > 0) & (F.size(F.array_except(y, x)) > 0)
+    return both_own | (F.coalesce(F.arrays_overlap(x, y), F.lit(False)) & (t.variant_words(a) != t.variant_words(b)))
 
 
-def unit_conflict(name: Column, value: Column) -> Column:
-    """F26-3: the value's unit is of another dimension than the field's."""
-    from ..functions.numeric import UNITS, field_unit, value_units
+def gender_conflict(a: Column, b: Column) -> Column:
+    """Whether one text is for men and the other for women."""
+    x, y = t.card_gender(a), t.card_gender(b)
+    return F.coalesce((x != y) & (x != "unisex") & (y != "unisex"), F.lit(False))
 
-    dims = F.create_map(*[F.lit(x) for u in UNITS for x in (u[0], u[1])])
-    units, want = value_units(value), field_unit(name)
-    return F.coalesce((F.size(units) == 1) & want.isNotNull() & (F.try_element_at(dims, F.try_element_at(units, F.lit(1))) != F.try_element_at(dims, want)), F.lit(False))
+
+def brand_conflict(brand: Column, name: Column, title: Column) -> Column:
+    """Whether a title lacks the asked Latin brand and holds another Latin word that the asked name does not hold."""
+    latin = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("(?i)[a-z][a-z0-9&]{2,}"), F.lit(0)), F.lower))
+    own = t.brand_tokens(brand)
+    judged = F.replace(t.strip(brand), F.lit(" "), F.lit("")).rlike("(?i)^[a-z][a-z0-9&]{2,}$") & (F.length(F.array_join(own, "")) >= 3)
+    other = F.size(F.array_except(latin(title), F.concat(own, latin(name)))) > 0
+    return F.coalesce(judged & ~t.phrase_in(own, t.brand_tokens(title)) & other, F.lit(False))
 
 
 def strategy_targets(targets: DataFrame, skipped_types: tuple[str, ...], dictionary: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cards
+from ..operators import cards, donors
 from . import derived as d
 from .queries import query
 
@@ -79,3 +79,50 @@ def q_snippet_pairs(spark, sf_dir):
     pages = d.table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html")
     text = _filled("@1: @2 67%, @3; Size  @2 : 10:30 \N{BULLET} @U: again | a name of far too many words: x\nno pair")
     return cards.snippet_pairs(pages.select("page_id", text.alias("snippet")), "page_id", "snippet").select("page_id", "name", "value")
+
+
+def _pool(spark, sf_dir: str) -> DataFrame:
+    """Eight found cards for each part: its asked name with words behind it, so that both fuzzy scores follow from lengths."""
+    parts = d.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("product_id"), "p_name", "p_size", F.lower("p_type").alias("category"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"))
+    asked = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" ab"), F.col("p_size").cast("string"))).otherwise(""), F.when(F.col("p_size") % 2 == 0, " womens").otherwise(""))
+    endings = [F.lit(""), F.concat(F.lit(" "), F.col("brand")), F.concat(F.lit(" "), F.col("brand"), F.lit(" mens")), F.concat(F.lit(" "), F.col("brand"), F.lit(" pro")), F.lit(" Shilla"), F.concat(F.lit(" "), F.col("category")), F.concat(F.lit(" "), F.col("category"), F.lit(" of a long title with many words more")), F.lit("  ")]
+    cards = F.transform(F.array(*endings), lambda x, k: F.struct(k.alias("place"), x.alias("ending")))
+    pool = parts.withColumn("asked", asked).select("*", F.explode(cards).alias("c"))
+    return pool.select("product_id", "asked", "brand", "category", "p_size", "c.place", F.when(F.col("c.place") < 7, F.concat("asked", "c.ending")).otherwise(F.col("c.ending")).alias("title"))
+
+
+def _pool_sql(typed: str, more: str = "0") -> str:
+    """The asked name's words are the title's first ones, so the partial score is 100 and the other follows from the lengths; a
+    title that is for women and for men contradicts no name."""
+    return f"""parts AS (SELECT CAST(p_partkey AS BIGINT) AS product_id, p_name, p_size, lower(p_type) AS category, replace(p_brand, '#', '') AS brand,
+p_name || CASE WHEN p_size % 3 = 0 THEN ' ab' || p_size ELSE '' END || CASE WHEN p_size % 2 = 0 THEN ' womens' ELSE '' END AS asked FROM part),
+pool AS (SELECT *, asked || CASE place WHEN 0 THEN '' WHEN 1 THEN ' ' || brand WHEN 2 THEN ' ' || brand || ' mens' WHEN 3 THEN ' ' || brand || ' pro' WHEN 4 THEN ' Shilla' WHEN 5 THEN ' ' || category ELSE ' ' || category || ' of a long title with many words more' END AS title
+FROM parts, (VALUES (0), (1), (2), (3), (4), (5), (6)) AS g(place)),
+marked AS (SELECT *, p_size % 3 = 0 AND p_size > 9 OR p_size IN (3, 6, 9) AS coded, {typed} AS typed, {more} AS other FROM pool),
+rated AS (SELECT *, (100 + 200.0 * length(asked) / (length(asked) + length(title))) / 2 + CASE WHEN coded THEN 5 WHEN regexp_matches(asked, '[a-z]{{4,}}') THEN 3 ELSE 0 END - CASE WHEN NOT coded AND NOT typed THEN 30 ELSE 0 END - other AS score FROM marked)"""
+
+
+_HEAD = "EXISTS (SELECT 1 FROM unnest(string_split(lower(title), ' ')) AS u(x) WHERE length(x) >= 4 AND left(x, 4) = left(category, 4))"
+#: another brand: the asked one is missing and a Latin word is there that the asked name lacks; another variant of the same code
+_OTHERS = "CASE WHEN place IN (4, 5, 6) THEN 60 ELSE 0 END + CASE WHEN place = 3 AND coded THEN 60 ELSE 0 END"
+
+
+@query(f"""WITH {_pool_sql(_HEAD, _OTHERS)} SELECT product_id, place, title, round(score, 6) AS score, CASE WHEN score >= 78 THEN 'exact' WHEN score >= 65 THEN 'brand_line' ELSE 'skip' END AS grade
+FROM rated WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY round(score, 9) DESC, place) = 1""")
+def q_donor_pick(spark, sf_dir):
+    """The best card of a product's pool, with all bonuses and penalties."""
+    pool = donors.scored(_pool(spark, sf_dir), "asked", "title", "category", "brand").withColumn("score", F.round("score", 9))
+    return donors.pick_donor(pool, "product_id", "place", "ozon_card").select("product_id", "place", "title", F.round("score", 6).alias("score"), "grade")
+
+
+@query(f"""WITH {_pool_sql("contains(lower(title), category)")}, l AS (SELECT *, CASE place % 4 WHEN 0 THEN category || 's' WHEN 1 THEN 'shirts' WHEN 2 THEN '' ELSE 'big ' || category END AS labels, (product_id + place * 5) % 7 AS n FROM rated),
+g AS (SELECT *, score >= 64 AS fits FROM l WHERE labels = '' OR list_contains(string_split(labels, ' '), category) OR (labels = category || 's' AND length(category) >= 5))
+SELECT product_id, place, n, round(score, 6) AS score, CASE WHEN score >= 78 THEN 'exact' WHEN score >= 64 THEN 'brand_line' ELSE 'skip' END AS grade, true AS model_match
+FROM g QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY fits DESC, CASE WHEN fits THEN n END DESC, round(score, 9) DESC, place) = 1""")
+def q_rich_donor(spark, sf_dir):
+    """Cards of the asked type, the richest of those that fit."""
+    label = F.when(F.col("place") % 4 == 0, F.concat("category", F.lit("s"))).when(F.col("place") % 4 == 1, "shirts").when(F.col("place") % 4 == 2, "").otherwise(F.concat(F.lit("big "), F.col("category")))
+    pool = donors.scored(_pool(spark, sf_dir), "asked", "title", "category", substring=True).withColumn("score", F.round("score", 9))
+    pool = pool.withColumn("labels", label).withColumn("n", (F.col("product_id") + F.col("place") * 5) % 7)
+    best = donors.pick_rich_donor(pool, "product_id", "place", "asked", "title", "category", "labels", "n")
+    return best.select("product_id", "place", "n", F.round("score", 6).alias("score"), "grade", "model_match")

@@ -430,23 +430,18 @@ def q_match_names(spark, sf_dir):
     return j.match_names(names, targets.select("product_id", F.col("x.id").alias("target_id"), F.col("x.n").alias("name")), ["product_id"])
 
 
-@query()
-def q_donor_pick(spark, sf_dir):
-    """The best card of another product of the same brand and size."""
-    parts = d.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("product_id"), "p_name", "p_brand", "p_type", "p_size")
-    cards = parts.select(F.col("product_id").alias("card"), F.col("p_name").alias("card_title"), "p_brand", "p_size")
-    pairs = parts.join(cards, ["p_brand", "p_size"]).where("product_id <> card")
-    scored = pairs.withColumn("score", j.donor_score(F.col("p_name"), F.col("card_title"), F.lit(True), F.split_part("p_name", F.lit(" "), F.lit(1))))
-    return j.pick_donor(scored.select("product_id", "card", "score"), "product_id", "card")
-
-
-@query("""WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS id, lower(c_name) AS a, lower('Model-' || lpad(CAST(c_custkey % 50 AS VARCHAR), 4, '0')) AS b FROM customer),
-m AS (SELECT id, list_distinct(list_filter(regexp_extract_all(a, '[a-z0-9]+'), lambda x: length(x) >= 3 AND regexp_matches(x, '[0-9]'))) AS x, list_distinct(list_filter(regexp_extract_all(b, '[a-z0-9]+'), lambda x: length(x) >= 3 AND regexp_matches(x, '[0-9]'))) AS y FROM t)
-SELECT id, len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y) AS conflict FROM m""")
+_CODES = "list_distinct(list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')))"
+
+
+@query(f"""WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS id, 'x' || p_partkey % 5 || ' ' || lower(p_name) || CASE WHEN p_partkey % 2 = 0 THEN ' pro' ELSE '' END AS a, lower(p_name) || ' x' || p_size % 5 || CASE WHEN p_size % 3 = 0 THEN ' z9' ELSE '' END AS b FROM part),
+m AS (SELECT id, {_CODES.format('a')} AS x, {_CODES.format('b')} AS y, contains(a, ' pro') AS pro FROM t)
+SELECT id, (len(list_filter(x, lambda e: NOT list_contains(y, e))) > 0 AND len(list_filter(y, lambda e: NOT list_contains(x, e))) > 0) OR (list_has_any(x, y) AND pro) AS conflict FROM m""")
 def q_model_conflict(spark, sf_dir):
-    """T10, F38, U3, U4."""
-    other = F.concat(F.lit("Model-"), F.lpad((F.col("c_custkey") % 50).cast("string"), 4, "0"))
-    return d.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), p.model_conflict(F.col("c_name"), other).alias("conflict"))
+    """Codes and variant words of two titles."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    one = F.concat(F.lit("X"), (k % 5).cast("string"), F.lit(" "), "p_name", F.when(k % 2 == 0, " Pro").otherwise(""))
+    two = F.concat("p_name", F.lit(" x"), (size % 5).cast("string"), F.when(size % 3 == 0, " Z9").otherwise(""))
+    return d.table(spark, sf_dir, "part").select(k.cast("long").alias("id"), p.model_conflict(one, two).alias("conflict"))
 
 
 @query("""WITH f AS (SELECT user_id, CASE WHEN event_type = 'view' THEN 'cache' ELSE event_type END AS source, CAST(floor(value) AS BIGINT) AS tokens FROM events),

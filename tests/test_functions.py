@@ -42,7 +42,7 @@ L = F.lit
         (lambda: t.phrase_in(F.array(L("nort")), F.array(L("north"))), False),
         (lambda: t.phrase_start(F.array(L("face")), F.array(L("the"), L("north"), L("face"))), 2),
         (lambda: t.phrase_start(F.array(L("foot")), F.array(L("the"))), None),
-        (lambda: t.model_tokens(L("Bosch GSR-120 li 5")), ["120"]),
+        (lambda: t.model_tokens(L("Bosch GSR-120 li 5")), ["gsr-120"]),
         (lambda: t.html_to_text(L("<p>a&nbsp;<b>b</b></p><script>x</script>")), "a b"),
         (lambda: t.host(L("https://www.Example.org/x")), "example.org"),
         (lambda: t.is_vague(L("Feature_3")), True),
@@ -99,7 +99,7 @@ L = F.lit
         (lambda: p.is_palette(L("белый/синий"), L(None).cast("array<string>"), L(None).cast("array<bigint>")), True),
         (lambda: p.looks_blocked(L("Please solve the CAPTCHA")), True),
         (lambda: p.looks_like_markup(L("a{b}c<d>")), True),
-        (lambda: p.model_conflict(L("GSR120"), L("GSR 121")), True),
+        (lambda: p.model_conflict(L("GSR120"), L("GSR121")), True),
     ],
 )
 def test_case(spark, make, want):

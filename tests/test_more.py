@@ -27,8 +27,6 @@ L = F.lit
         (lambda: t.free_text_gate(L("Wool")), None),
         (lambda: t.free_text_gate(L(" 750W ")), "750W"),
         (lambda: t.free_text_gate(L("чистый  лён")), "чистый лён"),
-        (lambda: p.unit_conflict(L("Вес, кг"), L("5 см")), True),
-        (lambda: p.unit_conflict(L("Вес, кг"), L("500 г")), False),
         (lambda: numeric.card_sizes(F.array(L("INT"), L("ru")), F.array(F.struct(F.array(L("S"), L("44-46")).alias("details"), L("S").alias("tech_size")), F.struct(F.array(L("M")).alias("details"), L("M").alias("tech_size")))), ["44", "46", "48"]),
         (lambda: F.to_json(nested.option_map(F.array(F.struct(L("Цвет").alias("name"), L("a").alias("value")), F.struct(L("Цвет").alias("name"), L("b").alias("value"))), F.array(F.struct(L("хлопок").alias("name"), L(80).alias("percent"))))), '{"Цвет":"b","Состав":"хлопок 80%"}'),
         (lambda: nested.pick_language(F.array(F.struct(L("en").alias("lang"), L("x").alias("text")), F.struct(L("ru").alias("lang"), L("y").alias("text")))), "y"),
