@@ -93,6 +93,32 @@ def score(name: str, a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def letters(c: Column) -> Column:
+    """Each letter with the number of its occurrence, so that two texts' common letters are an intersection of sets."""
+    own = F.array_sort(F.split(c, ""))
+    return F.transform(own, lambda x, k: F.concat(x, (k + 1 - F.array_position(own, x)).cast("string")))
+
+
+def may_reach(name: str, a: Column, b: Column, a_letters: Column, b_letters: Column, least: float) -> Column:
+    """Whether the score of two texts can be ``least``: false is a proof that it is not.
+
+    A common subsequence has at most the common letters m; a text's words in another order have at least the length it
+    has without surplus spaces.  So a ratio is at most 200 m over both lengths, and a partial one, whose window may be cut
+    short at an end, at most 200 m over m and the shorter length.  Texts that share a word may score 100 by words.
+    """
+    m = F.size(F.array_intersect(a_letters, b_letters))
+    spare = lambda c: F.length(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    la, lb = spare(a), spare(b)
+    partial = F.least(F.lit(100.0), 200.0 * m / F.greatest(F.lit(1), F.least(la, lb) + m))
+    if name == "partial_ratio":
+        return (partial >= least - 1e-9) | (F.least(la, lb) == 0)
+    whole = 200.0 * m / F.greatest(F.lit(1), la + lb)
+    words = lambda c: F.split(F.trim(c), r"\s+")
+    unlike = F.greatest(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))
+    bound = F.when(unlike < 1.5, whole).when(unlike <= 8, F.greatest(whole, 0.9 * partial)).otherwise(F.greatest(whole, 0.6 * partial))
+    return F.coalesce(F.arrays_overlap(words(a), words(b)), F.lit(False)) | (bound >= least - 1e-9)
+
+
 def best_places(texts: Column, options: Column, scorer: Column, least: Column) -> Column:
     """For each text of an array the place (from 1) of the option that scores best by ``scorer``, the first of equals; null
     under ``least`` or for blank texts.  A null array of texts gives null and costs nothing."""

@@ -1,4 +1,4 @@
-"""Lookups, value resolution, name matching, nearest neighbours and comparisons."""
+"""Lookups, value resolution, name matching, nearest neighbours and comparisons."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions import text as t
-from ..functions.numeric import cosine
 from .windows import first_by, top_n
 
 #: A dimension is broadcast only below this many rows; else the join is a shuffle.
@@ -111,9 +110,10 @@ def resolve_values(
         found = found.checkpoint() if values.sparkSession.sparkContext.getCheckpointDir() else found
         first = found.select(*own, F.col("_place").alias("_first"))
         rest = asked.drop("_keys").where(F.col("_place") < _NEAR).join(first, own, "left").where("_first is null or _place < _first")
-        pairs = rest.select(*keys, "_item").distinct().join(entry, keys)
-        strong = lambda c: t.strong_token(c, translations)
-        scored = pairs.withColumn("_s", fuzzy.score("weighted_ratio", strong(F.col("_item")), strong(F.col("_entry")))).where(F.col("_s") >= fuzzy_least)
+        form = lambda df, c: df.withColumn("_a", t.strong_token(F.col(c), translations)).withColumn("_l", fuzzy.letters(F.col("_a")))
+        pairs = form(rest.select(*keys, "_item").distinct(), "_item").join(form(entry, "_entry").withColumnsRenamed({"_a": "_b", "_l": "_m"}), keys)
+        pairs = pairs.where(fuzzy.may_reach("weighted_ratio", F.col("_a"), F.col("_b"), F.col("_l"), F.col("_m"), fuzzy_least))
+        scored = pairs.withColumn("_s", fuzzy.score("weighted_ratio", F.col("_a"), F.col("_b"))).where(F.col("_s") >= fuzzy_least)
         near_by = first_by(scored.select(*keys, "_item", "value_id", "seq", "_s"), [*keys, "_item"], [-F.col("_s"), F.col("seq")])
         closer = rest.join(near_by, [*keys, "_item"]).select(*own, "_place", F.lit(6).alias("_by"), "seq", "value_id")
         found = first_by(found.unionByName(closer), own, order)
@@ -143,7 +143,7 @@ def match_option(target: Column, option: Column, vector: Column | None = None) -
 
 
 def match_names(names: DataFrame, targets: DataFrame, keys: list[str], least: float = 88.0) -> DataFrame:
-    """Characteristic names to target names within a key; each target once, earlier and better matches first.
+    """Characteristic names to target names within a key; each target once, earlier and better matches first.
 
     Ranks: equal, equal when normalised, one holding the other, fuzzy.  Greedy per key: matches are taken by (rank, name
     order); a taken target or name bars the later ones.  A key's names are a card's, so a key's pairs are few.
@@ -237,11 +237,6 @@ def nearest_in_category(queries: DataFrame, rows: DataFrame, k: int = 10, least:
     return kept.unionByName(nearest(other, rows, k).withColumn("filtered", F.lit(False)))
 
 
-def similar_pairs(pairs: DataFrame, a: str, b: str, least: float = 0.82) -> DataFrame:
-    """Pairs whose vectors are similar enough."""
-    return pairs.withColumn("similarity", cosine(F.col(a), F.col(b))).where(F.col("similarity") >= least)
-
-
 def changes(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """One row for each key and column whose value differs; values as text, missing rows as null."""
     joined = old.select(*keys, *[F.col(c).cast("string").alias(f"o_{c}") for c in columns]).join(new.select(*keys, *[F.col(c).cast("string").alias(f"n_{c}") for c in columns]), keys, "full")
