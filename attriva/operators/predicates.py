@@ -50,7 +50,7 @@ BRAND_ATTRIBUTE = 31
 
 
 def _any(name: Column, pattern: str) -> Column:
-    return F.coalesce(name.rlike(f"(?iu)({pattern})"), F.lit(False))
+    return F.coalesce(name.rlike(f"(?iuU)({pattern})"), F.lit(False))
 
 
 def is_critical(semantic_type: Column) -> Column:

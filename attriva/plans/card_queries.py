@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import composition
 from ..operators import cards, donors
 from . import derived as d
 from .queries import query
@@ -126,3 +127,23 @@ def q_rich_donor(spark, sf_dir):
     pool = pool.withColumn("labels", label).withColumn("n", (F.col("product_id") + F.col("place") * 5) % 7)
     best = donors.pick_rich_donor(pool, "product_id", "place", "asked", "title", "category", "labels", "n")
     return best.select("product_id", "place", "n", F.round("score", 6).alias("score"), "grade", "model_match")
+
+
+_FABRICS = (
+    "<p>Состав: @p% хлопок, @q% полиэстер</p>", "<table><tr><td>Состав изделия</td><td>Хлопок @p%, Лиоцелл @q%</td></tr></table>", "<p>скидка @p% хлопок</p>", "<p>Состав - @p% хлопок / @q% полиэстер</p><p>Material: @p%cotton</p>",
+    "<p>100% оригинал. Гарантия</p>", "<p>размер @p, хлопок</p>", "<p>@p% cotton, @q% polyester</p>" + "x" * 90 + "<p>Шёлк @q% и лён @p% и ещё много других слов здесь</p>", "<p>@p% хлопок</p>",
+)
+
+
+@query("""WITH v AS (SELECT CAST(page_id AS BIGINT) AS page_id, page_id % 8 AS kind, CAST(40 + page_id % 55 AS VARCHAR) AS p, CAST(60 - page_id % 55 AS VARCHAR) AS q, 40 + page_id % 55 >= 60 - page_id % 55 AS first_is_main FROM pages)
+SELECT page_id, CASE kind WHEN 0 THEN p || '% хлопок, ' || q || '% полиэстер' WHEN 1 THEN p || '% Хлопок, ' || q || '% Лиоцелл' WHEN 3 THEN p || '% хлопок, ' || q || '% полиэстер; ' || p || '% cotton' WHEN 6 THEN p || '% cotton, ' || q || '% polyester; ' || q || '% Шёлк и ' || p || '% лён' ELSE '' END AS listed,
+CASE WHEN kind IN (0, 1, 3) THEN CASE WHEN first_is_main THEN 'хлопок' WHEN kind = 1 THEN 'лиоцелл' ELSE 'полиэстер' END WHEN kind = 6 THEN CASE WHEN first_is_main THEN 'хлопок' ELSE 'полиэстер' END END AS main FROM v""")
+def q_compositions(spark, sf_dir):
+    """Fabric compositions of all pages."""
+    pages = d.table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html")
+    share = {"@p": (40 + F.col("page_id") % 55).cast("string"), "@q": (60 - F.col("page_id") % 55).cast("string")}
+    filled = lambda text: F.concat(*[share.get(x, F.lit(x)) for x in re.split("(@[pq])", text) if x])
+    kind = F.col("page_id") % len(_FABRICS)
+    listed = composition.compositions(F.concat("html", F.coalesce(*[F.when(kind == k, filled(x)) for k, x in enumerate(_FABRICS)])))
+    found = pages.select("page_id", listed.alias("listed"))
+    return found.select("page_id", F.array_join("listed", "; ").alias("listed"), composition.main_material(F.col("listed")).alias("main"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import customs, matching
+from ..operators import brands, customs, matching
 from . import derived as d
 from .queries import query
 
@@ -68,3 +68,40 @@ def q_customs_prefix(spark, sf_dir):
     """2.9-14, J5: the label in force that shares the longest beginning with a code."""
     codes, labels = _dictionary(spark, sf_dir)
     return customs.longest_prefix(codes, labels, ["brand"])
+
+
+_TITLES = """t AS (SELECT CAST(p_partkey AS BIGINT) AS product_id, p_size, p_partkey % 7 AS k, string_split(p_name, ' ')[1] AS one, string_split(p_name, ' ')[-1] AS two, p_name FROM part),
+f AS (SELECT product_id, p_size, CASE k WHEN 0 THEN p_name WHEN 1 THEN two WHEN 2 THEN 'Levi''s' WHEN 3 THEN 'LG' WHEN 6 THEN p_name END AS brand, CASE WHEN k = 3 THEN 'needle' ELSE 'dictionary' END AS origin FROM t WHERE k IN (0, 1, 2, 3, 6))"""
+
+
+def _titles(spark, sf_dir):
+    """Titles of seven kinds: nested brands, one brand, an apostrophe and a second brand, and no brand but the asked one, which
+    is good, a category word or missing; the last kind ends in its brand."""
+    parts = d.table(spark, sf_dir, "part")
+    k, two = F.col("p_partkey") % 7, F.element_at(F.split("p_name", " "), -1)
+    title = F.when(k == 0, F.concat(F.lit("Футболка "), "p_name")).when(k == 1, F.concat(two, F.lit(" x "), F.element_at(F.split("p_name", " "), 1))).when(k == 2, F.concat(F.lit("Джинсы levis "), two)).when(k == 3, "Телевизор LG 5").when(k == 4, "Колонка умная").when(k == 5, "Спортивные мужские колонки").otherwise(F.concat(F.lit("Мужские колонки "), "p_name"))
+    rows = parts.select(F.col("p_partkey").cast("long").alias("product_id"), title.alias("title"), F.when(k == 3, "LG").when(k == 4, "Колонка").alias("brand"), F.array(F.lit("Электроника"), F.lit("Умные колонки")).alias("category_path"), "p_size")
+    names = parts.groupBy(F.col("p_name").alias("brand")).agg(F.min("p_partkey").cast("long").alias("value_id"))
+    words = names.select(F.element_at(F.split("brand", " "), -1).alias("brand")).distinct().withColumn("value_id", F.lit(-1).cast("long"))
+    fixed = names.sparkSession.createDataFrame([("Levi's", -2), ("Спортивные", -3), ("Мужские", -4), ("Колонки", -5)], "brand string, value_id long")
+    return rows, names.unionByName(words).unionByName(fixed).withColumn("seq", F.struct("value_id", "brand"))
+
+
+@query(f"""WITH {_TITLES}, v AS (SELECT p_name AS brand, min(CAST(p_partkey AS BIGINT)) AS value_id FROM part GROUP BY ALL)
+SELECT product_id, f.brand, CASE WHEN origin = 'needle' THEN NULL WHEN f.brand = 'Levi''s' THEN -2 WHEN contains(f.brand, ' ') THEN v.value_id ELSE -1 END AS value_id, origin FROM f LEFT JOIN v ON v.brand = f.brand""")
+def q_title_brands(spark, sf_dir):
+    """The brand of each title by dictionary and by the asked brand."""
+    titles, listed = _titles(spark, sf_dir)
+    return brands.title_brands(titles, listed)
+
+
+@query(f"""WITH {_TITLES}, m AS (SELECT product_id, CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE 'Other' END AS old FROM t WHERE p_size % 4 <> 0)
+SELECT CAST(coalesce(m.product_id, f.product_id) AS BIGINT) AS product_id, CASE WHEN f.brand IS NULL OR (m.old IS NOT NULL AND lower(f.brand) = lower(m.old)) THEN m.old ELSE f.brand END AS value_str,
+CASE WHEN f.brand IS NULL OR (m.old IS NOT NULL AND lower(f.brand) = lower(m.old)) THEN 'kept' ELSE 'brand_from_name' END AS evidence FROM m FULL JOIN f ON f.product_id = m.product_id""")
+def q_brand_from_name(spark, sf_dir):
+    """G1: brand targets filled and overwritten from titles."""
+    titles, listed = _titles(spark, sf_dir)
+    names = d.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("product_id"), "p_name")
+    merged = titles.join(names, "product_id").where("p_size % 4 <> 0").select("product_id", F.lit(1).cast("long").alias("attribute_id"), F.when(F.col("p_size") % 3 == 0, F.upper("p_name")).otherwise("Other").alias("value_str"), F.lit(7).cast("long").alias("value_id"), F.lit(0.8).alias("confidence"), F.lit("ozon_card").alias("source"), F.lit("kept").alias("evidence"))
+    targets = titles.select("product_id", F.lit(1).cast("long").alias("attribute_id"), F.lit("Бренд").alias("target_name"))
+    return brands.brand_from_name(merged, targets, brands.title_brands(titles, listed)).select("product_id", "value_str", "evidence")
