@@ -118,12 +118,6 @@ def defaults(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("product_id", "attribute_id", F.col("value").alias("value_str"), sure.alias("confidence"), F.lit("description").alias("source"), F.lit("category_default").alias("evidence"))
 
 
-def contradictions(wide: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Rows of (product_id, field) to blank: where one field matches a pattern and another matches a second one."""
-    hits = [F.when(F.col(a).rlike(p) & F.col(b).rlike(q), F.lit(b)) for a, p, b, q in rules]
-    return wide.select("product_id", F.explode(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))).alias("field"))
-
-
 def annotation_sentences(rows: DataFrame, text: str, grounding: str) -> DataFrame:
     """The text without sentences that hold a number the grounding text lacks."""
     numbers = lambda s: F.regexp_extract_all(s, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0))

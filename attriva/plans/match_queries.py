@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import brands, customs, matching
+from ..operators import brands, consistency, customs, matching
 from . import derived as d
 from .queries import query
 
@@ -105,3 +105,58 @@ def q_brand_from_name(spark, sf_dir):
     merged = titles.join(names, "product_id").where("p_size % 4 <> 0").select("product_id", F.lit(1).cast("long").alias("attribute_id"), F.when(F.col("p_size") % 3 == 0, F.upper("p_name")).otherwise("Other").alias("value_str"), F.lit(7).cast("long").alias("value_id"), F.lit(0.8).alias("confidence"), F.lit("ozon_card").alias("source"), F.lit("kept").alias("evidence"))
     targets = titles.select("product_id", F.lit(1).cast("long").alias("attribute_id"), F.lit("Бренд").alias("target_name"))
     return brands.brand_from_name(merged, targets, brands.title_brands(titles, listed)).select("product_id", "value_str", "evidence")
+
+
+def _merged(rows, fields):
+    """Merged values of (product_id, attribute_id, text, source) structs."""
+    one = rows.select("product_id", F.explode(F.array_compact(F.array(*fields))).alias("f")).select("product_id", "f.*")
+    return one.select("product_id", "attribute_id", F.col("text").alias("value_str"), F.lit(None).cast("array<string>").alias("value_arr"), F.lit(False).alias("is_list"), F.lit(None).cast("long").alias("value_id"), F.lit(0.9).alias("confidence"), "source", F.lit("").alias("evidence"))
+
+
+def _field(attribute, text, source="wb_card", when=None):
+    x = F.struct(F.lit(attribute).cast("long").alias("attribute_id"), text.alias("text"), (source if not isinstance(source, str) else F.lit(source)).alias("source"))
+    return x if when is None else F.when(when, x)
+
+
+def _targets(spark, rows, names):
+    listed = spark.createDataFrame([(a, n, k) for k, (a, n) in enumerate(names.items())], "attribute_id long, target_name string, seq int")
+    return rows.select("product_id").crossJoin(F.broadcast(listed))  # a handful of fixed fields for each product
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS product_id, p_partkey AS k, p_size, 17 + p_size AS inches, 17 + p_partkey % 51 AS shown, p_name FROM part),
+v AS (SELECT product_id, 1 AS attribute_id, CAST(p_size AS VARCHAR) AS value FROM p WHERE k % 2 = 0
+UNION ALL SELECT product_id, 2, CASE WHEN p_size % 3 = 0 THEN 'С ударом' WHEN k % 2 = 1 THEN 'Сверление' ELSE 'Сверление|Сверление с ударом' END FROM p WHERE NOT (k % 4 = 0 AND p_size % 3 <> 0)
+UNION ALL SELECT product_id, 3, 'Кейс, ключевой патрон' FROM p WHERE k % 3 = 0 UNION ALL SELECT product_id, 4, CASE WHEN k % 3 = 0 THEN 'ключевой' ELSE 'SDS-Plus' END FROM p WHERE k % 3 = 0 OR k % 5 <> 0 UNION ALL SELECT product_id, 5, CASE WHEN k % 5 = 0 THEN 'Дрель' ELSE 'Перфоратор' END FROM p
+UNION ALL SELECT product_id, 6, CAST(shown AS VARCHAR) || ' "' FROM p WHERE shown = inches UNION ALL SELECT product_id, 7, 'Galaxy ' || k % 7 FROM p WHERE k % 7 = p_size % 7)
+SELECT product_id, CAST(attribute_id AS BIGINT) AS attribute_id, value FROM v""")
+def q_contradictions(spark, sf_dir):
+    """The five rules over all parts."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = d.table(spark, sf_dir, "part").withColumn("product_id", k.cast("long"))
+    text = lambda c: c.cast("string")
+    fields = [
+        _field(1, text(size), F.when(k % 4 == 0, "llm_knowledge").otherwise("wb_card"), k % 2 == 0), _field(2, F.when(size % 3 == 0, "С ударом").otherwise("Сверление")), _field(3, F.lit("Кейс, ключевой патрон"), when=k % 3 == 0), _field(4, F.lit("SDS-Plus")),
+        _field(5, F.when(k % 5 == 0, "Дрель").otherwise("Перфоратор")), _field(6, F.concat(text(17 + k % 51), F.lit(' "'))), _field(7, F.concat(F.lit("Galaxy "), text(k % 7))),
+    ]
+    names = {1: "Диаметр сверления в бетоне", 2: "Режимы работы", 3: "Комплектация", 4: "Тип патрона", 5: "Тип", 6: "Диагональ, дюймы", 7: "Линейка устройств"}
+    products = rows.select("product_id", F.concat(F.lit("Galaxy "), text(size % 7), F.lit(" "), text(17 + size), F.lit(" дюймов "), "p_name").alias("product_name"))
+    out = consistency.contradictions(_merged(rows, fields), _targets(spark, rows, names), products)
+    return out.select("product_id", "attribute_id", F.when(F.col("is_list"), F.array_join("value_arr", "|")).otherwise(F.col("value_str")).alias("value"))
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS product_id, p_partkey AS k, p_name, p_type, split_part(p_name, ' ', 1) AS word FROM part),
+v AS (SELECT product_id, 10 AS attribute_id, CASE WHEN p_type = 'SMALL' THEN 'small' ELSE p_name END AS value FROM p WHERE p_type = 'SMALL' OR k % 2 = 0
+UNION ALL SELECT product_id, 20, CASE WHEN k % 4 = 0 THEN 'ATX' ELSE 'none' END FROM p UNION ALL SELECT product_id, 30, CASE WHEN k % 3 = 0 THEN 'given' WHEN word = 'red' THEN '13' ELSE '15' END FROM p WHERE k % 3 = 0 OR (p_type = 'LARGE' AND (word = 'red' OR k % 4 = 0))
+UNION ALL SELECT product_id, 9048, p_name FROM p WHERE k % 2 = 1 UNION ALL SELECT product_id, 12141, p_name FROM p WHERE k % 2 = 1 UNION ALL SELECT product_id, 9336, p_name FROM p WHERE k % 2 = 1)
+SELECT product_id, CAST(attribute_id AS BIGINT) AS attribute_id, value FROM v""")
+def q_category_defaults(spark, sf_dir):
+    """Overriding and conditional defaults, values that two fields share, the card group that is never kept."""
+    k = F.col("p_partkey")
+    rows = d.table(spark, sf_dir, "part").withColumn("product_id", k.cast("long"))
+    name = F.col("p_name")
+    fields = [_field(10, name, when=k % 2 == 0), _field(20, F.when(k % 4 == 0, "ATX").otherwise("none")), _field(30, F.lit("given"), when=k % 3 == 0), _field(12141, name, when=k % 2 == 1), _field(8292, name)]
+    targets = _targets(spark, rows, {10: "", 20: "", 30: "", 9048: "", 12141: "", 9336: "", 8292: ""}).withColumn("semantic_type", F.when(F.col("attribute_id") == 20, "form_factor"))
+    products = rows.select("product_id", F.col("p_type").alias("category_id"), F.col("p_name").alias("product_name"))
+    defaults = spark.createDataFrame([("SMALL", 10, "small", 1)], "category_id string, attribute_id long, value string, value_id long")
+    rules = spark.createDataFrame([("LARGE", 1, "red ", 30, "13"), ("LARGE", 2, "atx", 30, "15")], "category_id string, rule_no int, token string, attribute_id long, value string")
+    return consistency.category_defaults(_merged(rows, fields), targets, products, defaults, rules).select("product_id", "attribute_id", F.col("value_str").alias("value"))
