@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .windows import top_n
@@ -26,6 +26,24 @@ def coverage(grid: DataFrame) -> DataFrame:
     return out.withColumn("required_share", share("filled_required", "n_required")).withColumn("optional_share", share("filled_optional", "n_optional"))
 
 
+def extractable_coverage(grid: DataFrame) -> DataFrame:
+    """A10: per product the optional targets that can be extracted, those filled, and the share; ``grid`` has is_required,
+    filled, platform and not_applicable (F30).  Fields of the platform, and fields that the product cannot have, do not count."""
+    own = ~F.col("is_required") & ~F.coalesce("platform", F.lit(False)) & ~F.coalesce("not_applicable", F.lit(False))
+    out = grid.groupBy("product_id").agg(
+        F.count_if(~F.col("is_required")).alias("n_optional"), F.count_if(own).alias("n_extractable"), F.count_if(own & F.col("filled")).alias("filled_extractable"),
+        F.count_if(~F.col("is_required") & ~F.coalesce("platform", F.lit(False)) & F.coalesce("not_applicable", F.lit(False))).alias("n_not_applicable"),
+    )
+    return out.withColumn("honest_share", F.when(F.col("n_extractable") > 0, F.col("filled_extractable") / F.col("n_extractable")))
+
+
+def unfounded(confidence: Column, value: Column, *texts: Column) -> Column:
+    """A confident value, no number and longer than three letters, that none of the product's texts holds."""
+    low = F.lower(F.trim(value))
+    ground = F.lower(F.concat_ws(" ", *texts))
+    return F.coalesce((confidence > 0.85) & (F.length(low) > 3) & ~low.rlike("^[0-9]+$") & ~F.contains(ground, low), F.lit(False))
+
+
 def coverage_summary(per_product: DataFrame) -> DataFrame:
     """Global ratios, means of ratios, and the share of products with 80 % or more of the required ones."""
     return per_product.agg(
