@@ -11,7 +11,7 @@ from ..operators import joins as j
 from ..operators import predicates as p
 from ..operators import reports as r
 from ..functions import numeric
-from ..sources import lookup, pages, shards
+from ..sources import lookup, pages, shards, workbooks
 from . import derived as d
 from .queries import query
 
@@ -193,3 +193,15 @@ def q_unfounded_values(spark, sf_dir):
     value = F.when(k == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).when(k == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit(" "))).when(k == 2, "12345").otherwise("Unknown")
     sign = r.unfounded((F.col("l_orderkey") % 20 + 80) / 100.0, value, F.col("p_name"), F.col("p_brand"))
     return rows.groupBy(F.col("l_partkey").cast("long").alias("product_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(sign).alias("n_unfounded"))
+
+
+@query("""WITH t AS (SELECT p_brand AS book, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_name, p_type, p_size FROM part)
+SELECT book, CAST(k - 1 AS INT) AS row_index, CAST(p_partkey AS VARCHAR) AS sku, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'filled' END AS kind, CAST(p_size AS VARCHAR) AS size FROM t""")
+def q_workbooks(spark, sf_dir):
+    """A workbook for each brand is written, its empty cells are filled, and its rows are read again."""
+    parts = d.table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("kind"), "p_size")
+    books = workbooks.new_workbooks(workbooks.as_cells(parts, "p_brand", "p_partkey", "goods", ["p_partkey", "p_name", "kind", "p_size"]), ["goods", "validation"])
+    rows = workbooks.named_cells(workbooks.cells(books), "goods").where("name = 'p_partkey'").select("path", "row_index", F.lit("kind").alias("name"), F.lit("filled").alias("value"))
+    filled = workbooks.filled_workbooks(books, rows, "goods")
+    got = workbooks.products(workbooks.cells(filled), "goods", {"p_partkey": "sku", "p_name": "name", "kind": "kind"})
+    return got.select(F.col("path").alias("book"), "row_index", "sku", "name", "kind", F.col("characteristics")["p_size"].alias("size"))
