@@ -174,7 +174,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.96, sample: int = 20_000, branch: int = 8, leaf_rows: int = 1000, chunk: int = 4096, calibration: int = 96, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
+def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.93, sample: int = 20_000, branch: int = 32, leaf_rows: int = 60, chunk: int = 4096, calibration: int = 96, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
     """The k nearest of each query row and what was calibrated; ``queries`` is a predicate over ``vec_id``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
