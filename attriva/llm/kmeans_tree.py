@@ -28,6 +28,10 @@ from .shared import written
 from .textops import gathered
 
 
+#: Sampled points of a child on average, so that a small node is not split into single points.
+LEAST_POINTS = 4
+
+
 class KMeansTree:
     """Centres of all nodes, children of inner nodes, and leaf numbers."""
 
@@ -45,7 +49,7 @@ class KMeansTree:
         self.leaf.append(-1)
         parts = []
         if len(points) > leaf_points:
-            centres, of = _kmeans(points, branch, rng)
+            centres, of = _kmeans(points, min(branch, max(2, len(points) // LEAST_POINTS)), rng)
             parts = [(points[of == k], centres[k]) for k in range(len(centres)) if (of == k).any()]
         if len(parts) < 2:
             self.leaf[me] = self.n_leaves
@@ -174,8 +178,11 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.93, sample: int = 20_000, branch: int = 32, leaf_rows: int = 60, chunk: int = 4096, calibration: int = 96, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
-    """The k nearest of each query row and what was calibrated; ``queries`` is a predicate over ``vec_id``."""
+def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.93, sample: int = 20_000, branch: int = 32, leaf_rows: int | None = None, chunk: int = 4096, calibration: int = 96, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict]:
+    """The k nearest of each query row and what was calibrated; ``queries`` is a predicate over ``vec_id``.
+
+    ``leaf_rows``: rows of a leaf, unset: 0.4 times the root of all rows, 48 at least, so that leaves grow in number and size.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     total = rows.count()
@@ -184,6 +191,7 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.93, sampl
         return empty, {"leaves": 0, "visits": 0, "recall": 1.0}
     few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     points = _matrix(few["v"])
+    leaf_rows = leaf_rows or max(48, int(0.4 * total**0.5))
     tree = KMeansTree(points, branch, max(8, int(leaf_rows * len(points) / total)))
     shared = spark.sparkContext.broadcast(tree)
 
