@@ -222,7 +222,7 @@ def search(vectors: DataFrame, queries, k: int = 10, recall: float = 0.93, sampl
     need = np.array([place[a, b] for a, b in zip(truth["query_id"].to_pylist(), truth["leaf"].to_pylist(), strict=True)])
     visits = 1
     while visits < tree.n_leaves and (need < visits).mean() < recall:  # widen
-        visits = min(tree.n_leaves, visits + max(1, visits // 4))
+        visits = min(tree.n_leaves, visits + max(1, visits // 16))
     got = float((need < visits).mean()) if len(need) else 1.0
 
     def visit(batches):
