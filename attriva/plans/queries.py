@@ -645,14 +645,6 @@ def q_sessions(spark, sf_dir):
     return ev.sessions(e).select(F.col("user_id").cast("long").alias("user_id"), F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-@query(f"""WITH {TARG} SELECT CAST(attribute_id AS BIGINT) AS attribute_id, CASE attribute_id WHEN 1 THEN 'text' WHEN 4 THEN 'numeric' WHEN 7 THEN 'model_name' ELSE 'enum' END AS kind,
-CASE attribute_id WHEN 1 THEN 'brand' WHEN 3 THEN 'material' WHEN 4 THEN 'physical_magnitude' ELSE 'classification' END AS leaf, CASE attribute_id WHEN 4 THEN 'Вт' END AS unit FROM targets""")
-def q_target_routing(spark, sf_dir):
-    """F4, F5, F6."""
-    kind = p.target_kind(F.col("target_name"), F.col("type"), F.col("has_values"))
-    return d.targets(spark).withColumn("kind", kind).select("attribute_id", "kind", p.target_leaf(F.col("target_name"), F.col("kind")).alias("leaf"), numeric.trailing_unit(F.col("target_name")).alias("unit"))
-
-
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 4 IN (0, 1, 2) AS vague FROM orders""")
 def q_vague_names(spark, sf_dir):
     """F7."""

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from attriva.plans import queries as catalog
-from attriva.plans import card_queries, match_queries, rules, source_queries  # noqa: F401
+from attriva.plans import card_queries, function_queries, match_queries, rules, source_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
