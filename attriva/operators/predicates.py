@@ -178,6 +178,11 @@ def grounded_elements(values: Column, evidence: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def without_placeholders(joined: DataFrame) -> DataFrame:
+    """scalar values that say nothing, of fields with options."""
+    return joined.where(~(F.coalesce(F.size("allowed_values") > 0, F.lit(False)) & ~F.coalesce(F.col("is_list"), F.lit(False)) & F.coalesce(t.is_placeholder(F.col("value_str")), F.lit(False))))
+
+
 def customs_guard(joined: DataFrame) -> DataFrame:
     """customs codes of model knowledge and web go unless the resolver marked them."""
     low, marked = F.lower(F.coalesce("target_name", F.lit(""))), F.startswith(F.coalesce("evidence", F.lit("")), F.lit("tnved_resolver:"))
