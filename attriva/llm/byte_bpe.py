@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import texts, written
-from .textops import gathered, give_back, id_column, int64s, pieces, span_hashes, text_bytes
+from .textops import gathered, give_back, id_column, int64s, pieces, text_bytes
 
 LONG = 160
 HOT_WORDS = 1 << 18
@@ -139,23 +139,25 @@ def word_bounds(run: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray, n
 
 
 def distinct_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(distinct words, place of each word in that list); words of equal hash are compared character by character."""
+    """(distinct words in the order of their first places, place of each word in that list).
+
+    The words are cut out of the text's own bytes, where they stand one behind the other, and told apart there.
+    """
     if not len(start):
         return [], np.zeros(0, np.int64)
-
-    def characters(which):
-        size = end[which] - start[which]
-        return points[np.arange(int(size.sum())) + np.repeat(start[which] - (np.cumsum(size) - size), size)], size
-
-    _, first, number = np.unique(span_hashes(points, start, end), return_index=True, return_inverse=True)
-    (own, size), (lead, lead_size) = characters(np.arange(len(start))), characters(first[number])
-    if not np.array_equal(size, lead_size) or not np.array_equal(own, lead):  # unlike words of one hash
-        seen: dict[bytes, int] = {}
-        number = np.array([seen.setdefault(points[a:b].tobytes(), len(seen)) for a, b in zip(start, end, strict=True)], np.int64)
-        return [w.decode("utf-32-le") for w in seen], number
-    flat, size = characters(first)
-    text, stop = flat.tobytes().decode("utf-32-le"), np.cumsum(size).tolist()
-    return [text[a:b] for a, b in zip([0, *stop], stop, strict=False)], number
+    if not np.array_equal(start[1:], end[:-1]):  # gaps between the words
+        size = end - start
+        points = points[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
+        end = np.cumsum(size)
+        start = end - size
+    raw = points[start[0] : end[-1]].tobytes().decode("utf-32-le").encode()
+    at = np.append(start, end[-1]) - start[0]
+    if len(raw) > at[-1]:  # other places in bytes than in characters
+        own = points[start[0] : end[-1]]
+        width = (own > 0x7F).astype(np.int8) + (own > 0x7FF) + (own > 0xFFFF) + np.int8(1)
+        at = np.concatenate([[0], np.cumsum(width, dtype=np.int32)])[at]
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
 
 
 def rank_table(ranks: dict[bytes, int]) -> tuple[int, np.ndarray, np.ndarray]:
