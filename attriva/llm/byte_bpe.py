@@ -325,43 +325,65 @@ def dictionary(frequent: DataFrame, ranks: Broadcast, folded, pair_ranks: np.nda
     return sink.getvalue().to_pybytes()
 
 
-def _opened(stream: bytes) -> tuple[list[bytes], list[bytes]]:
+def _opened(stream: bytes) -> tuple[list[str], pa.Array]:
     """(words, codes of their ids) of a dictionary."""
-    words, codes = [], []
+    words, codes = [], [pa.array([], pa.binary())]
     for batch in pa.ipc.open_stream(stream):
         for w, ids in zip(batch.column(0), batch.column(1), strict=True):
-            words += w.values.to_pylist()
-            codes += _codes(ids.values)
-    return words, codes
+            words += [x.decode() for x in w.values.to_numpy(zero_copy_only=False).tolist()]
+            codes.append(_codes(ids.values))
+    return words, pa.concat_arrays(codes)
+
+
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def _offsets(x: pa.Array) -> np.ndarray:
+    return np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int32)
+
+
+def _joined(taken: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Stretches of items, each laid end to end to one item."""
+    at = _offsets(taken)[ends]
+    return _binary(at, taken.buffers()[2] if len(taken) and taken.buffers()[2] is not None else b"")
 
 
 class _Codes:
-    """Ids and bytes of numbered words: frequent words, then tokens, then the words of a task's documents as they come."""
+    """Ids and bytes of numbered words: frequent words, then tokens, then the words of a task's documents as they come; each
+    kind stands in one Arrow buffer, so a text is made by taking items that are laid end to end anyway."""
 
-    def __init__(self, hot: list[bytes], ranks: dict[bytes, int]):
+    def __init__(self, hot: pa.Array, ranks: dict[bytes, int]):
         table = sorted(ranks, key=ranks.get)
-        self.pieces = dict(zip((ranks[x] for x in table), table, strict=True))
-        self.ids = [*hot, *(np.array([ranks[x]], "<u4").tobytes() for x in table)]
-        self.bytes = [*map(self.decoded, hot), *table]
+        every = [b""] * (max(ranks.values(), default=-1) + 1)
+        for x in table:
+            every[ranks[x]] = x
+        self.pieces = pa.array(every, pa.binary())
+        own = np.array([ranks[x] for x in table], "<u4")
+        self.ids = pa.concat_arrays([hot, _binary(4 * np.arange(len(own) + 1), own.tobytes())])
+        self.bytes = pa.concat_arrays([self.decoded(hot), pa.array(table, pa.binary())])
         self.fixed = len(self.ids)
 
-    def decoded(self, ids: bytes) -> bytes:
-        """The pieces of the ids, one behind the other."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decoded(self, ids: pa.Array) -> pa.Array:
+        """The pieces of each item's ids, one behind the other."""
+        at = _offsets(ids) // 4
+        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")[at[0] : at[-1]] if len(ids) else np.zeros(0, "<u4")
+        return _joined(self.pieces.take(pa.array(flat)), at - at[0])
 
-    def add(self, more: list[bytes]) -> None:
-        self.ids += more
-        self.bytes += map(self.decoded, more)
+    def add(self, more: pa.Array) -> None:
+        if len(more):
+            self.ids = pa.concat_arrays([self.ids, more])
+            self.bytes = pa.concat_arrays([self.bytes, self.decoded(more)])
 
     def reset(self) -> None:
-        del self.ids[self.fixed :], self.bytes[self.fixed :]
+        if len(self.ids) > self.fixed:
+            self.ids, self.bytes = (pa.concat_arrays([x.slice(0, self.fixed)]) for x in (self.ids, self.bytes))
 
 
-def _codes(lists: pa.Array) -> list[bytes]:
+def _codes(lists: pa.Array) -> pa.Array:
     """Each list of ids as little-endian unsigned 32-bit integers."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    ends = np.concatenate([[0], 4 * np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]).tolist()
-    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    return _binary(np.concatenate([[0], 4 * np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]), flat.tobytes())
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -381,7 +403,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
         ranks = shared.value
         if "numbers" not in cache:
             hot, _ = _opened(frequent.value)
-            cache["numbers"] = {w.decode(): k for k, w in enumerate(hot)}, {w: k for k, w in enumerate(sorted(ranks, key=ranks.get), len(hot))}
+            cache["numbers"] = {w: k for k, w in enumerate(hot)}, {w: k for k, w in enumerate(sorted(ranks, key=ranks.get), len(hot))}
         numbers, tokens = cache["numbers"]
         fixed = len(numbers) + len(ranks)
         part, at_row = TaskContext.get().partitionId(), 0
@@ -434,13 +456,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 got, long = batch.column(3)[row].values, batch.column(4)[row].as_py()
                 if batch.column(5)[row].as_py():
                     codes.reset()
-                more = _codes(got) if got is not None else []
-                codes.add([np.array(long_fold(w, ranks), "<u4").tobytes() if w else x for w, x in zip(long, more, strict=True)] if long else more)
-                ends, seq = np.concatenate([[0], np.cumsum(sizes)]).tolist(), seq.tolist()
-                raw = [b"".join(map(codes.ids.__getitem__, seq[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
-                text = [b"".join(map(codes.bytes.__getitem__, seq[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
+                more = _codes(got) if got is not None else pa.array([], pa.binary())
+                if long:
+                    more = pa.array([np.array(long_fold(w, ranks), "<u4").tobytes() if w else x for w, x in zip(long, more.to_pylist(), strict=True)], pa.binary())
+                codes.add(more)
+                ends, seq = np.concatenate([[0], np.cumsum(sizes)]), pa.array(seq)
+                raw, text = (_joined(x.take(seq), ends) for x in (codes.ids, codes.bytes))
                 yield pa.RecordBatch.from_arrays(
-                    [id_column(ids), pa.array(raw, pa.binary()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(text, pa.binary())],
+                    [id_column(ids), raw, pa.array(np.diff(_offsets(raw)).astype(np.int64) // 4), text],
                     names=["doc_id", "ids", "n_tokens", "decoded"],
                 )
         codes.reset()
