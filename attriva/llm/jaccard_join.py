@@ -34,7 +34,7 @@ PACKED = "piece long, frag int, ids binary, docs binary, grams binary"
 COUNTED = PACKED + ", twice binary, total binary, known binary"
 
 
-def _bits(docs: DataFrame, per_fragment: int = 8_000_000) -> int:
+def _bits(docs: DataFrame, per_fragment: int = 4_000_000) -> int:
     """log2 of the number of fragments: about ``per_fragment`` bytes of text to each."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return min(16, max(3, math.ceil(math.log2(max(1, int(total)) / per_fragment + 1))))
