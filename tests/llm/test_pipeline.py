@@ -57,6 +57,17 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert stage(spark, docs.limit(0), d).collect() == []
 
 
+def test_later_stages_begin_with_a_full_collection(spark, sf_dir):
+    d, _, _ = sf_dir
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        before = full.getCollectionCount()
+        stage(spark, docs, d)
+        assert full.getCollectionCount() > before
+
+
 def test_entry_registers_everything():
     import __spark_entry__ as entry
 
