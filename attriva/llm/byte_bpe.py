@@ -21,13 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import texts, written
@@ -215,11 +214,20 @@ def fold(entries: Column, slots: int, lists: int, shifts: Column, table: Column)
     return F.aggregate(merges, entries, step, lambda e: F.transform(F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0))), lambda x: x.bitwiseAND(_MASK).cast("int")))
 
 
-def rank_folder(ranks: dict[bytes, int]):
-    """A function from an array of words to the ids of each; the literals stand once in the expression, bound for all words."""
+def rank_folder(spark: SparkSession, ranks: dict[bytes, int]):
+    """A function that puts ids in place of a column of arrays of words; the rank table is a row that a subquery reads, bound for all words.
+
+    As a literal its megabytes would be written out in every text and copy of a plan that the driver makes.
+    """
     slots, shifts, table = rank_table(ranks)
-    literal = F.struct(*(F.from_json(F.lit(json.dumps(x.tolist(), separators=(",", ":"))), "array<bigint>").alias(name) for name, x in (("shifts", shifts), ("table", table))))
-    return lambda words: F.element_at(F.transform(F.array(literal), lambda t: F.transform(words, lambda w: fold(w, slots, len(shifts), t["shifts"], t["table"]))), 1)
+    row = spark.createDataFrame(pa.table({"shifts": pa.array([shifts]), "table": pa.array([table])}))
+    both = row.select(F.struct("shifts", "table")).scalar()
+
+    def folded(rows: DataFrame, column: str) -> DataFrame:
+        ids = F.transform(F.array("_ranks"), lambda t: F.transform(column, lambda w: fold(w, slots, len(shifts), t["shifts"], t["table"])))
+        return rows.withColumn("_ranks", both).withColumn(column, F.element_at(ids, 1)).drop("_ranks")
+
+    return folded
 
 
 def first_entries(words: list[bytes], pair_ranks: np.ndarray, byte_ids: np.ndarray) -> pa.Array:
@@ -318,7 +326,7 @@ def dictionary(frequent: DataFrame, ranks: Broadcast, folded, pair_ranks: np.nda
                 yield pa.RecordBatch.from_arrays([pa.array([words[k : k + width]], pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["words", "entries"])
 
     rows = frequent.repartition(16, "word").mapInArrow(entries, "words array<binary>, entries array<array<bigint>>")
-    table = rows.select("words", folded(F.col("entries")).alias("ids")).toArrow()
+    table = folded(rows, "entries").select("words", F.col("entries").alias("ids")).toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -389,11 +397,11 @@ def _codes(lists: pa.Array) -> pa.Array:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids binary, n_tokens, decoded binary) of every row: ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
-    # the literals would fill several megabytes of each plan text that the driver keeps
+    # the texts of plans that the driver keeps are held short
     if spark.conf.get("spark.sql.maxPlanStringLength") == _ANY_LENGTH:
         spark.conf.set("spark.sql.maxPlanStringLength", "65536")
     pair_ranks, byte_ids = _alphabet(ranks)
-    folded = rank_folder(ranks)
+    folded = rank_folder(spark, ranks)
     shared = spark.sparkContext.broadcast(ranks)
     frequent = spark.sparkContext.broadcast(dictionary(frequent_words(docs, pattern), shared, folded, pair_ranks, byte_ids))
     give_back()
@@ -471,7 +479,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     numbered = texts(docs).mapInArrow(number, "doc_ids binary, sizes binary, seq binary, fresh array<array<bigint>>, long array<binary>, reset boolean, part int, at_row long")
     # an empty list stands for a long word and keeps its place
-    words = numbered.select("doc_ids", "sizes", "seq", folded(F.col("fresh")).alias("got"), "long", "reset", "part", "at_row")
+    words = folded(numbered, "fresh").select("doc_ids", "sizes", "seq", F.col("fresh").alias("got"), "long", "reset", "part", "at_row")
     # all rows of a task go to one task, so that a repeated task brings them in one piece
     ordered = words.repartition("part").sortWithinPartitions("part", "at_row")
     return ordered.select("doc_ids", "sizes", "seq", "got", "long", "reset").mapInArrow(assemble, "doc_id long, ids binary, n_tokens long, decoded binary")

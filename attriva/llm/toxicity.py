@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
-from .shared import crc_mod, texts
+from .shared import crc_mod, dropped, texts
 from .textops import ALNUM_WORDS, Words, gathered, give_back, id_column, int64s, pieces, text_bytes
 
 BUCKET_BITS = 17
@@ -183,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5_000, max_bytes:
 
     sample = labelled_sample(docs, labels, "toxic", max_rows, max_bytes).select("doc_id", "text", "y").toArrow()
     sample = sample.take(pc.sort_indices(sample, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+    dropped(docs.sparkSession)  # what the JVM held of the sample goes before this process takes as much
     y = sample["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return None

@@ -77,3 +77,10 @@ def test_few_words_at_a_time(spark, ranks, known, monkeypatch):
     out = b.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), ranks, public_tokenizers.PATTERN)
     got = {r.doc_id: r.ids for r in b.token_lists(out).collect()}
     assert got == {i: known.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_plans_do_not_hold_the_ranks(spark, ranks):
+    docs = spark.createDataFrame([(1, "some uncommonness, somewhat")], "doc_id long, text string")
+    plan = b.encode(docs, ranks, public_tokenizers.PATTERN)._jdf.queryExecution()
+    assert plan.optimizedPlan().toJSON().__len__() < 200_000
+    assert len(plan.sparkPlan().toString()) < 20_000
