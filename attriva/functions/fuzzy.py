@@ -121,7 +121,11 @@ def may_reach(name: str, a: Column, b: Column, a_letters: Column, b_letters: Col
 
 def best_places(texts: Column, options: Column, scorer: Column, least: Column) -> Column:
     """For each text of an array the place (from 1) of the option that scores best by ``scorer``, the first of equals; null
-    under ``least`` or for blank texts.  A null array of texts gives null and costs nothing."""
+    under ``least`` or for blank texts.  A null array of texts gives null and costs nothing.
+
+    Declared as not deterministic, so that the engine runs it once: a filter on its result would else be pushed below, with
+    a second run and all expressions of the arguments repeated.
+    """
 
     @F.pandas_udf("array<int>")
     def run(xs: pd.Series, os: pd.Series, names: pd.Series, floors: pd.Series) -> pd.Series:
@@ -137,4 +141,4 @@ def best_places(texts: Column, options: Column, scorer: Column, least: Column) -
 
         return pd.Series([None if x is None or o is None else [place(v, tuple(o), n, f) for v in x] for x, o, n, f in zip(xs, os, names, floors, strict=True)])
 
-    return run(texts, options, scorer, least)
+    return run.asNondeterministic()(texts, options, scorer, least)

@@ -71,8 +71,11 @@ def strong_token(c: Column, translations: dict[str, str] | None = None) -> Colum
     if translations:
         table = F.create_map(*[F.lit(x) for kv in translations.items() for x in kv])
         low = F.coalesce(F.lower(F.try_element_at(table, strip(low))), low)
+    named = low
     for source, target in TECH_ALIASES:
-        low = F.regexp_replace(low, source, target)
+        named = F.regexp_replace(named, source, target)
+    # every alias holds a Latin letter, so texts without one keep their form
+    low = F.when(low.rlike("[a-z]"), named).otherwise(low)
     low = F.translate(F.translate(low, *HOMOGLYPHS), "ё", "е")
     low = F.regexp_replace(F.regexp_replace(low, "-", " "), r"\+", " + ")
     return F.regexp_replace(F.regexp_replace(low, f"{WHITE}+", " "), r"""^[ .,;:!?"'()\[\]]+|[ .,;:!?"'()\[\]]+$""", "")

@@ -212,7 +212,8 @@ def membership_guard(joined: DataFrame, scalar_least: float = 85.0, member_least
     trimmed = lambda x: F.lower(F.trim(x))
     is_list = F.coalesce("is_list", F.lit(False))
     shaped = joined.withColumns({"_free": free, "_list": is_list, "_vals": F.when(is_list, F.col("value_arr")).otherwise(F.array("value_str"))})
-    shaped = shaped.withColumns({"_low": F.transform(options, trimmed), "_strong": F.transform(options, lambda o: t.strong_token(trimmed(o))), "_asked": F.transform("_vals", lambda v: t.strong_token(trimmed(v)))})
+    strong = lambda xs: F.when(~F.col("_free"), F.transform(xs, lambda x: t.strong_token(trimmed(x))))
+    shaped = shaped.withColumns({"_low": F.transform(options, trimmed), "_strong": strong(options), "_asked": strong("_vals")})
     place = lambda xs, v: F.nullif(F.array_position(xs, v), F.lit(0)).cast("int")
     exact = F.transform("_vals", lambda v, i: F.when(trimmed(v) != "", F.coalesce(F.when(~F.col("_list"), place(F.col("_low"), trimmed(v))), F.when(F.get("_asked", i) != "", place(F.col("_strong"), F.get("_asked", i))))))
     shaped = shaped.withColumn("_exact", exact)

@@ -28,7 +28,7 @@ def _values(name: str, columns: str, rows) -> str:
 
 def _cases(spark: SparkSession, sf_dir: str, rows, schema: str) -> DataFrame:
     """Every product with every case; the cases are a fixed table of a few rows."""
-    products = d.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("product_id"))
+    products = d.spread(d.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("product_id")))
     listed = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(r, (x.split() for x in schema.split(", ")), strict=True)]) for r in rows])
     return products.withColumn("_case", F.explode(listed)).select("product_id", "_case.*")
 
