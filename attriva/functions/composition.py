@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .islands import unescaped
-from .text import strip
+from .text import once, strip
 
 # Materials by name with the forms they occur in; the order decides between forms
 MATERIALS = (
@@ -26,6 +26,8 @@ LABEL = (
 _ANY = "|".join(pattern for _, pattern in MATERIALS)
 _WORD, _SHARE = rf"(?iuU)\b(?:{_ANY})\b", r"\d{1,3}\s*%"
 _PAIR = rf"(?iuU)(?:\d{{1,3}}\s*%\s*(?:{_ANY})|(?:{_ANY})\s*\d{{1,3}}\s*%)"
+#: The signs that a pair consists of: no pair goes beyond a run of them
+_SIGNS = r"а-яёa-z\s\d%"
 _MATCHES = "array<struct<s:int,e:int>>"
 
 
@@ -38,15 +40,27 @@ def flat_text(html: Column) -> Column:
 
 def places(text: Column, pattern: str) -> Column:
     """Start and end, from 0, of a pattern's matches: the lengths of matches and of what is between them, added up."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("own")))
+    between = F.split(text, pattern, -1)
+    sizes = lambda found: F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("own")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCHES).alias("all"))
 
     def step(state, x):
         start = state["at"] + x["gap"]
         return F.struct((start + x["own"]).alias("at"), F.concat(state["all"], F.array(F.struct(start.alias("s"), (start + x["own"]).alias("e")))).alias("all"))
 
-    return F.when(F.size(found) > 0, F.aggregate(sizes, begin, step)["all"]).otherwise(F.array().cast(_MATCHES))
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, F.aggregate(sizes(found), begin, step)["all"]).otherwise(F.array().cast(_MATCHES)))
+
+
+def _pair_places(text: Column) -> Column:
+    """``places`` of pairs; only runs of their signs that hold a percentage are searched, as the many names are slow to try."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?iuU)[{_SIGNS}]++|[^{_SIGNS}]++"), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCHES).alias("all"))
+
+    def step(state, x):
+        found = F.transform(places(x, _PAIR), lambda m: F.struct((state["at"] + m["s"]).alias("s"), (state["at"] + m["e"]).alias("e")))
+        return F.struct((state["at"] + F.length(x)).alias("at"), F.when(F.contains(x, F.lit("%")), F.concat(state["all"], found)).otherwise(state["all"]).alias("all"))
+
+    return F.aggregate(runs, begin, step)["all"]
 
 
 def _noisy(text: Column, at: Column, window: int = 30) -> Column:
@@ -57,7 +71,7 @@ def _noisy(text: Column, at: Column, window: int = 30) -> Column:
 def plausible(value: Column) -> Column:
     """A material word, no noise next to a percentage, and percentages that add up to 20 or more, if there are any."""
     total = F.aggregate(F.regexp_extract_all(value, F.lit(r"(\d{1,3})\s*%"), F.lit(1)), F.lit(0), lambda a, x: a + x.cast("int"))
-    return value.rlike(_WORD) & ~F.exists(places(value, _SHARE), lambda m: _noisy(value, m["s"])) & ~((total > 0) & (total < 20))
+    return value.rlike(_WORD) & ~F.exists(places(value, _SHARE), lambda m: _noisy(value, m["s"])) & ~once(total, lambda n: (n > 0) & (n < 20))
 
 
 def _clean(raw: Column) -> Column:
@@ -74,7 +88,7 @@ def _tidy(c: Column) -> Column:
 def _runs(flat: Column) -> Column:
     """Spans of pairs of a percentage and a material that lie at most 80 signs apart, with the number of pairs."""
     kind = "array<struct<s:int,e:int,n:int>>"
-    pairs = F.filter(places(flat, _PAIR), lambda m: ~_noisy(flat, m["s"]))
+    pairs = F.filter(_pair_places(flat), lambda m: ~_noisy(flat, m["s"]))
 
     def step(runs, m):
         last = F.try_element_at(runs, F.lit(-1))
@@ -90,7 +104,10 @@ def compositions(html: Column) -> Column:
 
     A single pair counts only if no pair stands in the last 60 signs of its surroundings, the pair itself included.
     """
-    flat = flat_text(html)
+    return F.coalesce(once(flat_text(html), _of_flat), F.array().cast("array<string>"))
+
+
+def _of_flat(flat: Column) -> Column:
     labelled = F.filter(F.transform(F.regexp_extract_all(flat, F.lit(LABEL), F.lit(1)), _clean), lambda v: (v != "") & plausible(v))
 
     def alone(m):
@@ -98,11 +115,11 @@ def compositions(html: Column) -> Column:
         wider = strip(F.substring(flat, low + 1, m["e"] + 60 - low))
         return ~F.right(wider, F.lit(60)).rlike(_PAIR)
 
-    spans = F.filter(_runs(flat), lambda m: plausible(strip(F.substring(flat, m["s"] + 1, m["e"] - m["s"]))) & ((m["n"] > 1) | alone(m)))
+    spans = F.filter(_runs(flat), lambda m: once(strip(F.substring(flat, m["s"] + 1, m["e"] - m["s"])), plausible) & ((m["n"] > 1) | alone(m)))
     free = F.transform(spans, lambda m: _clean(F.substring(flat, m["s"] + 1, m["e"] - m["s"])))
-    tidy = F.transform(F.when(F.size(labelled) > 0, labelled).otherwise(free), _tidy)
-    low = F.transform(tidy, F.lower)
-    return F.coalesce(F.filter(tidy, lambda x, k: F.array_position(low, F.lower(x)) == k + 1), F.array().cast("array<string>"))
+    distinct = lambda tidy, low: F.filter(tidy, lambda x, k: F.array_position(low, F.lower(x)) == k + 1)
+    tidy = F.transform(once(labelled, lambda found: F.when(F.size(found) > 0, found).otherwise(free)), _tidy)
+    return once(tidy, lambda every: once(F.transform(every, F.lower), lambda low: distinct(every, low)))
 
 
 def material_name(c: Column) -> Column:

@@ -39,6 +39,11 @@ GENDER_FORMS = {
 WHITE = r"[\s\x1c-\x1f\x85   -     　]"
 
 
+def once(c: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, in lambdas too."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")

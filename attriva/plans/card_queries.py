@@ -140,7 +140,7 @@ SELECT page_id, CASE kind WHEN 0 THEN p || '% хлопок, ' || q || '% пол
 CASE WHEN kind IN (0, 1, 3) THEN CASE WHEN first_is_main THEN 'хлопок' WHEN kind = 1 THEN 'лиоцелл' ELSE 'полиэстер' END WHEN kind = 6 THEN CASE WHEN first_is_main THEN 'хлопок' ELSE 'полиэстер' END END AS main FROM v""")
 def q_compositions(spark, sf_dir):
     """Fabric compositions of all pages."""
-    pages = d.table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html")
+    pages = d.spread(d.table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "html"))
     share = {"@p": (40 + F.col("page_id") % 55).cast("string"), "@q": (60 - F.col("page_id") % 55).cast("string")}
     filled = lambda text: F.concat(*[share.get(x, F.lit(x)) for x in re.split("(@[pq])", text) if x])
     kind = F.col("page_id") % len(_FABRICS)

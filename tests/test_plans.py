@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attriva.functions import composition as c
 from attriva.functions import text as t
 from attriva.operators import predicates as p
 
@@ -23,3 +24,13 @@ def test_strong_forms_without_latin_letters(spark):
     texts = ["Быстрозажимной - Патрон", "W 5", "mm", "MM", "Fully-Modular", "12 пин+", None, "", "ёлка", "1 v"]
     got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").orderBy("k").select(t.strong_token(F.col("x"))).collect()]
     assert got == ["быстрозажимной патрон", "вт 5", "мм", "мм", "полностью модульный", "12 пин +", None, "", "елка", "1 в"]
+
+
+def test_compositions_flatten_a_page_once(spark):
+    one = spark.createDataFrame([("<p>x</p>",)], "html string")
+    assert plan(one.select(c.compositions(F.col("html")).alias("listed"))).count("&nbsp;") == 1
+    words = ["80% хлопок", "Лён 20 %", "20%", "лён", "; ", "—", " и ", "нетканый", "<b>", "Ⅷ", "٣% шёлк", "ſilk 5%", "натуральная  кожа 7%", "100%100% лён", "льняной70%лён", "𝒳", "\n"]
+    texts = ["".join(words[(k * 7 + j * (k + 3)) % len(words)] for j in range(9)) for k in range(120)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", c.places(F.col("t"), c._PAIR).alias("all"), c._pair_places(F.col("t")).alias("own"))
+    rows = df.collect()
+    assert [r.own for r in rows] == [r.all for r in rows] and sum(len(r.own) for r in rows) > 100
