@@ -176,7 +176,8 @@ def card_gender(c: Column) -> Column:
     has = lambda pattern: c.rlike(f"(?iu){pattern}")
     male = has(r"мужск|мужчин|мальчик|парн(?:ой|ям|и|ь)|\bmale\b|\bmen('?s)?\b|\bman\b|\bboy")
     female = has(r"женск|женщин|девочк|девуш|\bfemale\b|\bwomen('?s)?\b|\bwoman\b|\bgirl")
-    return F.when(has("унисекс|unisex"), "unisex").when(male & ~female, "male").when(female & ~male, "female")
+    one = lambda both: F.when(both["male"] & ~both["female"], "male").when(both["female"] & ~both["male"], "female")
+    return F.when(has("унисекс|unisex"), "unisex").otherwise(once(F.struct(male.alias("male"), female.alias("female")), one))
 
 
 def category_in_title(category: Column, title: Column) -> Column:

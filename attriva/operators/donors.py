@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as t
 from . import predicates as p
+from .joins import spread
 from .windows import first_by
 
 # By source, the least score of the same product and of the same line of a brand
@@ -38,16 +39,17 @@ def bonuses(query: Column, title: Column, category: Column, brand: Column | None
 
 
 def scored(pool: DataFrame, query: str, title: str, category: str, brand: str | None = None, substring: bool = False) -> DataFrame:
-    """``pool`` with ``score``; rows of blank titles go.  Each distinct tuple of texts is scored once."""
+    """``pool`` with ``score``; rows of blank titles go.  Each distinct tuple of texts is scored once, by all cores, and joined
+    by a sort merge: sizes of files say nothing about the number of tuples."""
     texts = [c for c in (query, title, category, brand) if c]
     clean = pool.withColumn(title, t.strip(F.col(title))).where(F.col(title) != "")
-    distinct = clean.select(*texts).distinct()
+    distinct = spread(clean.select(*texts).distinct())
     form = F.lower if substring else t.for_fuzzy
     a, b = form(F.col(query)), form(F.col(title))
     base = (fuzzy.score("partial_ratio", a, b) + fuzzy.score("token_sort_ratio", a, b)) / 2
     own = distinct.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(texts)], (base + bonuses(F.col(query), F.col(title), F.col(category), F.col(brand) if brand else None, substring)).alias("score"))
     same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(texts)]
-    out = clean.join(own, same)
+    out = clean.join(own.hint("merge"), same)
     return out.drop(*[f"_{k}" for k in range(len(texts))])
 
 
@@ -59,7 +61,8 @@ def grade(score: Column, source: str) -> Column:
 
 def pick_donor(pool: DataFrame, key: str, place: str, source: str) -> DataFrame:
     """The best scored card of each product and its grade; scores of 0 and less never win, the first of equals does."""
-    best = first_by(pool.where("score > 0"), [key], [F.desc("score"), F.col(place)])
+    # cut behind the rank: a filter before it would be pushed below the scoring and repeat it
+    best = first_by(pool, [key], [F.desc("score"), F.col(place)]).where("score > 0")
     return best.withColumn("grade", grade(F.col("score"), source))
 
 

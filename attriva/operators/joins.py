@@ -21,6 +21,11 @@ def small(dim: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores: few small files or partitions are few tasks, however much work their rows make later on."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def with_targets(products: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Products with their category's targets, and the products of categories without any."""
     return products.join(targets, "category_id"), products.join(targets.select("category_id").distinct(), "category_id", "left_anti")

@@ -84,7 +84,7 @@ def q_snippet_pairs(spark, sf_dir):
 
 def _pool(spark, sf_dir: str) -> DataFrame:
     """Eight found cards for each part: its asked name with words behind it, so that both fuzzy scores follow from lengths."""
-    parts = d.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("product_id"), "p_name", "p_size", F.lower("p_type").alias("category"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"))
+    parts = d.spread(d.table(spark, sf_dir, "part")).select(F.col("p_partkey").cast("long").alias("product_id"), "p_name", "p_size", F.lower("p_type").alias("category"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"))
     asked = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" ab"), F.col("p_size").cast("string"))).otherwise(""), F.when(F.col("p_size") % 2 == 0, " womens").otherwise(""))
     endings = [F.lit(""), F.concat(F.lit(" "), F.col("brand")), F.concat(F.lit(" "), F.col("brand"), F.lit(" mens")), F.concat(F.lit(" "), F.col("brand"), F.lit(" pro")), F.lit(" Shilla"), F.concat(F.lit(" "), F.col("category")), F.concat(F.lit(" "), F.col("category"), F.lit(" of a long title with many words more")), F.lit("  ")]
     cards = F.transform(F.array(*endings), lambda x, k: F.struct(k.alias("place"), x.alias("ending")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from ..operators.joins import spread  # noqa: F401
 
 NAMES = [s[0] for s in model.SOURCES]
 ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -19,11 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt to all cores: a small file is read by one task, however much work its rows make later on."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
-
-
 def candidates(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
     """(product_id, attribute_id, seq, value_str, value_arr, is_list, confidence, source, evidence, semantic_type, is_collection, value_id, value_ids)."""
     names = names or NAMES

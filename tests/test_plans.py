@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attriva.functions import composition as c
 from attriva.functions import text as t
+from attriva.operators import donors
 from attriva.operators import predicates as p
 
 
@@ -34,3 +35,12 @@ def test_compositions_flatten_a_page_once(spark):
     df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", c.places(F.col("t"), c._PAIR).alias("all"), c._pair_places(F.col("t")).alias("own"))
     rows = df.collect()
     assert [r.own for r in rows] == [r.all for r in rows] and sum(len(r.own) for r in rows) > 100
+
+
+def test_donors_score_each_tuple_once(spark):
+    pool = spark.createDataFrame([(k, k % 2, "Кеды Puma RS-X 380", "Кеды Puma", "Кеды", "Puma") for k in range(4)], "id int, place int, q string, title string, leaf string, brand string")
+    best = donors.pick_donor(donors.scored(pool, "q", "title", "leaf", "brand"), "id", "place", "ozon_card")
+    assert best.count() == 4
+    text = plan(best)
+    assert text.count("run(") == 2 and text.index("Aggregate") > text.rindex("run(")
+    assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString()
