@@ -93,9 +93,10 @@ def contradictions(merged: DataFrame, targets: DataFrame, products: DataFrame) -
     role = F.array_compact(F.array(*[F.when(_has(F.col("target_name"), pattern), F.lit(name)) for name, pattern in ROLES.items()]))
     first = first_by(targets.select("product_id", "attribute_id", "seq", F.explode(role).alias("role")), ["product_id", "role"], [F.col("seq")]).drop("seq")
     text = F.when(F.col("is_list"), F.array_join("value_arr", " ")).otherwise(F.col("value_str"))
-    found = first.join(merged.select("product_id", "attribute_id", text.alias("text"), "value_str", "value_arr", "is_list", "source", "evidence"), ["product_id", "attribute_id"])
+    # sort merges: rows made from small files look small to the planner, which would send all of them through the driver
+    found = first.join(merged.select("product_id", "attribute_id", text.alias("text"), "value_str", "value_arr", "is_list", "source", "evidence").hint("merge"), ["product_id", "attribute_id"])
     value = F.struct("attribute_id", "text", "value_str", "value_arr", "is_list", "source", "evidence")
-    wide = found.groupBy("product_id").agg(*[F.first(F.when(F.col("role") == name, value), True).alias(name) for name in ROLES]).join(products.select("product_id", "product_name"), "product_id", "left")
+    wide = found.groupBy("product_id").agg(*[F.first(F.when(F.col("role") == name, value), True).alias(name) for name in ROLES]).join(products.select("product_id", "product_name").hint("merge"), "product_id", "left")
     said = lambda name: F.when(F.col(name)["text"] != "", F.col(name)["text"])
     low = lambda c: F.translate(F.lower(c), "ё", "е")
 
@@ -134,7 +135,7 @@ def contradictions(merged: DataFrame, targets: DataFrame, products: DataFrame) -
         F.when(wrong_size, patch("size", True, none, no_array, "dropped")), F.when(wrong_line, patch("line", True, none, no_array, "dropped")),
     ))
     todo = wide.select("product_id", F.explode(patches).alias("p")).select("product_id", "p.*")
-    joined = merged.join(todo, ["product_id", "attribute_id"], "left").where("drop is null or not drop")
+    joined = merged.join(todo.hint("merge"), ["product_id", "attribute_id"], "left").where("drop is null or not drop")
     is_new = F.col("drop").isNotNull()
     put = {"value_str": F.col("v"), "value_arr": F.col("a"), "is_list": F.col("a").isNotNull(), "evidence": F.col("e")}
     return joined.select(*[F.when(is_new, put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in merged.columns])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from attriva.functions import composition as c
 from attriva.functions import text as t
-from attriva.operators import donors
+from attriva.operators import consistency, donors
 from attriva.operators import predicates as p
 
 
@@ -44,3 +44,15 @@ def test_donors_score_each_tuple_once(spark):
     text = plan(best)
     assert text.count("run(") == 2 and text.index("Aggregate") > text.rindex("run(")
     assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contradictions_broadcast_no_products(spark, tmp_path):
+    """From files, whose small size is what the planner goes by."""
+    for name, rows, schema in (
+        ("merged", [(1, 6, "55", None, False, None, 0.9, "wb_card", "")], "product_id int, attribute_id int, value_str string, value_arr array<string>, is_list boolean, value_id int, confidence double, source string, evidence string"),
+        ("targets", [(1, 6, "Диагональ экрана, дюймы", 0)], "product_id int, attribute_id int, target_name string, seq int"), ("products", [(1, "TV 43")], "product_id int, product_name string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    out = consistency.contradictions(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("merged", "targets", "products")])
+    assert out.count() == 0
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
